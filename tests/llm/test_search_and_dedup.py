@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 from tidegauge.llm import fm_index, jaccard_join, lattice_lm, token_store
+from tidegauge.llm.common import word_hashes
 from tidegauge.llm.components import connected_components
 
 SCHEMA = "text string, doc_id long, id long, source string, cls string"
@@ -83,11 +84,17 @@ def test_crowded_keys_lose_no_link(spark, monkeypatch):
     rows = []
     for i in range(90):  # copies of copies: neighbours are near, the ends are not
         if i % 3 == 0:
-            base[rnd.randrange(150)] = f"z{i}"
+            base[rnd.randrange(100)] = f"z{i}"
         rows.append((i, " ".join(base)))
+    for g in range(40):  # pairs around one common text that is near to neither
+        own = [f"p{g}_{j}" for j in range(22)]
+        rows += [(200 + 2 * g + k, " ".join([f"w{j}" for j in range(100)] + own + [f"s{g}_{k}"])) for k in (0, 1)]
+    rounds = []
+    monkeypatch.setattr(jaccard_join, "connected_components", lambda e: rounds.append(1) or connected_components(e))
     rows += [(1000 + i, " ".join(rnd.sample([f"q{j}" for j in range(500)], 120))) for i in range(10)]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(frame(spark, rows)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(frame(spark, rows), small_group=1).collect()}
     assert got == brute_components(rows)
+    assert len(rounds) == 2  # the star alone doesn't join them
 
 
 def test_components_of_odd_tables(spark):
@@ -124,6 +131,16 @@ def test_connected_components(spark):
     assert all(low[v] == c for v, c in got.items()) and set(got) == {v for a, b in edges if a != b for v in (a, b)}
 
 
+def test_word_hashes_follow_words():
+    text = ("a bb\tbb \x0b a " + "long" * 400_000 + " bb" * 300_000 + "\n").encode()
+    h, begin, end = word_hashes(text)
+    words = text.split()
+    assert [text[i:j] for i, j in zip(begin, end)] == words
+    seen = {}
+    assert all(seen.setdefault(w, x) == x for w, x in zip(words, h.tolist())) and len(set(seen.values())) == 3
+    assert not len(word_hashes(b" \n ")[0])
+
+
 FM_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 

@@ -7,7 +7,6 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Entries a per-worker word cache holds before it starts over; bounds worker memory.
@@ -48,16 +47,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class HashCache(dict):
-    """word bytes -> 64-bit hash; starts over when it is full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
 class IdCache(dict):
     """word bytes -> the next free id."""
 
@@ -66,11 +55,47 @@ class IdCache(dict):
         return value
 
 
-_HASHES = HashCache()
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+#: Multiplier of the rolling word hash, its inverse modulo 2**64, and the bytes hashed in one step.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE, _SLICE = pow(_BASE, -1, 1 << 64), 1 << 20
+_SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BYTES = mix64(np.arange(1, 257, dtype=np.uint64))
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, 1 << 16)
+        _POWERS[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size - 1, np.uint64(x), np.uint64)], dtype=np.uint64) for x in (_BASE, _INVERSE)]
+    return _POWERS
+
+
+def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the words between ASCII white space."""
+    inside = np.zeros(len(text) + 2, np.int8)
+    inside[1:-1] = ~_SPACES[np.frombuffer(text, np.uint8)]
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    return edge[::2], edge[1::2]
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash, begin and end of each word between ASCII white space.
+
+    A word's hash is a polynomial of its bytes modulo 2**64, read off running sums over the text, then mixed.
+    """
+    begin, end = word_spans(text)
+    out = np.empty(len(begin), np.uint64)
+    raw, at = np.frombuffer(text, np.uint8), 0
+    while at < len(begin):  # in slices of whole words
+        stop = max(at + 1, int(np.searchsorted(end, begin[at] + _SLICE, side="right")))
+        lo, hi = begin[at], end[stop - 1]
+        power, inverse = _powers(int(hi - lo) + 1)
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(_BYTES[raw[lo:hi]] * power[: hi - lo], out=sums[1:])
+        b, e = begin[at:stop] - lo, end[at:stop] - lo
+        out[at:stop] = (sums[e] - sums[b]) * inverse[b]
+        at = stop
+    return mix64(out + (end - begin).astype(np.uint64)), begin, end
 
 
 def table(columns: dict, schema: pa.Schema) -> pa.RecordBatch:

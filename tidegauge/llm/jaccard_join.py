@@ -41,10 +41,9 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 
 def shingle_set(text: bytes | None, k: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles of a text (A-Z lowered, words between ASCII white space)."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    w = word_hashes(words)
+    w = word_hashes((text or b"").lower())[0]
+    if not len(w):
+        return w
     m = len(w) - k + 1
     if m < 1:  # the whole sequence is one shingle, told apart by its length
         total = np.uint64(len(w))
@@ -158,7 +157,7 @@ def _emit(batches: Iterator[pa.RecordBatch], k: int, levels: bytes, parts: int)
 _PAIRS = pa.schema([("k", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-def _candidates(t: pa.Table) -> pa.Table:
+def _candidates(t: pa.Table, small_group: int) -> pa.Table:
     """Pairs (k null) of documents that share a key, and the members (k, a) of keys too common to give all pairs."""
     raw = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, 5) for x in t.column("keys").to_pylist()])
     keys = np.zeros((len(raw), 8), np.uint8)
@@ -180,9 +179,9 @@ def _candidates(t: pa.Table) -> pa.Table:
     size = np.diff(np.r_[start, len(k)])
     first = np.repeat(d[start], size)
     size = np.repeat(size, size)
-    small = size <= SMALL_GROUP
+    small = size <= small_group
     a, b = [first[~small]], [d[~small]]
-    for off in range(1, SMALL_GROUP):
+    for off in range(1, small_group):
         i = np.flatnonzero((k[off:] == k[:-off]) & small[off:]) if len(k) > off else []
         if not len(i):
             break
@@ -250,7 +249,7 @@ def _remaining(t: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())}, schema=_EDGES)
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = 80, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = 80, broadcast_rows: int = BROADCAST_ROWS, small_group: int = SMALL_GROUP) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links) and copies (rows of the same set), a row per document.
 
     ``percent`` is the least similarity in hundredths; key prefixes are laid out for 80 or more.
@@ -267,7 +266,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     levels = b"".join(by.get(r, bytes(width)) for r in range(SKETCH_RANGES))
 
     packed = base.select("text").mapInArrow(partial(_emit, k=shingle, levels=levels, parts=hash_parts(spark)), "p int, keys binary, docs binary, junk binary")
-    found = materialize(packed.groupBy("p").applyInArrow(_candidates, "k long, a long, b long"), "candidates")
+    found = materialize(packed.groupBy("p").applyInArrow(lambda t: _candidates(t, small_group), "k long, a long, b long"), "candidates")
     pairs = materialize(found.where("k is null").select("a", "b").distinct(), "pairs")
     crowd = found.where("k is not null").select("k", F.col("a").alias("cls"))
 
@@ -294,7 +293,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         open_keys = materialize(members.join(several, "k", "left_semi"), "open")
     if open_keys is not None and not open_keys.isEmpty():
         sketches = sets.mapInArrow(_sketches, "cls long, n long, sketch binary").dropDuplicates(["cls"])
-        more = open_keys.join(sketches, "cls").groupBy("k").applyInArrow(partial(_remaining, percent=percent), "a long, b long").distinct()
+        more = open_keys.join(sketches, "cls").groupBy("k").applyInArrow(lambda t: _remaining(t, percent), "a long, b long").distinct()
         more = materialize(verified(more.join(pairs, ["a", "b"], "left_anti")), "more")
         labels = connected_components(edges.union(more))
     # Copies collapse before the join, so a hot group is one row of each side.

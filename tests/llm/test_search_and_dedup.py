@@ -260,10 +260,22 @@ def test_forward_sums_all_segmentations():
     for w in ("a", "ab", "abab", "ababa", "bbaab"):
         assert math.isclose(math.exp(lattice_lm.forward(p.arcs(w))[-1]), total(w), rel_tol=1e-9)
     assert math.isclose(lattice_lm.forward(p.arcs("é"))[-1], 2 * math.log(1e-3))
-    counts = np.zeros(len(p.logp))
+    counts = [0.0] * len(p.logp)
     lattice_lm.expected_counts("ababa", 2.0, p, counts)
-    length = np.array([len(x) for x in p.pieces] + [1] * 256)
-    assert math.isclose((counts * length).sum(), 10.0)
+    assert math.isclose(sum(c * len(x) for c, x in zip(counts, p.pieces)), 10.0)
+    paths = []
+
+    def walk(w, prob, used):
+        if not w:
+            paths.append((prob, used))
+        for x, k in p.index.items():
+            if w.startswith(x):
+                walk(w[len(x) :], prob * math.exp(p.logp[k]), [*used, k])
+
+    walk("ababa", 1.0, [])
+    whole = sum(x for x, _ in paths)
+    for k in range(5):
+        assert math.isclose(counts[k], 2 * sum(x * u.count(k) for x, u in paths) / whole, rel_tol=1e-9)
 
 
 def test_lattice_scores(spark):

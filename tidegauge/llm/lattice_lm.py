@@ -42,9 +42,9 @@ class Pieces:
     """A piece vocabulary with natural-log probabilities; bytes are the last 256 entries."""
 
     def __init__(self, pieces: list[str], logp: np.ndarray):
-        self.pieces, self.logp = pieces, logp
+        self.pieces, self.logp = pieces, [float(x) for x in logp]
         self.index = {p: i for i, p in enumerate(pieces)}
-        self.longest = max(map(len, pieces), default=1)
+        self.reach = dict.fromkeys((p[:n] for p in pieces for n in range(1, len(p))), -1) | self.index  # -1: only begins a piece
         self.byte0 = len(pieces)
 
     @classmethod
@@ -60,12 +60,17 @@ class Pieces:
 
     def arcs(self, word: str) -> list[list[tuple[int, int, float]]]:
         """For each end position, (start, piece or -1 for bytes, log probability) of what ends there."""
-        index, logp, longest, out = self.index, self.logp, self.longest, []
-        for j in range(1, len(word) + 1):
-            here = [(i, k, logp[k]) for i in range(max(0, j - longest), j) if (k := index.get(word[i:j])) is not None]
-            if not here or here[-1][0] != j - 1:
-                here.append((j - 1, -1, sum(logp[self.byte0 + b] for b in word[j - 1].encode())))
-            out.append(here)
+        find, logp, n = self.reach.get, self.logp, len(word)
+        out: list[list[tuple[int, int, float]]] = [[] for _ in range(n)]
+        for i in range(n):
+            for j in range(i, n):
+                k = find(word[i : j + 1])
+                if k is None:
+                    break
+                if k >= 0:
+                    out[j].append((i, k, logp[k]))
+            if not out[i] or out[i][-1][0] != i:
+                out[i].append((i, -1, sum([logp[self.byte0 + b] for b in word[i].encode()])))
         return out
 
 
@@ -82,24 +87,21 @@ def forward(arcs: list[list[tuple[int, int, float]]]) -> list[float]:
     return a
 
 
-def expected_counts(word: str, weight: float, pieces: Pieces, into: np.ndarray) -> None:
+def expected_counts(word: str, weight: float, pieces: Pieces, into: list[float]) -> None:
     """Add ``weight`` times the expected number of uses of each piece in the word."""
     arcs = pieces.arcs(word)
     a, n = forward(arcs), len(word)
-    back, exp = [-math.inf] * n + [0.0], math.exp
+    share, exp = [0.0] * n + [weight], math.exp  # expected passes through each position
     for j in range(n, 0, -1):
-        b = back[j]
-        if b == -math.inf:
-            continue
-        for i, k, p in arcs[j - 1]:
-            share = weight * exp(a[i] + p + b - a[n])
+        through, here, at = share[j], arcs[j - 1], a[j]
+        for i, k, p in here:
+            part = through * exp(a[i] + p - at) if len(here) > 1 else through
+            share[i] += part
             if k >= 0:
-                into[k] += share
+                into[k] += part
             else:
                 for x in word[i].encode():
-                    into[pieces.byte0 + x] += share
-            x, y = back[i], p + b
-            back[i] = y if x == -math.inf else max(x, y) + math.log1p(exp(-abs(x - y)))
+                    into[pieces.byte0 + x] += part
 
 
 def held_out(doc_id) -> bool:
@@ -164,14 +166,14 @@ EM_CHUNK = 2048
 
 
 def _expect(batches: Iterator[pa.RecordBatch], pieces: Pieces) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(len(pieces.logp))
+    total = [0.0] * len(pieces.logp)
     for batch in batches:
         for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for word, n in zip(w.split(b"\n"), np.frombuffer(c, "<i8").tolist()):
                 if n:
                     expected_counts(SPACE + word.decode("utf-8", "replace"), n, pieces, total)
     for k in range(0, len(total), EM_CHUNK):
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total[k : k + EM_CHUNK].tobytes()], pa.binary())], names=["k", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.array(total[k : k + EM_CHUNK]).tobytes()], pa.binary())], names=["k", "v"])
 
 
 def _add(t: pa.Table) -> pa.Table:

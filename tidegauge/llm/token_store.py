@@ -22,9 +22,12 @@ Null text is encoded as empty: the end id alone. Other columns are ignored. An e
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import WORD_CACHE, mix64, scratch_path, table
+from tidegauge.llm.common import mix64, scratch_path, table
 
 #: Ids after which a shard is closed; a longer document has a shard of its own.
 SHARD_IDS = 4_000_000
 GAMMA, MAX_LEVELS = 2.0, 48
+#: Pieces a worker remembers before it keeps only those of the batch at hand.
+PIECE_CACHE = 1_200_000
 NO_KEY = -(2**63)
 LAYOUT = "shard long, first_key long, last_key long, width int, n_ids long, n_docs long, levels binary, fingerprints binary, offsets binary, lengths binary, doc_starts binary, keys binary, ids binary"
 _SHARD = pa.schema([("shard", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64()), ("width", pa.int32()), ("n_ids", pa.int64()), ("n_docs", pa.int64())] + [(c, pa.binary()) for c in ("levels", "fingerprints", "offsets", "lengths", "doc_starts", "keys", "ids")])
@@ -97,9 +102,16 @@ def fingerprint(keys: np.ndarray) -> np.ndarray:
     return (mix64(keys.astype(np.uint64) ^ np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype("<u4")
 
 
+_TIGHT = re.compile(r"\s\s| \Z|\0")
+
+
 class Encoder:
-    """Whole texts to packed ids. A single space between two non-spaces always begins a new pre-token, so pieces
-    between such spaces are encoded once each and remembered."""
+    """Whole texts to packed ids.
+
+    The tokenizer begins a new pre-token at a space between two non-spaces, and gives a line break between two
+    non-spaces one of its own. Between those, pieces are independent, so each distinct one is encoded once and
+    remembered. Texts with other white space runs are encoded as they are.
+    """
 
     def __init__(self, tokenizer_file: str, width: int):
         from tokenizers import Tokenizer
@@ -107,40 +119,45 @@ class Encoder:
         self.tok = Tokenizer.from_file(tokenizer_file)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = {2: "<u2", 4: "<u4"}[width]
-        self.known: dict[str, bytes] = {}
+        self.width = width
+        self.line = self.tok.encode("\n", add_special_tokens=False).ids
+        self.fixed = {"\n": self.pack(self.line), "\0": b""}
+        self.known: dict[str, bytes] = dict(self.fixed)
 
-    def learn(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > WORD_CACHE:
-            self.known.clear()
-        for i in range(0, len(pieces), 20_000):
-            part = pieces[i : i + 20_000]
-            for p, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[p] = np.array(e.ids, self.kind).tobytes()
+    def pack(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
 
     @staticmethod
-    def pieces(text: str) -> list[str]:
-        out = [" " + p for p in text.split(" ")]
-        out[0] = out[0][1:]
-        if "  " not in text and not any(c in text for c in (" \n", "\n ", " \t", "\t ", " \r", "\r ")) and text.isascii():
-            return out if out[0] else out[1:]
-        joined = [out[0]]  # a space next to other white space stays with it
-        for p in out[1:]:
-            if len(p) == 1 or p[1].isspace() or not joined[-1] or joined[-1][-1].isspace():
-                joined[-1] += p
-            else:
-                joined.append(p)
-        return joined if joined[0] else joined[1:]
+    def plain(piece: str) -> str:
+        """A piece as it stands in the text: after a space, unless it is marked as first of a line."""
+        return piece[1:] if piece[0] == "\0" else " " + piece
+
+    def learn(self, pieces: list[str], together: int = 400) -> None:
+        """Encode pieces, many in one call: a line break parts them and shows as one id."""
+        parts = [pieces[i : i + together] for i in range(0, len(pieces), together)]
+        for part, e in zip(parts, self.tok.encode_batch_fast(["\n".join(map(self.plain, p)) for p in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, self.kind)
+            cut = np.flatnonzero(ids == self.line[0])
+            if len(self.line) != 1 or len(cut) != len(part) - 1:
+                self.known.update((p, self.pack(self.tok.encode(self.plain(p), add_special_tokens=False).ids)) for p in part)
+                continue
+            raw, w = ids.tobytes(), self.width
+            at = [0, *((cut + 1) * w).tolist()]
+            self.known.update(zip(part, (raw[a:b] for a, b in zip(at, [*(cut * w).tolist(), len(raw)]))))
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
-        split = [self.pieces(t) if t else [] for t in texts]
-        new = list({p for s in split for p in s if p not in self.known})
-        if new:
-            before = len(self.known)
-            self.learn(new)
-            if len(self.known) < before + len(new):  # it was started over
-                self.learn([p for p in {p for s in split for p in s} if p not in self.known])
-        stop, get = np.array([end], self.kind).tobytes(), self.known.__getitem__
-        return [b"".join(map(get, s)) + stop for s in split]
+        stop = self.pack([end])
+        split = [None if not t or _TIGHT.search(t) else ("\0" + t).replace("\n", " \n \0").split(" ") for t in texts]
+        kinds = set(chain.from_iterable(s for s in split if s))
+        if len(self.known) + len(kinds) > PIECE_CACHE:  # what this batch uses stays, so frequent pieces do
+            self.known = {p: self.known[p] for p in kinds if p in self.known} | self.fixed
+        new = [p for p in kinds if p not in self.known]
+        ends = [(p, len(p.rstrip(punctuation))) for p in new]
+        ends = [(p, n) for p, n in ends if 0 < n < len(p) and p[n - 1].isalnum()]  # closing signs are a pre-token of their own
+        self.learn(list({p for p in new} - {p for p, _ in ends} | {x for p, n in ends for x in (p[:n], "\0" + p[n:])} - self.known.keys()))
+        self.known.update([(p, self.known[p[:n]] + self.known["\0" + p[n:]]) for p, n in ends])
+        get = self.known.__getitem__
+        return [(b"".join(map(get, s)) if s else self.pack(self.tok.encode(t or "", add_special_tokens=False).ids)) + stop for s, t in zip(split, texts)]
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}

@@ -49,6 +49,18 @@ def test_measurements(report):
     assert r["top_paths"][0]["path"] == ASSETS[0] and r["paths_seen"] == 8
 
 
+def test_rows_without_a_wait_are_not_measured(spark):
+    from tidegauge.dialects import parse
+    from tidegauge.operators import metrics as M
+    from tidegauge.operators.classes import DEFAULT
+    from pyspark.sql import functions as F
+
+    lines = spark.createDataFrame([(0, 0, 0, line(1, "/a", wait=-1, total=-1)), (0, 0, 1, line(1, "/b", wait=5))], "file_idx int, line_block long, line_no long, value string")
+    p = M.prepared(parse(lines, "haproxy").withColumn("ord", F.col("line_no")), DEFAULT.column())
+    got = M.summary(p).where("cls is null").first()
+    assert (got.requests, got.measured, got.max_ms) == (2, 1, 5)
+
+
 def test_findings(report):
     found = {(f["check"], f["target"]): f["status"] for f in report["findings"]}
     assert found[("errors", "5xx")] == "BAD" and found[("wait", "read timeout")] == "BAD"

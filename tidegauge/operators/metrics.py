@@ -25,7 +25,7 @@ MS_LIMIT = 2**31 - 1
 def prepared(events: DataFrame, class_column: Column) -> DataFrame:
     """Events with cls, sec, ms (wait, clamped), lat_ns and status_class. Needs ``ord``."""
     lat = latency_ns()
-    return events.withColumn("cls", class_column).withColumn("sec", F.unix_seconds("ts")).withColumn("lat_ns", lat).withColumn("ms", F.least(F.floor(lat / 1_000_000), F.lit(MS_LIMIT)).cast("bigint")).withColumn("status_class", status_class(F.col("status")))
+    return events.withColumn("cls", class_column).withColumn("sec", F.unix_seconds("ts")).withColumn("lat_ns", lat).withColumn("ms", F.when(lat.isNotNull(), F.least(F.floor(lat / 1_000_000), F.lit(MS_LIMIT))).cast("bigint")).withColumn("status_class", status_class(F.col("status")))
 
 
 def with_total(df: DataFrame, keys: Sequence[str], **sums: Column) -> DataFrame:

@@ -34,8 +34,8 @@ from tidegauge.llm.components import connected_components
 SHINGLE = 5
 #: 2**SKETCH_BITS counters of token frequency, whatever the corpus size.
 SKETCH_BITS, SKETCH_RANGES = 20, 16
-#: A key of at most so many documents gives all its pairs at once (a constant number a document).
-SMALL_GROUP = 16
+#: A key of at most so many documents gives all its pairs at once; a larger one first gives its star.
+SMALL_GROUP = 2
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -280,8 +280,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = materialize(keyed.join(wanted, "id", "left_semi").select("text").mapInArrow(partial(_token_sets, k=shingle), "cls long, toks binary"), "tokens")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("toks").alias("x")), "a")
-        both = left.join(sets.select(F.col("cls").alias("b"), F.col("toks").alias("y")), "b")
+        ends = materialize(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), "ends")
+        few = sets.join(F.broadcast(ends) if ends.count() <= broadcast_rows else ends, "cls", "left_semi")
+        left = pairs.join(few.select(F.col("cls").alias("a"), F.col("toks").alias("x")), "a")
+        both = left.join(few.select(F.col("cls").alias("b"), F.col("toks").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(partial(_verify, percent=percent), "a long, b long")
 
     edges = materialize(verified(pairs), "edges")
@@ -294,7 +296,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if open_keys is not None and not open_keys.isEmpty():
         sketches = sets.mapInArrow(_sketches, "cls long, n long, sketch binary").dropDuplicates(["cls"])
         more = open_keys.join(sketches, "cls").groupBy("k").applyInArrow(lambda t: _remaining(t, percent), "a long, b long").distinct()
-        more = materialize(verified(more.join(pairs, ["a", "b"], "left_anti")), "more")
+        more = materialize(verified(materialize(more.join(pairs, ["a", "b"], "left_anti"), "open-pairs")), "more")
         labels = connected_components(edges.union(more))
     # Copies collapse before the join, so a hot group is one row of each side.
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))

@@ -27,7 +27,7 @@ SYMBOL = r"[#*$%&|<>]"
 
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
+    return F.transform(F.array(value), lambda v: body(v))[0]  # a second parameter of body must not be taken for an index
 
 
 def repeated_words(hashes: Column, size: int = WINDOW) -> Column:

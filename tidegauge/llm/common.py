@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 
@@ -98,5 +101,22 @@ def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix64(out + (end - begin).astype(np.uint64)), begin, end
 
 
+def released(step):
+    """A batch iterator function whose worker gives freed memory back to the system when its task is over."""
+
+    @functools.wraps(step)
+    def run(*args, **kw):
+        try:
+            yield from step(*args, **kw)
+        finally:
+            gc.collect()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return run
+
+
 def table(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)

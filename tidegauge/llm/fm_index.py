@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import materialize, table
+from tidegauge.llm.common import materialize, released, table
 
 WINDOW = 10
 #: Characters of benchmark text that one block may hold.
@@ -224,6 +224,7 @@ def shard_hits(texts: list[bytes | None], phrases: Phrases) -> tuple[list[int],
     return n, out
 
 
+@released
 def _find(batches: Iterator[pa.RecordBatch], phrases: Phrases) -> Iterator[pa.RecordBatch]:
     for ids, texts in _shards(batches):
         n, found = shard_hits(texts, phrases)
@@ -291,6 +292,7 @@ def cut_spans(text: bytes, begins: list[int], ends: list[int]) -> bytes:
     return b"\n".join(out)
 
 
+@released
 def _cut(batches: Iterator[pa.RecordBatch], phrases: Phrases, text_at: int, chars_at: int | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(text_at).to_pylist()

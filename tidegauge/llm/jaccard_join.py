@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import BROADCAST_ROWS, hash_parts, materialize, mix64, table, word_hashes
+from tidegauge.llm.common import BROADCAST_ROWS, hash_parts, materialize, mix64, released, table, word_hashes
 from tidegauge.llm.components import connected_components
 
 SHINGLE = 5
@@ -62,14 +62,21 @@ def set_class(u: np.ndarray) -> int:
     return int(np.array(total & (2**64 - 1), np.uint64).astype(np.int64)) if len(u) else 0
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 _SETS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
 
 
+@released
 def _survey(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """(id, set size, fingerprint) of each document, and the task's token counters by range."""
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     shift = np.uint64(64 - SKETCH_BITS)
-    for batch in batches:
+    for batch in sliced(batches, 2000):
         sets = [shingle_set(t, k) for t in batch.column(1).to_pylist()]
         if any(len(s) for s in sets):
             counts += np.bincount((np.concatenate(sets) >> shift).astype(np.int64), minlength=1 << SKETCH_BITS)
@@ -118,6 +125,7 @@ def band_keys(u: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, int]:
 _KEYS = pa.schema([("p", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("junk", pa.binary())])
 
 
+@released
 def _emit(batches: Iterator[pa.RecordBatch], k: int, levels: bytes, parts: int) -> Iterator[pa.RecordBatch]:
     """Keys of the documents, packed by hash range; exact copies in one task emit once."""
     lv, seen = np.frombuffer(levels, np.uint8), set()
@@ -138,7 +146,7 @@ def _emit(batches: Iterator[pa.RecordBatch], k: int, levels: bytes, parts: int)
             o = order[i:j]
             yield table({"p": [int(p[i])], "keys": [low[i:j].tobytes()], "docs": [docs[o].tobytes()], "junk": [junk[o].tobytes()]}, _KEYS)
 
-    for batch in batches:
+    for batch in sliced(batches, 1000):
         for text in batch.column(0).to_pylist():
             u = shingle_set(text, k)
             if not len(u) or (c := set_class(u)) in seen:
@@ -147,7 +155,7 @@ def _emit(batches: Iterator[pa.RecordBatch], k: int, levels: bytes, parts: int)
             keys, junk = band_keys(u, lv)
             held.append((keys, c, junk))
             n_held += len(keys)
-            if n_held > 3_000_000:
+            if n_held > 2_000_000:
                 yield from flush()
                 held, n_held = [], 0
     if held:
@@ -194,19 +202,34 @@ def _candidates(t: pa.Table, small_group: int) -> pa.Table:
     return pa.table({"k": pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(kk, pa.int64())]), "a": pa.array(np.r_[pairs[:, 0], d[big]], pa.int64()), "b": pa.concat_arrays([pa.array(pairs[:, 1], pa.int64()), pa.nulls(int(big.sum()), pa.int64())])}, schema=_PAIRS)
 
 
-_TOKENS = pa.schema([("cls", pa.int64()), ("toks", pa.binary())])
+_TOKENS = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("toks", pa.binary())])
 
 
+@released
 def _token_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in range(0, batch.num_rows, 500):
-            sets = [shingle_set(x, k) for x in batch.column(0).slice(part, 500).to_pylist()]
-            yield table({"cls": [set_class(s) for s in sets], "toks": [s.astype("<u8").tobytes() for s in sets]}, _TOKENS)
+    for batch in sliced(batches, 500):
+        sets = [shingle_set(x, k) for x in batch.column(0).to_pylist()]
+        yield table({"cls": [set_class(s) for s in sets], "n": [len(s) for s in sets], "sketch": [dense_sketch(s).tobytes() for s in sets], "toks": [s.astype("<u8").tobytes() for s in sets]}, _TOKENS)
+
+
+def dense_sketch(u: np.ndarray) -> np.ndarray:
+    """Parity of the tokens on each of 512 bits or more (about as many as tokens), as 64-bit words."""
+    bits = max(512, 1 << (len(u).bit_length() - 1) if len(u) else 0)
+    parity = np.bincount((u % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(parity, bitorder="little").view("<u8")
+
+
+def fold(sketch: np.ndarray, words: int) -> np.ndarray:
+    """A sketch of fewer bits: halves add up, bit by bit."""
+    while len(sketch) > words:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
 
 
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+@released
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
@@ -220,24 +243,27 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield table({"a": [a[i] for i in keep], "b": [b[i] for i in keep]}, _EDGES)
 
 
-def dense_sketch(u: np.ndarray, bits: int = 2048) -> np.ndarray:
-    """Parity of the tokens on each of ``bits`` bits, packed."""
-    return np.packbits(np.bincount((u % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1)
-
-
-_SKETCHES = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
-
-
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@released
+def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sizes and sketches allow the similarity: sketches differ in no more bits than sets in tokens."""
     for batch in batches:
-        sets = [np.frombuffer(x, "<u8") for x in batch.column(1).to_pylist()]
-        yield table({"cls": batch.column(0), "n": [len(s) for s in sets], "sketch": [dense_sketch(s).tobytes() for s in sets]}, _SKETCHES)
+        a, b, n, m, x, y = (batch.column(i).to_pylist() for i in range(6))
+        keep = []
+        for i in range(len(a)):
+            if 100 * min(n[i], m[i]) >= percent * max(n[i], m[i]):
+                s, t = np.frombuffer(x[i], "<u8"), np.frombuffer(y[i], "<u8")
+                words = min(len(s), len(t))
+                if int(np.bitwise_count(fold(s, words) ^ fold(t, words)).sum()) * (100 + percent) <= (100 - percent) * (n[i] + m[i]):
+                    keep.append(i)
+        yield table({"a": [a[i] for i in keep], "b": [b[i] for i in keep]}, _EDGES)
 
 
 def _remaining(t: pa.Table, percent: int) -> pa.Table:
     """Pairs of one key in different components whose sketches allow the similarity."""
     cls, comp, n = (t.column(c).to_numpy() for c in ("cls", "comp", "n"))
-    sk = np.stack([np.frombuffer(x, np.uint64) for x in t.column("sketch").to_pylist()])
+    sk = [np.frombuffer(x, "<u8") for x in t.column("sketch").to_pylist()]
+    words = min(map(len, sk))
+    sk = np.stack([fold(x, words) for x in sk])
     out = []
     for i in range(len(cls) - 1):
         j = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i])))
@@ -277,16 +303,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if wanted.count() <= broadcast_rows:
         wanted = F.broadcast(wanted)
     keyed = base.withColumn("id", F.coalesce("id", F.lit(-(2**63))))
-    sets = materialize(keyed.join(wanted, "id", "left_semi").select("text").mapInArrow(partial(_token_sets, k=shingle), "cls long, toks binary"), "tokens")
+    sets = materialize(keyed.join(wanted, "id", "left_semi").select("text").mapInArrow(partial(_token_sets, k=shingle), "cls long, n long, sketch binary, toks binary"), "tokens")
+
+    light = sets.select("cls", "n", "sketch").dropDuplicates(["cls"])
+
+    def near(pairs: DataFrame) -> DataFrame:
+        left = pairs.join(light.select(F.col("cls").alias("a"), "n", F.col("sketch").alias("x")), "a")
+        both = left.join(light.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y")), "b")
+        return both.select("a", "b", "n", "m", "x", "y").mapInArrow(partial(_near, percent=percent), "a long, b long")
 
     def verified(pairs: DataFrame) -> DataFrame:
         ends = materialize(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), "ends")
-        few = sets.join(F.broadcast(ends) if ends.count() <= broadcast_rows else ends, "cls", "left_semi")
+        few = sets.select("cls", "toks").join(F.broadcast(ends) if ends.count() <= broadcast_rows else ends, "cls", "left_semi")
         left = pairs.join(few.select(F.col("cls").alias("a"), F.col("toks").alias("x")), "a")
         both = left.join(few.select(F.col("cls").alias("b"), F.col("toks").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(partial(_verify, percent=percent), "a long, b long")
 
-    edges = materialize(verified(pairs), "edges")
+    edges = materialize(verified(materialize(near(pairs), "near")), "edges")
     labels = connected_components(edges)
     open_keys = None
     if not crowd.isEmpty():
@@ -294,8 +327,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         several = members.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("k")
         open_keys = materialize(members.join(several, "k", "left_semi"), "open")
     if open_keys is not None and not open_keys.isEmpty():
-        sketches = sets.mapInArrow(_sketches, "cls long, n long, sketch binary").dropDuplicates(["cls"])
-        more = open_keys.join(sketches, "cls").groupBy("k").applyInArrow(lambda t: _remaining(t, percent), "a long, b long").distinct()
+        more = open_keys.join(light, "cls").groupBy("k").applyInArrow(lambda t: _remaining(t, percent), "a long, b long").distinct()
         more = materialize(verified(materialize(more.join(pairs, ["a", "b"], "left_anti"), "open-pairs")), "more")
         labels = connected_components(edges.union(more))
     # Copies collapse before the join, so a hot group is one row of each side.

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import IdCache, hash_parts, materialize, table
+from tidegauge.llm.common import IdCache, hash_parts, materialize, released, table
 
 #: Words of documents in a block.
 BLOCK_WORDS = 3_000_000
@@ -111,6 +111,7 @@ def held_out(doc_id) -> bool:
 _BLOCK = pa.schema([("block", pa.string()), ("p", pa.int32()), ("words", pa.binary()), ("idx", pa.binary()), ("counts", pa.binary()), ("docs", pa.list_(pa.int64())), ("lens", pa.binary()), ("local", pa.binary())])
 
 
+@released
 def _blocks(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Blocks of documents as local word ids, and each block's distinct words with their training counts by range."""
     part = TaskContext.get().partitionId()
@@ -165,6 +166,7 @@ def _vocabulary(t: pa.Table) -> pa.Table:
 EM_CHUNK = 2048
 
 
+@released
 def _expect(batches: Iterator[pa.RecordBatch], pieces: Pieces) -> Iterator[pa.RecordBatch]:
     total = [0.0] * len(pieces.logp)
     for batch in batches:

@@ -35,13 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import mix64, scratch_path, table
+from tidegauge.llm.common import mix64, released, scratch_path, table
 
 #: Ids after which a shard is closed; a longer document has a shard of its own.
 SHARD_IDS = 4_000_000
 GAMMA, MAX_LEVELS = 2.0, 48
 #: Pieces a worker remembers before it keeps only those of the batch at hand.
-PIECE_CACHE = 1_200_000
+PIECE_CACHE = 800_000
 NO_KEY = -(2**63)
 LAYOUT = "shard long, first_key long, last_key long, width int, n_ids long, n_docs long, levels binary, fingerprints binary, offsets binary, lengths binary, doc_starts binary, keys binary, ids binary"
 _SHARD = pa.schema([("shard", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64()), ("width", pa.int32()), ("n_ids", pa.int64()), ("n_docs", pa.int64())] + [(c, pa.binary()) for c in ("levels", "fingerprints", "offsets", "lengths", "doc_starts", "keys", "ids")])
@@ -123,6 +123,7 @@ class Encoder:
         self.line = self.tok.encode("\n", add_special_tokens=False).ids
         self.fixed = {"\n": self.pack(self.line), "\0": b""}
         self.known: dict[str, bytes] = dict(self.fixed)
+        self.last: set[str] = set()
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
@@ -145,10 +146,14 @@ class Encoder:
             at = [0, *((cut + 1) * w).tolist()]
             self.known.update(zip(part, (raw[a:b] for a, b in zip(at, [*(cut * w).tolist(), len(raw)]))))
 
+    def trim(self) -> None:
+        """Between tasks only the pieces of the last batch stay."""
+        self.known = {p: self.known[p] for p in self.last if p in self.known} | self.fixed
+
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         stop = self.pack([end])
         split = [None if not t or _TIGHT.search(t) else ("\0" + t).replace("\n", " \n \0").split(" ") for t in texts]
-        kinds = set(chain.from_iterable(s for s in split if s))
+        self.last = kinds = set(chain.from_iterable(s for s in split if s))
         if len(self.known) + len(kinds) > PIECE_CACHE:  # what this batch uses stays, so frequent pieces do
             self.known = {p: self.known[p] for p in kinds if p in self.known} | self.fixed
         new = [p for p in kinds if p not in self.known]
@@ -177,6 +182,7 @@ def _pack(name: int, keys: list[int | None], parts: list[bytes], width: int) ->
     return table({"shard": [name], "first_key": [keys[0]], "last_key": [keys[-1]], "width": [width], "n_ids": [int(n.sum())], "n_docs": [len(n)]} | {c: [v] for c, v in raw.items()}, _SHARD)
 
 
+@released
 def _encode(batches: Iterator[pa.RecordBatch], tokenizer_file: str, end: int, width: int) -> Iterator[pa.RecordBatch]:
     enc = _ENCODERS.get((tokenizer_file, width)) or _ENCODERS.setdefault((tokenizer_file, width), Encoder(tokenizer_file, width))
     part, number = TaskContext.get().partitionId(), 0
@@ -195,6 +201,7 @@ def _encode(batches: Iterator[pa.RecordBatch], tokenizer_file: str, end: int, wi
                 size += len(p) // width
     if keys:
         yield _pack((part << 32) + number, keys, parts, width)
+    enc.trim()
 
 
 def write_store(docs: DataFrame, path: str, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", end: int = 2, vocabulary: int = 50_257) -> None:

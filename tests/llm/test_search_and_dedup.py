@@ -278,6 +278,20 @@ def test_forward_sums_all_segmentations():
         assert math.isclose(counts[k], 2 * sum(x * u.count(k) for x, u in paths) / whole, rel_tol=1e-9)
 
 
+def test_lattices_of_many_words_match_single_ones():
+    rnd = random.Random(3)
+    p = lattice_lm.Pieces.load(lattice_model())
+    words = ["▁" + "".join(rnd.choices("theanérß漢😀.,", k=rnd.randint(0, 14))) for _ in range(400)] + ["▁" + "anth" * 30, "▁the"]
+    many = lattice_lm.Lattices(p)
+    assert np.allclose(many.scores(words), [lattice_lm.forward(p.arcs(w))[-1] for w in words], rtol=1e-12)
+    weights = np.array([rnd.randint(1, 9) for _ in words])
+    got, want = np.zeros(len(p.logp)), [0.0] * len(p.logp)
+    many.add_expected(words, weights, got)
+    for w, x in zip(words, weights.tolist()):
+        lattice_lm.expected_counts(w, x, p, want)
+    assert np.allclose(got, want)
+
+
 def test_lattice_scores(spark):
     rows = [r for r in corpus(6, 20)] + [(None, "no key here")]
     got = {r.doc_id: r for r in lattice_lm.lattice_scores(frame(spark, rows), lattice_model()).collect()}

@@ -31,6 +31,8 @@ from tidegauge.llm.common import IdCache, hash_parts, materialize, released, tab
 
 #: Words of documents in a block.
 BLOCK_WORDS = 3_000_000
+#: Expectation steps over all training words.
+ROUNDS = 3
 #: Added to counts of tokens and of pieces.
 ALPHA = 0.1
 #: The mark that the vocabulary puts for white space before a word.
@@ -45,6 +47,7 @@ class Pieces:
         self.pieces, self.logp = pieces, [float(x) for x in logp]
         self.index = {p: i for i, p in enumerate(pieces)}
         self.reach = dict.fromkeys((p[:n] for p in pieces for n in range(1, len(p))), -1) | self.index  # -1: only begins a piece
+        self.longest = max(map(len, pieces), default=1)
         self.byte0 = len(pieces)
 
     @classmethod
@@ -104,6 +107,121 @@ def expected_counts(word: str, weight: float, pieces: Pieces, into: list[float])
                     into[pieces.byte0 + x] += part
 
 
+#: Words longer than this go one by one; cells (words times characters) of a batch of equal length.
+LONGEST_BATCHED, CELLS = 48, 300_000
+_MULT, _SLOT = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
+
+
+class Lattices:
+    """The same recursions for many words of one length at a time, as arrays."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces, self.logp = pieces, np.array(pieces.logp)
+        self.keys = np.zeros(len(pieces.pieces) + 1, np.uint64)
+        for k, p in enumerate(pieces.pieces):
+            h = 0
+            for c in p:
+                h = (h * int(_MULT) + ord(c) + 1) & (2**64 - 1)
+            self.keys[k] = h
+        self.slots = [np.full(1 << 20, -1, np.int32) for _ in _SLOT]  # a piece whose first slot is taken goes to its second
+        self.crowded = {}
+        ids = np.arange(len(pieces.pieces))
+        for table, odd in zip(self.slots, _SLOT):
+            at = ((self.keys[ids] * odd) >> np.uint64(44)).astype(np.int64)
+            table[at[::-1]] = ids[::-1]
+            ids = ids[table[at] != ids]
+        self.crowded = {int(self.keys[k]): int(k) for k in ids}
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Piece of each substring hash, -1 for none."""
+        out = np.full(len(h), -1, np.int64)
+        for table, odd in zip(self.slots, _SLOT):
+            k = table[((h * odd) >> np.uint64(44)).astype(np.int64)]
+            hit = (k >= 0) & (self.keys[k] == h)
+            out[hit] = k[hit]
+        for key, k in self.crowded.items():
+            out[h == np.uint64(key)] = k
+        return out
+
+    def arcs(self, words: list[str]) -> tuple[np.ndarray, list[list[tuple[int, np.ndarray, np.ndarray]]]]:
+        """Code points, and for each end position (start, pieces, log probabilities) over all words."""
+        n, size = len(words), len(words[0])
+        chars = np.array(words, f"<U{size}").view(np.uint32).reshape(n, size)
+        code = chars.astype(np.uint64) + np.uint64(1)
+        out: list = [[] for _ in range(size)]
+        for i in range(size):
+            h = np.zeros(n, np.uint64)
+            for j in range(i, min(size, i + self.pieces.longest)):
+                h = h * _MULT + code[:, j]
+                k = self.find(h)
+                if j == i or (k >= 0).any():
+                    p = np.where(k >= 0, self.logp[k], -np.inf)
+                    if j == i and (k < 0).any():
+                        some, back = np.unique(chars[k < 0, i], return_inverse=True)
+                        p[k < 0] = np.array([sum(self.pieces.logp[self.pieces.byte0 + b] for b in chr(c).encode("utf-8", "replace")) for c in some])[back]
+                    out[j].append((i, k, p))
+        return chars, out
+
+    @staticmethod
+    def forward(n: int, arcs: list) -> np.ndarray:
+        a = np.zeros((len(arcs) + 1, n))
+        for j, here in enumerate(arcs, 1):
+            terms = np.stack([a[i] + p for i, _, p in here])
+            top = terms.max(0)
+            a[j] = top + np.log(np.exp(terms - top).sum(0))
+        return a
+
+    def expect(self, chars: np.ndarray, arcs: list, weights: np.ndarray, into: np.ndarray) -> None:
+        a, size = self.forward(len(weights), arcs), len(arcs)
+        share = np.zeros((size + 1, len(weights)))
+        share[size] = weights
+        for j in range(size, 0, -1):
+            for i, k, p in arcs[j - 1]:
+                part = share[j] * np.exp(a[i] + p - a[j])
+                share[i] += part
+                known = k >= 0
+                into += np.bincount(k[known], part[known], len(into))
+                if j == i + 1 and not known.all():
+                    some, back = np.unique(chars[~known, i], return_inverse=True)
+                    for c, x in zip(some.tolist(), np.bincount(back, part[~known]).tolist()):
+                        for b in chr(c).encode("utf-8", "replace"):
+                            into[self.pieces.byte0 + b] += x
+
+    def batches(self, words: list[str]) -> Iterator[np.ndarray]:
+        """Positions of words of one length, in batches; long words alone."""
+        lens = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(lens, kind="stable")
+        edge = np.r_[np.flatnonzero(np.r_[True, np.diff(lens[order]) > 0]), len(order)] if len(order) else np.zeros(1, np.int64)
+        for lo, hi in zip(edge[:-1], edge[1:]):
+            size = int(lens[order[lo]])
+            step = max(1, CELLS // size) if size <= LONGEST_BATCHED else 1
+            for at in range(int(lo), int(hi), step):
+                yield order[at : min(at + step, int(hi))]
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Log probability of each word, all segmentations together."""
+        out = np.zeros(len(words))
+        for at in self.batches(words):
+            part = [words[x] for x in at.tolist()]
+            out[at] = self.forward(len(part), self.arcs(part)[1])[-1] if len(part[0]) <= LONGEST_BATCHED else forward(self.pieces.arcs(part[0]))[-1]
+        return out
+
+    def add_expected(self, words: list[str], weights: np.ndarray, into: np.ndarray) -> None:
+        for at in self.batches(words):
+            part = [words[x] for x in at.tolist()]
+            if len(part[0]) <= LONGEST_BATCHED:
+                self.expect(*self.arcs(part), weights[at].astype(float), into)
+            else:
+                own = [0.0] * len(into)
+                expected_counts(part[0], float(weights[at[0]]), self.pieces, own)
+                into += own
+
+
+def spelled(blob: bytes) -> list[str]:
+    """The words of a blob, each with the mark of the space before it."""
+    return [SPACE + w for w in blob.decode("utf-8", "replace").split("\n")]
+
+
 def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10 == 0
 
@@ -168,14 +286,14 @@ EM_CHUNK = 2048
 
 @released
 def _expect(batches: Iterator[pa.RecordBatch], pieces: Pieces) -> Iterator[pa.RecordBatch]:
-    total = [0.0] * len(pieces.logp)
+    total, lattices = np.zeros(len(pieces.logp)), Lattices(pieces)
     for batch in batches:
         for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for word, n in zip(w.split(b"\n"), np.frombuffer(c, "<i8").tolist()):
-                if n:
-                    expected_counts(SPACE + word.decode("utf-8", "replace"), n, pieces, total)
+            words, counts = spelled(w), np.frombuffer(c, "<i8")
+            used = np.flatnonzero(counts)
+            lattices.add_expected([words[x] for x in used.tolist()], counts[used], total)
     for k in range(0, len(total), EM_CHUNK):
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.array(total[k : k + EM_CHUNK]).tobytes()], pa.binary())], names=["k", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total[k : k + EM_CHUNK].tobytes()], pa.binary())], names=["k", "v"])
 
 
 def _add(t: pa.Table) -> pa.Table:
@@ -191,7 +309,7 @@ def _answer(asked: pa.Table, vocab: pa.Table, pieces: Pieces) -> pa.Table:
         return _ANSWER.empty_table()
     words = [w for x in vocab.column("words") for w in x.as_py().split(b"\n")]
     counts = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in vocab.column("counts")])
-    scores = np.fromiter((forward(pieces.arcs(SPACE + w.decode("utf-8", "replace")))[-1] for w in words), np.float64, len(words))
+    scores = Lattices(pieces).scores([x for b in vocab.column("words") for x in spelled(b.as_py())])
     at = {w: i for i, w in enumerate(words)}
     blocks, c, s = [], [], []
     for x in asked.column("words"):
@@ -232,7 +350,7 @@ def _score(docs: pa.Table, answers: pa.Table, train_tokens: int, distinct: int,
     return pa.concat_tables(out)
 
 
-def lattice_scores(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lattice_scores(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row per document."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
@@ -241,14 +359,15 @@ def lattice_scores(docs: DataFrame, model_file: str, id_col: str = "doc_id", tex
     vocab = materialize(blocks.where("p >= 0").select("p", "words", "counts").groupBy("p").applyInArrow(_vocabulary, "p int, words binary, counts binary, n_train long, v_train long"), "vocabulary")
     totals = vocab.agg(F.sum("n_train").alias("n"), F.sum("v_train").alias("v")).first()
     train_docs = base.where(F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")) % 10 != 0).count()
-    prior = Pieces.load(model_file)
-    sums = vocab.select("words", "counts").mapInArrow(partial(_expect, pieces=prior), "k int, v binary").groupBy("k").applyInArrow(_add, "k int, v binary").collect()  # as long as the vocabulary
-    expected = np.zeros(len(prior.logp))
-    for r in sums:
-        expected[r["k"] : r["k"] + EM_CHUNK] = np.frombuffer(bytes(r["v"]))
-    mass = expected + ALPHA
-    total = mass.sum() + train_docs + ALPHA  # the end is one more piece
-    pieces = Pieces(prior.pieces, np.log(mass / total))
+    pieces, total = Pieces.load(model_file), 1.0
+    counted = vocab.select("p", "words", "counts").repartition(hash_parts(spark, 1), "p").select("words", "counts")
+    for _ in range(rounds):
+        sums = counted.mapInArrow(partial(_expect, pieces=pieces), "k int, v binary").groupBy("k").applyInArrow(_add, "k int, v binary").collect()  # as long as the vocabulary
+        mass = np.full(len(pieces.logp), ALPHA)
+        for r in sums:
+            mass[r["k"] : r["k"] + EM_CHUNK] += np.frombuffer(bytes(r["v"]))
+        total = mass.sum() + train_docs + ALPHA  # the end is one more piece
+        pieces = Pieces(pieces.pieces, np.log(mass / total))
     train_tokens, distinct = (totals["n"] or 0) + train_docs, (totals["v"] or 0) + (train_docs > 0)
     answers = asked.groupBy("p").cogroup(vocab.groupBy("p")).applyInArrow(partial(_answer, pieces=pieces), "block string, idx binary, c binary, s binary")
     texts = blocks.where("p < 0").select("block", "docs", "lens", "local")

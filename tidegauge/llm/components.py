@@ -5,24 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import materialize
+from tidegauge.llm.common import BROADCAST_ROWS, materialize
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, small_table: bool) -> DataFrame:
     """Link neighbours of each vertex to the smallest of them (large: the larger ones; small: the smaller ones)."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    low = F.broadcast(low) if small_table else low
     if large:
-        return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
     out = both.join(low, "a").select(F.col("b").alias("v"), "m", "a")
-    return out.select(F.col("v").alias("a"), F.col("m").alias("b")).union(out.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+    return out.select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(v, comp) for every vertex of ``edges`` (a, b): comp is the smallest vertex it reaches.
 
     Self loops and repeated edges are harmless, rows with a null end are ignored, an empty table gives no rows.
-    Each round is written to the shared scratch folder. Only two numbers a round come to the driver.
+    Each round is written to the shared scratch folder. Only two numbers a round come to the driver; a vertex table
+    is broadcast only while there are at most ``broadcast_rows`` edges.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
     seen = None
@@ -31,7 +33,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state["n"] == 0 or state == seen:
             break
         seen = state
-        now = materialize(_star(_star(now, True), False), "cc")
+        small_table = 2 * state["n"] <= broadcast_rows
+        now = materialize(_star(_star(now, True, small_table), False, small_table), "cc")
     else:
         raise RuntimeError("components did not converge")
     return now.select(F.col("a").alias("v"), F.col("b").alias("comp")).union(now.select(F.col("b").alias("v"), F.col("b").alias("comp")).distinct())

@@ -329,7 +329,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if open_keys is not None and not open_keys.isEmpty():
         more = open_keys.join(light, "cls").groupBy("k").applyInArrow(lambda t: _remaining(t, percent), "a long, b long").distinct()
         more = materialize(verified(materialize(more.join(pairs, ["a", "b"], "left_anti"), "open-pairs")), "more")
-        labels = connected_components(edges.union(more))
+        labels = connected_components(labels.select(F.col("v").alias("a"), F.col("comp").alias("b")).union(more))
     # Copies collapse before the join, so a hot group is one row of each side.
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
     named = materialize(classes.join(labels.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "classes")

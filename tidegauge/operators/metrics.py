@@ -73,7 +73,7 @@ def _at_ranks(histogram: DataFrame, value: str, wanted: DataFrame) -> DataFrame:
     return running.join(F.broadcast(w), F.col("cls").eqNullSafe(F.col("__c")) & (F.col("cum") > F.col("rank"))).groupBy("cls", "q").agg(F.min(value).alias("value"))
 
 
-def _each(spark, quantiles: Sequence[float]) -> Column:
+def _each(quantiles: Sequence[float]) -> Column:
     return F.explode(F.array(*[F.lit(float(q)) for q in quantiles]))
 
 
@@ -81,7 +81,7 @@ def rate_percentiles(seconds: DataFrame, window: Column | int, quantiles: Sequen
     """cls, q, value: percentiles over all seconds of the window, those without requests counted as 0, unstored."""
     by_n = seconds.groupBy("cls", "n").agg(F.count(F.lit(1)).alias("seconds")).withColumnRenamed("n", "rate").withColumnRenamed("seconds", "n")
     size = by_n.groupBy("cls").agg(F.sum("n").alias("busy")).withColumn("w", window if isinstance(window, Column) else F.lit(window).cast("bigint"))
-    ranks = size.withColumn("q", _each(None, quantiles)).withColumn("silent", F.greatest(F.col("w") - F.col("busy"), F.lit(0))).withColumn("idx", _index(F.col("q"), F.col("w")))
+    ranks = size.withColumn("q", _each(quantiles)).withColumn("silent", F.greatest(F.col("w") - F.col("busy"), F.lit(0))).withColumn("idx", _index(F.col("q"), F.col("w")))
     ranks = ranks.withColumn("rank", F.when(F.col("idx") >= F.col("silent"), F.least(F.col("idx") - F.col("silent"), F.col("busy") - 1)))
     found = _at_ranks(by_n, "rate", ranks.where("rank is not null"))
     return found.unionByName(ranks.where("rank is null").select("cls", "q", F.lit(0).cast("bigint").alias("value")))
@@ -94,7 +94,7 @@ def wait_histogram(p: DataFrame) -> DataFrame:
 
 def wait_percentiles(histogram: DataFrame, quantiles: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
     """cls, q, value (ms): exact nearest-rank percentiles."""
-    ranks = histogram.groupBy("cls").agg(F.sum("n").alias("size")).withColumn("q", _each(None, quantiles)).withColumn("rank", _index(F.col("q"), F.col("size")))
+    ranks = histogram.groupBy("cls").agg(F.sum("n").alias("size")).withColumn("q", _each(quantiles)).withColumn("rank", _index(F.col("q"), F.col("size")))
     return _at_ranks(histogram, "ms", ranks)
 
 

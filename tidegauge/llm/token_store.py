@@ -22,6 +22,7 @@ Null text is encoded as empty: the end id alone. Other columns are ignored. An e
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -114,6 +115,7 @@ class Encoder:
     """
 
     def __init__(self, tokenizer_file: str, width: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; idle pool threads would spin on it
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(tokenizer_file)

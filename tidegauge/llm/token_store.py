@@ -41,8 +41,8 @@ from tidegauge.llm.common import mix64, released, scratch_path, table
 #: Ids after which a shard is closed; a longer document has a shard of its own.
 SHARD_IDS = 4_000_000
 GAMMA, MAX_LEVELS = 2.0, 48
-#: Pieces a worker remembers before it keeps only those of the batch at hand.
-PIECE_CACHE = 800_000
+#: Pieces a worker remembers within a task, and those it may keep for the next one.
+PIECE_CACHE, COMMON_PIECES = 800_000, 300_000
 NO_KEY = -(2**63)
 LAYOUT = "shard long, first_key long, last_key long, width int, n_ids long, n_docs long, levels binary, fingerprints binary, offsets binary, lengths binary, doc_starts binary, keys binary, ids binary"
 _SHARD = pa.schema([("shard", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64()), ("width", pa.int32()), ("n_ids", pa.int64()), ("n_docs", pa.int64())] + [(c, pa.binary()) for c in ("levels", "fingerprints", "offsets", "lengths", "doc_starts", "keys", "ids")])
@@ -126,6 +126,7 @@ class Encoder:
         self.fixed = {"\n": self.pack(self.line), "\0": b""}
         self.known: dict[str, bytes] = dict(self.fixed)
         self.last: set[str] = set()
+        self.common: set[str] = set()
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
@@ -149,15 +150,18 @@ class Encoder:
             self.known.update(zip(part, (raw[a:b] for a, b in zip(at, [*(cut * w).tolist(), len(raw)]))))
 
     def trim(self) -> None:
-        """Between tasks only the pieces of the last batch stay."""
-        self.known = {p: self.known[p] for p in self.last if p in self.known} | self.fixed
+        """Between tasks only the pieces that came up in several batches stay."""
+        if len(self.common) > COMMON_PIECES:
+            self.common = self.last & self.common
+        self.known = {p: self.known[p] for p in self.common if p in self.known} | self.fixed
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         stop = self.pack([end])
         split = [None if not t or _TIGHT.search(t) else ("\0" + t).replace("\n", " \n \0").split(" ") for t in texts]
         self.last = kinds = set(chain.from_iterable(s for s in split if s))
-        if len(self.known) + len(kinds) > PIECE_CACHE:  # what this batch uses stays, so frequent pieces do
-            self.known = {p: self.known[p] for p in kinds if p in self.known} | self.fixed
+        self.common |= kinds & self.known.keys()
+        if len(self.known) + len(kinds) > PIECE_CACHE:
+            self.trim()
         new = [p for p in kinds if p not in self.known]
         ends = [(p, len(p.rstrip(punctuation))) for p in new]
         ends = [(p, n) for p, n in ends if 0 < n < len(p) and p[n - 1].isalnum()]  # closing signs are a pre-token of their own

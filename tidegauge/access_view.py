@@ -307,7 +307,7 @@ def distinct_paths(spark, sf_dir):
 @query(_PATHS + ", r AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY first_ord) AS rn FROM p) SELECT cls, count(*) FILTER (rn <= 50) AS kept, coalesce(sum(n) FILTER (rn > 50), 0)::BIGINT AS dropped_requests FROM r GROUP BY cls")
 def path_cap(spark, sf_dir):
     """Requests beyond the first 50 paths seen, counted once for each of class and total."""
-    paths = M.path_stats(prepared(spark, sf_dir))
+    paths = M.path_stats(prepared(spark, sf_dir)).persist()
     kept = M.cap_paths(paths, 50, [None, *DEFAULT.names()]).groupBy("cls").agg(F.count(F.lit(1)).alias("kept"), F.sum("n").alias("__k"))
     total = paths.groupBy("cls").agg(F.sum("n").alias("__n")).withColumnRenamed("cls", "__c")
     return _named(kept.join(total, F.col("cls").eqNullSafe(F.col("__c"))).select("cls", "kept", (F.col("__n") - F.col("__k")).alias("dropped_requests")))

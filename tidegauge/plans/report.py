@@ -93,6 +93,7 @@ def build(events: DataFrame, dialect: str, source: str, counts: Counts, options:
     o = options.checked()
     cs, names = o.classes, o.classes.names()
     p = M.prepared(events.where(in_window(o)), cs.column()).persist(StorageLevel.MEMORY_AND_DISK)
+    paths = M.path_stats(p).persist(StorageLevel.MEMORY_AND_DISK)  # a row a path and class, read several times
     try:
         rows = {r["cls"]: r for r in M.summary(p).withColumn("window", M.window_seconds(F.col("first_ts"), F.col("last_ts"))).withColumn("f", F.unix_micros("first_ts")).withColumn("l", F.unix_micros("last_ts")).collect()}
         total = rows.get(None)
@@ -114,7 +115,6 @@ def build(events: DataFrame, dialect: str, source: str, counts: Counts, options:
             verdicts.setdefault(r["cls"], []).append((r["label"], r["n"]))
         terms = M.top_labels(M.label_counts(p, "term_state").where("cls is null"), 5).orderBy("place").collect()
         hosts = M.top_labels(M.label_counts(p, "host").where("cls is null"), 20).orderBy("place").collect()
-        paths = M.path_stats(p)
         kept = M.cap_paths(paths, o.max_paths, [None, *names])
         known = {r["cls"]: (r["count"], r["n"]) for r in kept.groupBy("cls").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("n")).collect()}
         distinct = paths.where("cls is null").count() if known.get(None, (0, 0))[0] == o.max_paths else known.get(None, (0, 0))[0]
@@ -132,6 +132,7 @@ def build(events: DataFrame, dialect: str, source: str, counts: Counts, options:
             for r in M.pools(kept, o.pool_size, o.pool_min_ok).orderBy("cls", "place").collect():
                 pools.setdefault(r["cls"], []).append(stat(r, rows[r["cls"]]["requests"]))
     finally:
+        paths.unpersist()
         p.unpersist()
 
     def latency(cls) -> dict | None:

@@ -18,6 +18,8 @@ A key's slot is found in constant time: level by level, the first level where it
 rank of that bit; the fingerprint then tells foreign keys.
 
 Null text is encoded as empty: the end id alone. Other columns are ignored. An empty table gives no shard.
+Special tokens' strings in a text are ordinary text (``encode_special_tokens``, as the notes of the vocabularies have it),
+so the tokenizer gives no special id.
 """
 
 from __future__ import annotations

@@ -196,6 +196,22 @@ def test_decontaminate_leaves_no_hit(spark):
     assert 203 not in kept
 
 
+@pytest.mark.parametrize("block", [fm_index.BLOCK_CHARS, 1])
+def test_fm_blocks_keep_rows_apart(spark, block):
+    """Rows that share an id and a word count, and cuts of one block that make or clip an occurrence of another."""
+    bench = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta eps"), (3, "gamma zeta")], "item_id long, text string")
+    texts = ["delta eps one", "one two three", "alpha beta gamma", "x alpha delta eps beta gamma y", "x alpha beta gamma zeta y", None]
+    docs = spark.createDataFrame([(t, i, len(t or "")) for t in texts for i in (None, 7)], "text string, doc_id long, n_chars int")
+    found = fm_index.digest(fm_index.occurrences(docs, bench, block_chars=block)).collect()
+    want = [brute_hits([(0, t)], [(1, "alpha beta gamma"), (2, "delta eps"), (3, "gamma zeta")])[0] for t in texts for _ in (0, 1)]
+    assert sorted((r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in found) == sorted(want)
+    left = fm_index.decontaminate(docs, bench, block_chars=block)
+    assert left.columns == docs.columns
+    kept = sorted(((r.text, r.doc_id, r.n_chars) for r in left.collect()), key=str)
+    # The doc "x alpha delta eps beta gamma y" has an occurrence of item 1 only after its first cut.
+    assert kept == sorted([(t, i, len(t or "")) for t in ("\n one", "one two three", "x \n y", "x \n y", None) for i in (None, 7)], key=str)
+
+
 def test_fm_of_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert fm_index.occurrences(frame(spark, []), bench).collect() == []

@@ -8,7 +8,8 @@ sampled suffix positions are built. All phrases are searched backwards at once t
 are located by walking to sampled positions, and hit words merge into removal spans.
 
 The benchmark is read in blocks of bounded size; each block is sent to all tasks, and documents are scanned once a
-block. Null or empty document text has no words and no hits. Null, empty or wordless items give no phrase. A null
+block. With several blocks, documents are written with a row number, by which the hits of all blocks meet; results
+don't depend on the number of blocks. Null or empty document text has no words and no hits. Null, empty or wordless items give no phrase. A null
 item_id counts as the text "null". Items that share an id count once; repeated documents give repeated rows.
 Other columns are ignored.
 """
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 from itertools import repeat
 
 import numpy as np
@@ -247,23 +248,38 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int
         yield Phrases(block, window)
 
 
+_KIND = "id long, n_words long, begins array<long>, ends array<long>, items array<string>"
+#: Identity of a row while several blocks are searched; fixed by writing it.
+_ROW = "__row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return materialize(docs.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
+
+
+def _block_hits(base: DataFrame, text_col: str, blocks: list[Phrases]) -> DataFrame:
+    """__row, b, e, i of the rows with hits: spans (not merged yet) and items of all blocks."""
+    texts = base.select(_ROW, F.col(text_col).cast("binary"))
+    found = [texts.mapInArrow(partial(_find, phrases=p), _KIND).where("size(begins) > 0") for p in blocks]
+    some = found[0]
+    for p in found[1:]:
+        some = some.union(p)
+    return materialize(some.groupBy(F.col("id").alias(_ROW)).agg(F.flatten(F.collect_list("begins")).alias("b"), F.flatten(F.collect_list("ends")).alias("e"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("i")), "hits")
+
+
 def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """id, n_words, begins, ends (merged spans of hit words), items: a row per document."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    kind = "id long, n_words long, begins array<long>, ends array<long>, items array<string>"
-    parts = [base.mapInArrow(partial(_find, phrases=p), kind) for p in _blocks(benchmark, item_col, item_text_col, block_chars, window)]
-    if len(parts) < 2:
-        return parts[0] if parts else base.mapInArrow(partial(_find, phrases=Phrases([])), kind)
-    # Of further blocks only documents with hits come back; they are few, and meet by id and word count.
-    first, *rest = parts
-    more = rest[0].where("size(begins) > 0")
-    for p in rest[1:]:
-        more = more.union(p.where("size(begins) > 0"))
-    more = materialize(more.groupBy("id", "n_words").agg(F.flatten(F.collect_list("begins")).alias("b"), F.flatten(F.collect_list("ends")).alias("e"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("i")), "hits")
-    joined = first.join(more, first["id"].eqNullSafe(more["id"]) & (first["n_words"] == more["n_words"]), "left").select(
-        first["id"], first["n_words"], F.concat("begins", F.coalesce("b", F.array().cast("array<long>"))).alias("begins"), F.concat("ends", F.coalesce("e", F.array().cast("array<long>"))).alias("ends"), F.array_sort(F.array_distinct(F.concat("items", F.coalesce("i", F.array().cast("array<string>"))))).alias("items")
-    )
-    return joined.mapInArrow(_remerge, kind)
+    blocks = list(_blocks(benchmark, item_col, item_text_col, block_chars, window))
+    if len(blocks) < 2:
+        return base.mapInArrow(partial(_find, phrases=blocks[0] if blocks else Phrases([])), _KIND)
+    # Of further blocks only documents with hits come back; they meet by row, as ids may be null or repeated.
+    base = _numbered(base)
+    first = base.select(_ROW, "text").mapInArrow(partial(_find, phrases=blocks[0]), _KIND).withColumnRenamed("id", _ROW)
+    none = {c: F.array().cast(f"array<{t}>") for c, t in (("b", "long"), ("e", "long"), ("i", "string"))}
+    joined = base.select(_ROW, "id").join(first, _ROW).join(_block_hits(base, "text", blocks[1:]), _ROW, "left")
+    both = joined.select("id", "n_words", *(F.concat(c, F.coalesce(x, none[x])).alias(c) for c, x in (("begins", "b"), ("ends", "e"))), F.array_sort(F.array_distinct(F.concat("items", F.coalesce("i", none["i"])))).alias("items"))
+    return both.mapInArrow(_remerge, _KIND)
 
 
 def _remerge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,6 +308,18 @@ def cut_spans(text: bytes, begins: list[int], ends: list[int]) -> bytes:
     return b"\n".join(out)
 
 
+def _with_texts(batch: pa.RecordBatch, texts: list, cut: set[int], text_at: int, chars_at: int | None) -> pa.RecordBatch:
+    """The batch with its cut texts; rows of which no word is left go."""
+    if not cut:
+        return batch
+    batch = batch.set_column(text_at, batch.schema.field(text_at), pa.array(texts, batch.schema.field(text_at).type))
+    if chars_at is not None:
+        f = batch.schema.field(chars_at)
+        batch = batch.set_column(chars_at, f, pa.array([len(texts[i]) if i in cut else n for i, n in enumerate(batch.column(chars_at).to_pylist())], f.type))
+    gone = [i for i in cut if not words_of(texts[i].encode())]
+    return batch.filter(pa.array(~np.isin(np.arange(len(texts)), gone))) if gone else batch
+
+
 @released
 def _cut(batches: Iterator[pa.RecordBatch], phrases: Phrases, text_at: int, chars_at: int | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -304,23 +332,32 @@ def _cut(batches: Iterator[pa.RecordBatch], phrases: Phrases, text_at: int, char
                 texts[i] = cut_spans(t, b, e).decode()
             live = [x[0] for x in found]
             cut.update(live)
-        if cut:
-            batch = batch.set_column(text_at, batch.schema.field(text_at), pa.array(texts, batch.schema.field(text_at).type))
-            if chars_at is not None:
-                f = batch.schema.field(chars_at)
-                batch = batch.set_column(chars_at, f, pa.array([len(texts[i]) if i in cut else n for i, n in enumerate(batch.column(chars_at).to_pylist())], f.type))
-            gone = [i for i in cut if not words_of(texts[i].encode())]
-            if gone:
-                batch = batch.filter(pa.array(~np.isin(np.arange(len(texts)), gone)))
-        yield batch
+        yield _with_texts(batch, texts, cut, text_at, chars_at)
+
+
+@released
+def _cut_found(batches: Iterator[pa.RecordBatch], text_at: int, chars_at: int | None) -> Iterator[pa.RecordBatch]:
+    """Cut the spans that stand in the last two columns, which go."""
+    for batch in batches:
+        n = batch.num_columns
+        spans = [merge_spans(np.array(b, np.int64), np.array(e, np.int64)) for b, e in zip(batch.column(n - 2).to_pylist(), batch.column(n - 1).to_pylist())]
+        texts = [cut_spans(t.encode(), b, e).decode() for t, (b, e) in zip(batch.column(text_at).to_pylist(), spans)]
+        yield _with_texts(batch.select(list(range(n - 2))), texts, set(range(len(texts))), text_at, chars_at)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` with every occurrence cut from the text; a text of which no word is left becomes empty and its row goes.
 
-    Rows without hits come back as they are. n_chars, where present, follows a cut text.
+    Rows without hits come back as they are. n_chars, where present, follows a cut text. With several blocks the spans
+    of all are cut together, and rows that were cut are searched again for all blocks, until a round finds nothing.
     """
-    out, chars = docs, docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    for p in _blocks(benchmark, item_col, item_text_col, block_chars, window):
-        out = out.mapInArrow(partial(_cut, phrases=p, text_at=docs.columns.index(text_col), chars_at=chars), docs.schema)
-    return out
+    text_at, chars = docs.columns.index(text_col), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    blocks = list(_blocks(benchmark, item_col, item_text_col, block_chars, window))
+    if len(blocks) < 2:
+        return docs.mapInArrow(partial(_cut, phrases=blocks[0], text_at=text_at, chars_at=chars), docs.schema) if blocks else docs
+    left, clean = _numbered(docs), []
+    while not (hits := _block_hits(left, text_col, blocks).select(_ROW, "b", "e")).isEmpty():
+        clean.append(left.join(hits, _ROW, "left_anti").select(*docs.columns))
+        marked = left.join(hits, _ROW).select(*left.columns, "b", "e")
+        left = materialize(marked.mapInArrow(partial(_cut_found, text_at=text_at, chars_at=chars), left.schema), "cut")
+    return reduce(DataFrame.unionByName, clean, left.select(*docs.columns))

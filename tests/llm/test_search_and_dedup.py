@@ -120,6 +120,17 @@ def test_keep_one(spark):
     assert sorted(kept) == sorted(want)
 
 
+def test_keep_one_of_null_and_repeated_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    near = a + " tail"
+    rows = [(1, a), (2, near), (2, b), (2, ""), (3, c), (3, c), (3, d), (4, b), (None, near), (None, "e f g"), (None, "e f g"), (None, "h i j"), (None, d + " x"), (None, None)]
+    rows += [(None, " ".join(f"n{i}" for i in range(60)) + t) for t in ("", " y", "")]
+    kept = sorted(((r.doc_id, r.text) for r in jaccard_join.keep_one(frame(spark, rows)).collect()), key=str)
+    lone = [r for r in kept if (r[1] or "").startswith("n0 ")]
+    assert len(lone) == 1 and lone[0] in rows  # near copies without any id: one of them
+    assert [r for r in kept if r not in lone] == sorted([(1, a), (2, b), (2, ""), (3, c), (3, d), (None, "e f g"), (None, "h i j"), (None, None)], key=str)
+
+
 def test_connected_components(spark):
     rnd = random.Random(9)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(120)] + [(1, 1), (300, 301), (301, 302), (302, 303), (303, 304)]

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidegauge.llm.common import BROADCAST_ROWS, hash_parts, materialize, mix64, released, table, word_hashes
 from tidegauge.llm.components import connected_components
@@ -280,6 +281,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     ``percent`` is the least similarity in hundredths; key prefixes are laid out for 80 or more.
     """
+    rows, whole = _components(docs, id_col, text_col, shingle, percent, broadcast_rows, small_group)
+    return rows.join(whole, "cls", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
+
+
+def _components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = 80, broadcast_rows: int = BROADCAST_ROWS, small_group: int = SMALL_GROUP) -> tuple[DataFrame, DataFrame]:
+    """(id, n, cls) of each document, cls null without words, and (cls, comp, component_id, copies) of each set: comp tells components of one smallest id apart."""
     if percent < 80:
         raise ValueError("the sketch layout holds for similarities of 0.8 or more")
     spark = docs.sparkSession
@@ -334,22 +341,44 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
     named = materialize(classes.join(labels.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "classes")
     smallest = named.groupBy("comp").agg(F.min("id").alias("component_id"))
-    whole = materialize(named.join(smallest, "comp").select("cls", "component_id", "copies"), "components")
-    return rows.join(whole, "cls", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    return rows, materialize(named.join(smallest, "comp").select("cls", "comp", "component_id", "copies"), "components")
+
+
+_CLASS = "__cls"
+
+
+@released
+def _classes(batches: Iterator[pa.RecordBatch], text_at: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Each row with the fingerprint of its token set, null without words."""
+    for batch in sliced(batches, 2000):
+        sets = [shingle_set(t, k) for t in batch.column(text_at).cast(pa.binary()).to_pylist()]
+        yield batch.append_column(_CLASS, pa.array([set_class(u) if len(u) else None for u in sets], pa.int64()))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the row with the smallest id.
+    """The rows of ``docs`` that stay: of each component one row, that of the smallest id (null ids come last).
 
-    Rows without words stay, as do rows with a null id (nothing tells them apart); rows that repeat an id of a
-    component are one document, of which one row stays.
+    Rows without words stay. Where ids are null or repeated, the id doesn't tell rows apart: there a row goes by its
+    id and token set, so a different text under the same id is a row of its own. Among the rows of a component's
+    smallest id the least set fingerprint stays, and of equal sets the least text.
     """
     limit = kw.get("broadcast_rows", BROADCAST_ROWS)
-    found = materialize(jaccard_components(docs, id_col, text_col, **kw).where("n_shingles > 0 and doc_id is not null"), "links")
-    drop = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct(), "drop")
-    kept = docs.join(F.broadcast(drop) if drop.count() <= limit else drop, docs[id_col] == drop["__id"], "left_anti")
-    twice = materialize(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id")), "twice")
-    if twice.isEmpty():
-        return kept
-    on = kept[id_col] == twice["__id"]
-    return kept.join(twice, on, "left_anti").unionByName(kept.join(twice, on, "left_semi").dropDuplicates([id_col]))
+    rows, whole = _components(docs, id_col, text_col, **kw)
+    found = materialize(rows.join(whole, "cls", "left").select("id", "cls", "comp", "component_id"), "links")
+    drop = materialize(found.where("id <> component_id").select(F.col("id").alias("__id")).distinct(), "drop")
+    twice = materialize(found.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias("__id")), "twice")
+
+    def by_id(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        return rows.join(F.broadcast(ids) if ids.count() <= limit else ids, rows[id_col].cast("long") == ids["__id"], how)
+
+    if twice.isEmpty() and found.where("id is null").isEmpty():
+        return by_id(docs, drop, "left_anti")
+    known = docs.where(F.col(id_col).isNotNull())
+    unclear = docs.where(F.col(id_col).isNull()).unionByName(by_id(known, twice, "left_semi"))
+    schema = StructType([*docs.schema.fields, StructField(_CLASS, LongType())])
+    unclear = materialize(unclear.mapInArrow(partial(_classes, text_at=docs.columns.index(text_col), k=kw.get("shingle", SHINGLE)), schema), "unclear")
+    first = found.where("cls is not null").groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("cls").alias("cls"))).alias("f"))
+    first = first.select(F.col("f.id").alias("__id"), F.col("f.cls").alias("__first"))
+    best = unclear.where(F.col(_CLASS).isNotNull()).join(first, (F.col(_CLASS) == F.col("__first")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    best = best.groupBy(F.col(id_col).alias("__id"), _CLASS).agg(F.min_by(F.struct(*docs.columns), text_col).alias("row")).select("row.*")
+    return by_id(by_id(known, twice, "left_anti"), drop, "left_anti").unionByName(unclear.where(F.col(_CLASS).isNull()).select(*docs.columns)).unionByName(best)

@@ -5,8 +5,10 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import re
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -19,19 +21,36 @@ BROADCAST_ROWS = 2_000_000
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder (a local one is made only if none is set)."""
+    """A fresh folder under the cluster's shared checkpoint folder. Only in one JVM may that be a local one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidegauge-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tidegauge/{name}-{uuid.uuid4().hex}"
 
 
+#: Folder of each written table, for ``discard``.
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: cuts lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Remove tables of ``materialize`` that nothing reads any more, through Hadoop's file system interface."""
+    for df in written:
+        if path := _WRITTEN.pop(df, None):
+            jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def hash_parts(spark: SparkSession, factor: int = 4) -> int:

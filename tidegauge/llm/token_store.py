@@ -1,21 +1,24 @@
 """Token-id shards with a minimal perfect hash index.
 
-Documents are ordered by key (doc_id; nulls first, equal keys by text), encoded, and cut into shards of whole
-documents. A shard is one record of a Parquet table written by Spark, so it is committed whole, can lie in any
-store that Spark writes, and survives lost executors:
+Texts are encoded where they lie, and only their packed ids are dealt out in key order (doc_id; nulls first, equal keys
+by the first 64 characters of their texts, then by a hash of the whole) and cut into shards of whole documents. A
+shard is one record of a Parquet table written by Spark, so it is committed whole, can lie in any store that Spark
+writes, and survives lost executors; it has a row group of its own, so single shards can be read:
 
-    first_key, last_key   the shard's key range (null: keyless documents)
+    shard, base           number, by writing task and place; ids that the task wrote before it
+    first_key, last_key   the shard's key range (absent keys: the least long)
     ids                   raw little-endian ids of its documents, 2 bytes each if the vocabulary fits, else 4
     width                 2 or 4
-    n_ids, n_docs         totals
+    n_ids, n_docs         totals; n_keyless: documents without a key, which come first
     levels                the perfect hash: for each level, its size in bits (u32), then all bit arrays
     fingerprints          u32 of each slot's key
-    offsets, lengths      u64 each slot: first id in the shard, number of ids of all documents with that key
+    offsets, lengths      u64 each slot: first id in the shard, number of ids of all its documents with that key
     doc_starts            u64 for each document in order: first id in the shard (tells equal keys apart)
     keys                  i64 for each document in order (absent keys: the least long)
 
 A key's slot is found in constant time: level by level, the first level where its bit is set gives the slot as the
-rank of that bit; the fingerprint then tells foreign keys.
+rank of that bit; the fingerprint then tells foreign keys. A key with more documents than a shard holds goes on in
+the next ones, so equal keys (null ones too) never make a record too large.
 
 Null text is encoded as empty: the end id alone. Other columns are ignored. An empty table gives no shard.
 Special tokens' strings in a text are ordinary text (``encode_special_tokens``, as the notes of the vocabularies have it),
@@ -25,29 +28,32 @@ so the tokenizer gives no special id.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
-from functools import partial
-from itertools import chain
+from functools import partial, reduce
+from itertools import islice
 from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import mix64, released, scratch_path, table
+from tidegauge.llm.common import BROADCAST_ROWS, discard, materialize, mix64, released, scratch_path, table
 
 #: Ids after which a shard is closed; a longer document has a shard of its own.
 SHARD_IDS = 4_000_000
 GAMMA, MAX_LEVELS = 2.0, 48
-#: Pieces a worker remembers within a task, and those it may keep for the next one.
-PIECE_CACHE, COMMON_PIECES = 800_000, 300_000
+#: Bytes of text encoded at a time, and repeated words that a task remembers between such slices.
+SLICE_BYTES, COMMON_WORDS = 4_000_000, 100_000
+#: Characters of a text by which equal keys are ordered before a hash of the whole decides.
+HEAD = 64
 NO_KEY = -(2**63)
-LAYOUT = "shard long, first_key long, last_key long, width int, n_ids long, n_docs long, levels binary, fingerprints binary, offsets binary, lengths binary, doc_starts binary, keys binary, ids binary"
-_SHARD = pa.schema([("shard", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64()), ("width", pa.int32()), ("n_ids", pa.int64()), ("n_docs", pa.int64())] + [(c, pa.binary()) for c in ("levels", "fingerprints", "offsets", "lengths", "doc_starts", "keys", "ids")])
+_NUMBERS, _BYTES = ("shard", "base", "first_key", "last_key", "n_ids", "n_docs", "n_keyless"), ("levels", "fingerprints", "offsets", "lengths", "doc_starts", "keys", "ids")
+LAYOUT = ", ".join([*(f"{c} long" for c in _NUMBERS), "width int", *(f"{c} binary" for c in _BYTES)])
+_SHARD = pa.schema([*((c, pa.int64()) for c in _NUMBERS), ("width", pa.int32()), *((c, pa.binary()) for c in _BYTES)])
 
 
 class PerfectHash:
@@ -105,15 +111,19 @@ def fingerprint(keys: np.ndarray) -> np.ndarray:
     return (mix64(keys.astype(np.uint64) ^ np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype("<u4")
 
 
-_TIGHT = re.compile(r"\s\s| \Z|\0")
+#: White space of any kind twice in a row, a space at the end, or the mark of a line's first word: such texts are encoded whole.
+_SPACE = r"[\t-\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_TIGHT = rf"{_SPACE}{{2}}| \z|\x00"
+_FIRST = "\0"
 
 
 class Encoder:
     """Whole texts to packed ids.
 
     The tokenizer begins a new pre-token at a space between two non-spaces, and gives a line break between two
-    non-spaces one of its own. Between those, pieces are independent, so each distinct one is encoded once and
-    remembered. Texts with other white space runs are encoded as they are.
+    non-spaces one of its own. Between those, words are independent: the words of a slice of texts become a
+    dictionary, each entry is encoded once, and ids are gathered by entry. Texts with other white space runs are
+    encoded as they are. A bounded number of repeated words is remembered until the task ends.
     """
 
     def __init__(self, tokenizer_file: str, width: int):
@@ -124,59 +134,103 @@ class Encoder:
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = {2: "<u2", 4: "<u4"}[width]
         self.width = width
-        self.line = self.tok.encode("\n", add_special_tokens=False).ids
-        self.fixed = {"\n": self.pack(self.line), "\0": b""}
-        self.known: dict[str, bytes] = dict(self.fixed)
-        self.last: set[str] = set()
-        self.common: set[str] = set()
+        self.line = self.whole("\n")
+        self.fixed = {"\n": self.line, _FIRST: b"", "": b""}
+        self.known: dict[str, bytes] = {}
+        size = self.tok.get_vocab_size()
+        self.opens = np.array([(self.tok.id_to_token(i) or "").startswith("\u0120") for i in range(size)])  # \u0120 stands for a space
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
-    @staticmethod
-    def plain(piece: str) -> str:
-        """A piece as it stands in the text: after a space, unless it is marked as first of a line."""
-        return piece[1:] if piece[0] == "\0" else " " + piece
-
-    def learn(self, pieces: list[str], together: int = 400) -> None:
-        """Encode pieces, many in one call: a line break parts them and shows as one id."""
-        parts = [pieces[i : i + together] for i in range(0, len(pieces), together)]
-        for part, e in zip(parts, self.tok.encode_batch_fast(["\n".join(map(self.plain, p)) for p in parts], add_special_tokens=False)):
+    def whole(self, text: str) -> bytes:
+        return self.pack(self.tok.encode(text, add_special_tokens=False).ids)
+
+    def _many(self, words: list[str], first: bool, together: int = 2000) -> list[bytes]:
+        """Ids of words that follow a space (or begin a line), many in one call, told apart by their first ids."""
+        out: list[bytes] = []
+        parts = [words[i : i + together] for i in range(0, len(words), together)]
+        joined = ["\n".join(p) if first else " " + " ".join(p) for p in parts]
+        for part, e in zip(parts, self.tok.encode_batch_fast(joined, add_special_tokens=False)):
             ids = np.array(e.ids, self.kind)
-            cut = np.flatnonzero(ids == self.line[0])
-            if len(self.line) != 1 or len(cut) != len(part) - 1:
-                self.known.update((p, self.pack(self.tok.encode(self.plain(p), add_special_tokens=False).ids)) for p in part)
-                continue
             raw, w = ids.tobytes(), self.width
-            at = [0, *((cut + 1) * w).tolist()]
-            self.known.update(zip(part, (raw[a:b] for a, b in zip(at, [*(cut * w).tolist(), len(raw)]))))
-
-    def trim(self) -> None:
-        """Between tasks only the pieces that came up in several batches stay."""
-        if len(self.common) > COMMON_PIECES:
-            self.common = self.last & self.common
-        self.known = {p: self.known[p] for p in self.common if p in self.known} | self.fixed
-
-    def encode(self, texts: list[str | None], end: int) -> list[bytes]:
-        stop = self.pack([end])
-        split = [None if not t or _TIGHT.search(t) else ("\0" + t).replace("\n", " \n \0").split(" ") for t in texts]
-        self.last = kinds = set(chain.from_iterable(s for s in split if s))
-        self.common |= kinds & self.known.keys()
-        if len(self.known) + len(kinds) > PIECE_CACHE:
-            self.trim()
-        new = [p for p in kinds if p not in self.known]
-        ends = [(p, len(p.rstrip(punctuation))) for p in new]
-        ends = [(p, n) for p, n in ends if 0 < n < len(p) and p[n - 1].isalnum()]  # closing signs are a pre-token of their own
-        self.learn(list({p for p in new} - {p for p, _ in ends} | {x for p, n in ends for x in (p[:n], "\0" + p[n:])} - self.known.keys()))
-        self.known.update([(p, self.known[p[:n]] + self.known["\0" + p[n:]]) for p, n in ends])
-        get = self.known.__getitem__
-        return [(b"".join(map(get, s)) if s else self.pack(self.tok.encode(t or "", add_special_tokens=False).ids)) + stop for s, t in zip(split, texts)]
-
-
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
-
-
-def _pack(name: int, keys: list[int | None], parts: list[bytes], width: int) -> pa.RecordBatch:
+            if first:  # a line break parts them and shows as one id
+                cut = np.flatnonzero(ids == np.frombuffer(self.line, self.kind)[0])
+                begin, end = np.r_[0, cut + 1], np.r_[cut, len(ids)]
+            else:
+                begin = np.flatnonzero(self.opens[ids])
+                end = np.r_[begin[1:], len(ids)]
+            if len(begin) == len(part) and len(self.line) == w:
+                out.extend(raw[a:b] for a, b in zip((begin * w).tolist(), (end * w).tolist()))
+            else:
+                out.extend(self.whole(x if first else " " + x) for x in part)
+        return out
+
+    def words(self, words: list[str], again: list[bool]) -> list[bytes]:
+        """Ids of distinct words as they stand in texts; those met again are remembered while there is room."""
+        out = [self.fixed.get(x) if len(x) < 2 else self.known.get(x) for x in words]
+        new = [(i, words[i]) for i, x in enumerate(out) if x is None]
+        stems: dict[str, bytes] = {}
+        cut = []
+        for _, x in new:
+            n = len(x.rstrip(punctuation))
+            n = n if 0 < n < len(x) and x[n - 1].isalnum() else len(x)  # closing signs are a pre-token of their own
+            cut.append(n)
+            stems[x[:n]] = b""
+            if n < len(x):
+                stems[_FIRST + x[n:]] = b""
+        for first in (False, True):
+            some = [x for x in stems if x.startswith(_FIRST) == first]
+            stems.update(zip(some, self._many([x[1:] for x in some] if first else some, first)))
+        for (i, x), n in zip(new, cut):
+            out[i] = stems[x] if n == len(x) else stems[x[:n]] + stems[_FIRST + x[n:]]
+            if again[i] and len(self.known) < COMMON_WORDS:
+                self.known[x] = out[i]
+        return out
+
+    def encode(self, texts: pa.Array, end: int) -> list[bytes]:
+        """Packed ids of each text, the end id last."""
+        texts, stop = pc.fill_null(texts, ""), self.pack([end])
+        tight = pc.match_substring_regex(texts, _TIGHT)
+        some = pc.filter(texts, pc.invert(tight))
+        lines = pc.replace_substring(some, "\n", " \n " + _FIRST)
+        split = pc.split_pattern(pc.binary_join_element_wise(_FIRST, lines, ""), " ")
+        coded = pc.dictionary_encode(split.flatten())
+        at = coded.indices.to_numpy()
+        again = np.bincount(at, minlength=len(coded.dictionary)) > 1
+        ids = self.words(coded.dictionary.to_pylist(), again.tolist())
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // self.width
+        flat = np.frombuffer(b"".join(ids), self.kind)
+        length, begin = size[at], (np.cumsum(size, dtype=np.int32) - size)[at]
+        stops = np.cumsum(length, dtype=np.int32)
+        gathered = flat[np.repeat(begin - stops + length, length) + np.arange(int(length.sum()), dtype=np.int32)].tobytes()
+        edges = (np.r_[0, stops][split.offsets.to_numpy() - split.offsets[0].as_py()] * self.width).tolist()
+        plain = (gathered[a:b] for a, b in zip(edges[:-1], edges[1:]))
+        return [(self.whole(texts[i].as_py()) if t else next(plain)) + stop for i, t in enumerate(tight.to_pylist())]
+
+
+_ENCODED = pa.schema([("k", pa.int64()), ("head", pa.string()), ("mark", pa.int64()), ("salt", pa.int64()), ("ids", pa.binary())])
+
+
+def text_slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about so many bytes of text, or one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+@released
+def _encode(batches: Iterator[pa.RecordBatch], tokenizer_file: str, end: int, width: int) -> Iterator[pa.RecordBatch]:
+    enc = Encoder(tokenizer_file, width)
+    for batch in batches:
+        for part in text_slices(batch, 4, SLICE_BYTES):
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(enc.encode(part.column(4), end), pa.binary())], schema=_ENCODED)
+
+
+def _pack(name: int, base: int, keys: list[int | None], parts: list[bytes], width: int) -> pa.RecordBatch:
     n = np.array([len(p) // width for p in parts], np.int64)
     start = np.cumsum(n) - n
     k = np.array([NO_KEY if x is None else x for x in keys], np.int64)
@@ -187,37 +241,46 @@ def _pack(name: int, keys: list[int | None], parts: list[bytes], width: int) ->
     offsets, lengths, prints = np.empty(len(head), "<u8"), np.empty(len(head), "<u8"), np.empty(len(head), "<u4")
     offsets[slot], lengths[slot], prints[slot] = start[head], total, fingerprint(k[head])
     raw = {"levels": mph.to_bytes(), "fingerprints": prints.tobytes(), "offsets": offsets.tobytes(), "lengths": lengths.tobytes(), "doc_starts": start.astype("<u8").tobytes(), "keys": k.astype("<i8").tobytes(), "ids": b"".join(parts)}
-    return table({"shard": [name], "first_key": [keys[0]], "last_key": [keys[-1]], "width": [width], "n_ids": [int(n.sum())], "n_docs": [len(n)]} | {c: [v] for c, v in raw.items()}, _SHARD)
+    numbers = {"shard": name, "base": base, "first_key": int(k[0]), "last_key": int(k[-1]), "width": width, "n_ids": int(n.sum()), "n_docs": len(n), "n_keyless": sum(x is None for x in keys)}
+    return table({c: [v] for c, v in (numbers | raw).items()}, _SHARD)
 
 
 @released
-def _encode(batches: Iterator[pa.RecordBatch], tokenizer_file: str, end: int, width: int) -> Iterator[pa.RecordBatch]:
-    enc = _ENCODERS.get((tokenizer_file, width)) or _ENCODERS.setdefault((tokenizer_file, width), Encoder(tokenizer_file, width))
-    part, number = TaskContext.get().partitionId(), 0
+def _shards(batches: Iterator[pa.RecordBatch], width: int, shard_ids: int) -> Iterator[pa.RecordBatch]:
+    part, number, base = TaskContext.get().partitionId(), 0, 0
     keys: list = []
     parts: list[bytes] = []
     size = 0
     for batch in batches:
-        for i in range(0, batch.num_rows, 1000):
-            ks, ts = batch.column(0).slice(i, 1000).to_pylist(), batch.column(1).slice(i, 1000).to_pylist()
-            for k, p in zip(ks, enc.encode(ts, end)):
-                if size >= SHARD_IDS and k != keys[-1]:
-                    yield _pack((part << 32) + number, keys, parts, width)
-                    keys, parts, size, number = [], [], 0, number + 1
-                keys.append(k)
-                parts.append(p)
-                size += len(p) // width
+        for k, p in zip(batch.column(0).to_pylist(), (x.as_py() for x in batch.column(1))):
+            if size >= shard_ids:
+                yield _pack((part << 32) + number, base, keys, parts, width)
+                keys, parts, size, number, base = [], [], 0, number + 1, base + size
+            keys.append(k)
+            parts.append(p)
+            size += len(p) // width
     if keys:
-        yield _pack((part << 32) + number, keys, parts, width)
-    enc.trim()
+        yield _pack((part << 32) + number, base, keys, parts, width)
+
 
+def encode_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", end: int = 2, width: int = 2) -> DataFrame:
+    """k, head, mark, salt, ids of each document: packed ids, and what orders equal keys. Written out, so each text is encoded once."""
+    text = F.col(text_col).cast("string")
+    base = docs.select(F.col(id_col).cast("long").alias("k"), F.substring(text, 1, HEAD).alias("head"), F.xxhash64(text).alias("mark"), F.monotonically_increasing_id().alias("salt"), text.alias("text"))
+    return materialize(base.mapInArrow(partial(_encode, tokenizer_file=tokenizer_file, end=end, width=width), "k long, head string, mark long, salt long, ids binary"), "encoded", "snappy")
 
-def write_store(docs: DataFrame, path: str, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", end: int = 2, vocabulary: int = 50_257) -> None:
-    """Encode all documents in ascending key order and write their shards as the table ``path``."""
+
+def write_store(docs: DataFrame, path: str, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", end: int = 2, vocabulary: int = 50_257, shard_ids: int = SHARD_IDS) -> None:
+    """Encode all documents and write their shards, in ascending key order, as the table ``path``."""
     width = 2 if vocabulary <= 1 << 16 else 4
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).repartitionByRange(n, "k").sortWithinPartitions("k", "t")
-    ordered.mapInArrow(partial(_encode, tokenizer_file=tokenizer_file, end=end, width=width), LAYOUT).write.option("compression", "zstd").parquet(path)
+    encoded = encode_documents(docs, tokenizer_file, id_col, text_col, end, width)
+    order = ("k", "head", "mark", "salt")  # the salt tells only rows apart that are alike, so a hot key is dealt out too
+    ordered = encoded.repartitionByRange(n, *order).sortWithinPartitions(*order).select("k", "ids")
+    shards = ordered.mapInArrow(partial(_shards, width=width, shard_ids=shard_ids), LAYOUT)
+    # One shard a row group, so that a filter on ``shard`` reads the shards asked for and no other.
+    shards.write.option("compression", "zstd").option("parquet.block.row.count.limit", 1).parquet(path)
+    discard(encoded)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -243,61 +306,101 @@ class Shard:
 
 
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-_READ = ("shard", "levels", "fingerprints", "offsets", "lengths", "ids", "width", "keys", "doc_starts", "n_ids")
+_INDEX = ("shard", "levels", "fingerprints", "offsets", "lengths", "ids", "width")
+_READ = (*_INDEX, "keys", "doc_starts", "n_ids", "n_keyless", "base")
 
 
-def _digests(batches: Iterator[pa.RecordBatch], bases: dict[int, int]) -> Iterator[pa.RecordBatch]:
+def _rows(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[Shard, dict]]:
     for batch in batches:
         for row in range(batch.num_rows):
-            r = {c: batch.column(i)[row].as_py() for i, c in enumerate(_READ)}
-            shard = Shard(r["levels"], r["fingerprints"], r["offsets"], r["lengths"], r["ids"], r["width"])
-            keys, starts = np.frombuffer(r["keys"], "<i8"), np.frombuffer(r["doc_starts"], "<u8").astype(np.int64)
-            at, n = shard.find(keys)
-            if (at < 0).any():
-                raise ValueError(f"shard {r['shard']}: a stored key isn't found by its index")
-            inside = starts - at  # documents of one key follow each other
-            stop = np.minimum(np.r_[starts[1:], r["n_ids"]], at + n)
-            begin = at + inside
-            crc = [zlib.crc32(shard.ids[i:j].astype("<u4").tobytes()) for i, j in zip(begin.tolist(), stop.tolist())]
-            yield table({"doc_id": [None if k == NO_KEY else k for k in keys.tolist()], "start": begin + bases[r["shard"]], "n_tokens": stop - begin, "ids_crc32": crc}, _DIGEST)
+            r = {c: batch.column(i)[row].as_py() for i, c in enumerate(columns)}
+            yield Shard(*(r[c] for c in _INDEX[1:])), r
+
+
+@released
+def _digests(batches: Iterator[pa.RecordBatch], bases: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    for shard, r in _rows(batches, _READ):
+        keys, starts = np.frombuffer(r["keys"], "<i8"), np.frombuffer(r["doc_starts"], "<u8").astype(np.int64)
+        at, n = shard.find(keys)
+        if (at < 0).any():
+            raise ValueError(f"shard {r['shard']}: a stored key isn't found by its index")
+        inside = starts - at  # documents of one key follow each other
+        stop = np.minimum(np.r_[starts[1:], r["n_ids"]], at + n)
+        begin = at + inside
+        crc = [zlib.crc32(shard.ids[i:j].astype("<u4").tobytes()) for i, j in zip(begin.tolist(), stop.tolist())]
+        names = pa.array(keys, pa.int64(), mask=np.arange(len(keys)) < r["n_keyless"])
+        yield table({"doc_id": names, "start": begin + bases[r["shard"] >> 32] + r["base"], "n_tokens": stop - begin, "ids_crc32": crc}, _DIGEST)
 
 
 def document_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every stored document, each found through its shard's index."""
     store = read_store(spark, path)
     bases, total = {}, 0
-    for r in store.select("shard", "n_ids").orderBy("shard").collect():  # two numbers a shard
-        bases[r["shard"]], total = total, total + r["n_ids"]
+    sizes = store.groupBy(F.shiftright("shard", 32).alias("part")).agg(F.max(F.col("base") + F.col("n_ids")).alias("n"))
+    for r in sizes.orderBy("part").collect():  # a number for each writing task, whose count is a setting
+        bases[r["part"]], total = total, total + r["n"]
     return store.select(*_READ).mapInArrow(partial(_digests, bases=bases), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def _lookup(wanted: pa.Table, shards: pa.Table) -> pa.Table:
-    keys = np.array([NO_KEY if k is None else k for k in wanted.column("key").to_pylist()], np.int64)
-    ids: list = [None] * len(keys)
-    for row in range(shards.num_rows):
-        r = {c: shards.column(c)[row].as_py() for c in _READ[:7]}
-        shard = Shard(*(r[c] for c in _READ[1:7]))
-        for i, (a, n) in enumerate(zip(*(x.tolist() for x in shard.find(keys)))):
-            if a >= 0:
-                ids[i] = shard.ids[a : a + n].tolist()
-    return pa.table({"key": wanted.column("key"), "ids": pa.array(ids, pa.list_(pa.int64()))})
+def _route(batches: Iterator[pa.RecordBatch], names: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(key, shard) for each shard whose key range holds the key."""
+    for batch in batches:
+        k = batch.column(0).to_numpy()
+        lo, hi = np.searchsorted(last, k, side="left"), np.searchsorted(first, k, side="right")
+        n = np.maximum(hi - lo, 0)
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(k, n)), pa.array(names[at])], names=["k", "shard"])
+
+
+def _ranges(places: np.ndarray, most: int = 64) -> list[tuple[int, int]]:
+    """Sorted places as at most so many closed ranges, the nearest ones joined."""
+    gaps = np.diff(places)
+    cut = np.sort(np.argsort(-gaps, kind="stable")[: most - 1])
+    cut = cut[gaps[cut] > 1]
+    return list(zip(places[np.r_[0, cut + 1]].tolist(), places[np.r_[cut, len(places) - 1]].tolist()))
+
+
+_FOUND = pa.schema([("k", pa.int64()), ("shard", pa.int64()), ("ids", pa.list_(pa.int32()))])
+
+
+@released
+def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for shard, r in _rows(batches, (*_INDEX, "wanted")):
+        keys = np.array(r["wanted"], np.int64)
+        at, n = shard.find(keys)
+        hit = np.flatnonzero(at >= 0)
+        yield table({"k": keys[hit], "shard": [r["shard"]] * len(hit), "ids": [shard.ids[at[i] : at[i] + n[i]] for i in hit]}, _FOUND)
 
 
-def lookup(spark: SparkSession, path: str, keys: DataFrame, key_col: str = "key") -> DataFrame:
-    """key, ids for each row of ``keys`` (ids null where absent), in constant time a key.
+def lookup(spark: SparkSession, path: str, keys: DataFrame, key_col: str = "key", block: int = BROADCAST_ROWS) -> DataFrame:
+    """key, ids for each row of ``keys`` (ids null where absent); a null key asks for keyless documents.
 
-    The directory of shards (two keys each) goes to the driver; each key meets its one shard.
+    Keys are routed by the directory of shards (two keys each), which goes to the tasks in blocks of at most ``block``
+    shards. Only the row groups of shards asked for are read, and a key costs a constant number of probes in each.
+    Ids of documents that share a key follow each other. Where more than ``block`` distinct keys are asked for,
+    shards travel to them by a shuffle, else the keys are sent to the shards.
     """
     store = read_store(spark, path)
-    directory = store.select("shard", "first_key", "last_key").orderBy("shard").collect()
-    edges = [NO_KEY if r["first_key"] is None else r["first_key"] for r in directory]
-    names = [r["shard"] for r in directory]
-    if not names:
-        return keys.select(F.col(key_col).cast("long").alias("key"), F.lit(None).cast("array<long>").alias("ids"))
-    k = F.coalesce(F.col("key"), F.lit(NO_KEY))
-    at = F.size(F.filter(F.lit(edges), lambda e: e <= k))
-    routed = keys.select(F.col(key_col).cast("long").alias("key")).withColumn("shard", F.element_at(F.lit(names), F.greatest(at, F.lit(1))))
-    return routed.groupBy("shard").cogroup(store.groupBy("shard")).applyInArrow(_lookup, "key long, ids array<long>")
+    asked = keys.select(F.col(key_col).cast("long").alias("key"), F.coalesce(F.col(key_col).cast("long"), F.lit(NO_KEY)).alias("k"))
+    found = spark.createDataFrame([], "k long, shard long, ids array<int>")
+    for part in _blocks(store.select("shard", "first_key", "last_key").orderBy("shard").toLocalIterator(), block):
+        names, first, last = np.array(part, np.int64).T
+        routed = materialize(asked.select("k").distinct().mapInArrow(partial(_route, names=names, first=first, last=last), "k long, shard long"), "routed")
+        places = np.searchsorted(names, np.array([r["shard"] for r in routed.select("shard").distinct().collect()], np.int64))  # at most a block
+        if not len(places):
+            continue
+        near = reduce(Column.__or__, (F.col("shard").between(int(names[a]), int(names[b])) for a, b in _ranges(np.sort(places))))
+        wanted = routed.groupBy("shard").agg(F.collect_list("k").alias("wanted"))
+        wanted = F.broadcast(wanted) if routed.count() <= block else wanted
+        found = found.union(store.where(near).select(*_INDEX).join(wanted, "shard").select(*_INDEX, "wanted").mapInArrow(_find, "k long, shard long, ids array<int>"))
+    whole = found.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "ids"))), lambda x: x["ids"]).alias("ids"))
+    return asked.join(whole, "k", "left").select("key", F.flatten("ids").alias("ids"))
+
+
+def _blocks(rows: Iterator, size: int) -> Iterator[list]:
+    rows = iter(rows)
+    while part := list(islice(rows, size)):
+        yield part
 
 
 def store_documents(docs: DataFrame, tokenizer_file: str, path: str | None = None, **kw) -> DataFrame:

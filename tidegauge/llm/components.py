@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import BROADCAST_ROWS, materialize
+from tidegauge.llm.common import BROADCAST_ROWS, discard, materialize
 
 
 def _star(edges: DataFrame, large: bool, small_table: bool) -> DataFrame:
@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, broadcast_rows:
             break
         seen = state
         small_table = 2 * state["n"] <= broadcast_rows
-        now = materialize(_star(_star(now, True, small_table), False, small_table), "cc")
+        last, now = now, materialize(_star(_star(now, True, small_table), False, small_table), "cc")
+        discard(last)
     else:
         raise RuntimeError("components did not converge")
     return now.select(F.col("a").alias("v"), F.col("b").alias("comp")).union(now.select(F.col("b").alias("v"), F.col("b").alias("comp")).distinct())

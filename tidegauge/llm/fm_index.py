@@ -1,38 +1,37 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-Benchmark items give phrases: every window of ten consecutive words, or the whole item if it has fewer. A shard
-is a run of documents held by one task. Its words become ids of the benchmark's vocabulary; a word outside it can't
-be part of an occurrence, so it ends a run, and runs shorter than the shortest phrase are left out. Over the runs
-of a shard, parted by unique separators, a suffix array, its Burrows-Wheeler transform in a wavelet matrix and
-sampled suffix positions are built. All phrases are searched backwards at once through rank queries, occurrences
-are located by walking to sampled positions, and hit words merge into removal spans.
-
-The benchmark is read in blocks of bounded size; each block is sent to all tasks, and documents are scanned once a
-block. With several blocks, documents are written with a row number, by which the hits of all blocks meet; results
-don't depend on the number of blocks. Null or empty document text has no words and no hits. Null, empty or wordless items give no phrase. A null
-item_id counts as the text "null". Items that share an id count once; repeated documents give repeated rows.
-Other columns are ignored.
+Benchmark items give phrases: every window of ten consecutive words, or the whole item if it has fewer. A shard is a
+run of documents held by one task. All its words become ids of the shard's own vocabulary, and over its distinct texts,
+parted by unique separators, a suffix array, its Burrows-Wheeler transform in a wavelet matrix and sampled suffix
+positions are built, with no regard to the benchmark. Phrases are then searched backwards, all at once, through rank
+queries; occurrences are located by walking to sampled positions, and hit words merge into removal spans.
+
+The benchmark is read in blocks of bounded size, one at a time on the driver; a block is sent to all tasks, and
+documents are scanned once a block. With several blocks, documents are written with a row number, by which the hits of
+all blocks meet; results don't depend on the number of blocks. Null or empty document text has no words and no hits.
+Null, empty or wordless items give no phrase. A null item_id counts as the text "null". Items that share an id count
+once; repeated documents give repeated rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial, reduce
-from itertools import repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import materialize, released, table
+from tidegauge.llm.common import IdCache, discard, materialize, released, table, text_slices
 
 WINDOW = 10
 #: Characters of benchmark text that one block may hold.
 BLOCK_CHARS = 8_000_000
-#: Words of documents that a shard holds before its index is built, and the spacing of sampled positions.
-SHARD_WORDS, SAMPLE = 3_000_000, 8
+#: Words (of about six bytes) that a shard holds before its index is built, and the spacing of sampled positions.
+SHARD_WORDS, SAMPLE = 600_000, 8
 #: Bytes that aren't word characters, as given by the contract: every ASCII byte but digits and letters.
 _BREAKS = bytes(c for c in range(128) if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122))
 _TO_SPACE = bytes.maketrans(_BREAKS + bytes(range(65, 91)), b" " * len(_BREAKS) + bytes(range(97, 123)))
@@ -74,21 +73,36 @@ class WaveletMatrix:
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """By prefix doubling, until all suffixes differ."""
+    """Suffixes in order: a first sort by as many symbols as a long holds, then by doubled prefixes those still alike.
+
+    Symbols are at least 0 and the last one is unique, as is any symbol that parts runs.
+    """
     n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    step = 1
-    while True:
-        second = np.full(n, 0, np.int64)
-        second[: n - step] = rank[step:] + 1
-        key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.r_[0, k[1:] != k[:-1]])
-        rank, step = new, step * 2
-        if rank[order[-1]] == n - 1 or step >= n:
-            return order
+    bits = max(1, int(text.max()).bit_length())
+    step = max(1, 62 // bits)
+    key = np.zeros(n, np.int64)
+    for at in range(step):
+        key <<= bits
+        key[: max(0, n - at)] |= text[at:]
+    order = np.argsort(key)
+    key = key[order]
+    head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[head, n])
+    rank = np.empty(n, np.int64)  # where a suffix's group begins in the order
+    rank[order] = np.repeat(head, size)
+    place = np.flatnonzero(np.repeat(size, size) > 1)
+    while len(place):
+        alike = order[place]
+        key = rank[alike] * (n + 1) + rank[alike + step]  # no suffix that is like another reaches the end here
+        by = np.argsort(key)
+        alike, key = alike[by], key[by]
+        order[place] = alike
+        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[head, len(key)])
+        rank[alike] = np.repeat(place[head], size)
+        place = place[np.repeat(size, size) > 1]
+        step *= 2
+    return order
 
 
 class FMIndex:
@@ -132,50 +146,55 @@ class FMIndex:
         return out
 
 
-class Phrases:
-    """The distinct windows of a block of items, and the items of each."""
+class Items:
+    """A block of items: their words as ids of the block's vocabulary, and where each window stands."""
 
     def __init__(self, items: list[tuple[str, bytes | None]], window: int = WINDOW):
-        self.ids: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
-        for name, text in items:
-            ids = [self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                owners.setdefault(tuple(ids[i : i + window]), set()).add(name)
-        self.owners = [sorted(x) for x in owners.values()]
-        self.lengths = np.array([len(x) for x in owners], np.int64)
-        self.shortest = int(self.lengths.min()) if len(owners) else 0
-        self.rows = np.zeros((len(owners), int(self.lengths.max()) if len(owners) else 1), np.int64)
-        for i, x in enumerate(owners):
-            self.rows[i, : len(x)] = x
-
-
-def hits(docs: list[np.ndarray], phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first word, phrase) of every occurrence in documents given as vocabulary ids (0: outside)."""
+        vocabulary = IdCache()
+        words = [np.fromiter(map(vocabulary.__getitem__, w), np.int32, len(w)) for w in (words_of(t) for _, t in items)]
+        self.names = [name for name, _ in items]
+        self.vocabulary = list(vocabulary)
+        self.flat = np.concatenate([*words, np.empty(0, np.int32)])
+        size = np.array([len(w) for w in words], np.int64)
+        count = np.where(size, np.maximum(size - window + 1, 1), 0)
+        self.owner = np.repeat(np.arange(len(items)), count)
+        self.begin = np.repeat(np.cumsum(size) - size - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        self.length = np.minimum(size, window)[self.owner]
+
+    def phrases(self, known: dict[bytes, int], rows: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(windows, their words as ids of ``known``) for the windows that have no other word, some at a time."""
+        ids = np.fromiter(map(known.get, self.vocabulary, repeat(0)), np.int64, len(self.vocabulary))[self.flat]
+        strange = np.r_[0, np.cumsum(ids == 0)]
+        here = np.flatnonzero(strange[self.begin + self.length] == strange[self.begin])
+        ids = np.r_[ids, np.zeros(int(self.length.max()) if len(self.length) else 0, np.int64)]
+        for at in range(0, len(here), rows):
+            part = here[at : at + rows]
+            span = np.arange(int(self.length[part].max()))
+            yield part, np.where(span < self.length[part][:, None], ids[self.begin[part][:, None] + span], 0)
+
+
+def hits(docs: list[np.ndarray], known: dict[bytes, int], items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first word, window) of every occurrence in documents given as ids of ``known``, from 1 on."""
     none = np.empty(0, np.int64)
-    lens = np.array([len(d) for d in docs], np.int64)
-    words = np.concatenate([np.r_[d, 0] for d in docs]) if docs else none
-    inside = words > 0
-    edge = np.flatnonzero(np.diff(np.r_[0, inside.astype(np.int8), 0]))
-    begin, end = edge[::2], edge[1::2]
-    keep = end - begin >= max(1, phrases.shortest)
-    begin, end = begin[keep], end[keep]
-    if not len(begin) or not len(phrases.owners):
+    size = np.array([len(d) + 1 for d in docs], np.int64)  # with the separator
+    if not len(docs) or not len(items.begin):
         return none, none, none
-    size = end - begin + 1  # with the separator
-    at = np.cumsum(size) - size
-    source = np.repeat(begin - at, size) + np.arange(int(size.sum()))
-    text = words[source]
-    text[at + size - 1] = 0
-    index = FMIndex(text, len(phrases.ids))
-    lo, hi = index.search(phrases.rows, phrases.lengths)
-    count = hi - lo
-    phrase = np.repeat(np.arange(len(count)), count)
-    rows = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-    place = source[index.locate(rows)]
-    start = np.cumsum(lens + 1) - (lens + 1)
+    text = np.zeros(int(size.sum()), np.int64)
+    start = np.cumsum(size) - size
+    inside = np.ones(len(text), bool)
+    inside[start + size - 1] = False
+    text[inside] = np.concatenate(docs)
+    index = FMIndex(text, len(known))
+    place, window = [none], [none]
+    for which, rows in items.phrases(known):
+        lo, hi = index.search(rows, items.length[which])
+        count = hi - lo
+        at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        place.append(index.locate(at))
+        window.append(np.repeat(which, count))
+    place, window = np.concatenate(place), np.concatenate(window)
     doc = np.searchsorted(start, place, side="right") - 1
-    return doc, place - start[doc], phrase
+    return doc, place - start[doc], window
 
 
 _FOUND = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("begins", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
@@ -196,10 +215,10 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[byte
     texts: list = []
     size = 0
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids.append(i)
-            texts.append(t)
-            size += len(t or b"") // 6
+        for i, t in zip(batch.column(0), batch.column(1)):
+            ids.append(i.as_py())
+            texts.append(t.as_py())
+            size += len(texts[-1] or b"") // 6
             if size >= SHARD_WORDS:
                 yield ids, texts
                 ids, texts, size = [], [], 0
@@ -207,32 +226,31 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[byte
         yield ids, texts
 
 
-def shard_hits(texts: list[bytes | None], phrases: Phrases) -> tuple[list[int], list[tuple[list[int], list[int], list[str]]]]:
-    """Word counts, and of each text its merged spans and the items found."""
-    get, docs, n = phrases.ids.get, [], []
-    for t in texts:
-        w = words_of(t)
-        n.append(len(w))
-        docs.append(np.fromiter(map(get, w, repeat(0)), np.int32, len(w)).astype(np.int64))
-    doc, begin, phrase = hits(docs, phrases)
-    out: list = [([], [], [])] * len(texts)
+def shard_hits(texts: list[bytes | None], items: Items) -> tuple[list[int], list[tuple[list[int], list[int], list[str]]]]:
+    """Word counts, and of each text its merged spans and the items found. Equal texts are indexed once."""
+    numbers, distinct = IdCache(), IdCache()
+    numbers[b""] = 0  # ids begin with 1
+    which = [distinct[t or b""] for t in texts]
+    docs = [np.fromiter(map(numbers.__getitem__, w), np.int64, len(w)) for w in map(words_of, distinct)]
+    doc, begin, window = hits(docs, numbers, items)
+    out: list = [([], [], [])] * len(docs)
     order = np.argsort(doc, kind="stable")
-    doc, begin, phrase = doc[order], begin[order], phrase[order]
+    doc, begin, window = doc[order], begin[order], window[order]
     at = np.r_[np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]), len(doc)] if len(doc) else np.zeros(1, np.int64)
     for i, j in zip(at[:-1], at[1:]):
-        b, e = merge_spans(begin[i:j], begin[i:j] + phrases.lengths[phrase[i:j]])
-        out[int(doc[i])] = (b, e, sorted({x for p in np.unique(phrase[i:j]).tolist() for x in phrases.owners[p]}))
-    return n, out
+        b, e = merge_spans(begin[i:j], begin[i:j] + items.length[window[i:j]])
+        out[int(doc[i])] = (b, e, sorted({items.names[x] for x in np.unique(items.owner[window[i:j]]).tolist()}))
+    return [len(docs[x]) for x in which], [out[x] for x in which]
 
 
 @released
-def _find(batches: Iterator[pa.RecordBatch], phrases: Phrases) -> Iterator[pa.RecordBatch]:
+def _find(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
     for ids, texts in _shards(batches):
-        n, found = shard_hits(texts, phrases)
+        n, found = shard_hits(texts, items)
         yield table({"id": ids, "n_words": n, "begins": [f[0] for f in found], "ends": [f[1] for f in found], "items": [f[2] for f in found]}, _FOUND)
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int, window: int) -> Iterator[Phrases]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int, window: int) -> Iterator[Items]:
     """The benchmark in blocks of at most ``block_chars`` characters (or one item), streamed to the driver."""
     block: list = []
     size = 0
@@ -240,12 +258,12 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int
     for r in rows.toLocalIterator():
         t = None if r["t"] is None else bytes(r["t"])
         if block and size + len(t or b"") > block_chars:
-            yield Phrases(block, window)
+            yield Items(block, window)
             block, size = [], 0
         block.append((r["i"], t))
         size += len(t or b"")
     if block:
-        yield Phrases(block, window)
+        yield Items(block, window)
 
 
 _KIND = "id long, n_words long, begins array<long>, ends array<long>, items array<string>"
@@ -257,27 +275,28 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return materialize(docs.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
 
 
-def _block_hits(base: DataFrame, text_col: str, blocks: list[Phrases]) -> DataFrame:
-    """__row, b, e, i of the rows with hits: spans (not merged yet) and items of all blocks."""
+def _block_hits(base: DataFrame, text_col: str, blocks: Iterable[Items]) -> DataFrame:
+    """__row, b, e, i of the rows with hits: spans (not merged yet) and items of all blocks, each block's written out."""
     texts = base.select(_ROW, F.col(text_col).cast("binary"))
-    found = [texts.mapInArrow(partial(_find, phrases=p), _KIND).where("size(begins) > 0") for p in blocks]
-    some = found[0]
-    for p in found[1:]:
-        some = some.union(p)
-    return materialize(some.groupBy(F.col("id").alias(_ROW)).agg(F.flatten(F.collect_list("begins")).alias("b"), F.flatten(F.collect_list("ends")).alias("e"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("i")), "hits")
+    found = [materialize(texts.mapInArrow(partial(_find, items=p), _KIND).where("size(begins) > 0"), "block") for p in blocks]
+    some = reduce(DataFrame.union, found)
+    out = materialize(some.groupBy(F.col("id").alias(_ROW)).agg(F.flatten(F.collect_list("begins")).alias("b"), F.flatten(F.collect_list("ends")).alias("e"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("i")), "hits")
+    discard(*found)
+    return out
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """id, n_words, begins, ends (merged spans of hit words), items: a row per document."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    blocks = list(_blocks(benchmark, item_col, item_text_col, block_chars, window))
-    if len(blocks) < 2:
-        return base.mapInArrow(partial(_find, phrases=blocks[0] if blocks else Phrases([])), _KIND)
+    blocks = _blocks(benchmark, item_col, item_text_col, block_chars, window)
+    one, two = next(blocks, Items([])), next(blocks, None)
+    if two is None:
+        return base.mapInArrow(partial(_find, items=one), _KIND)
     # Of further blocks only documents with hits come back; they meet by row, as ids may be null or repeated.
     base = _numbered(base)
-    first = base.select(_ROW, "text").mapInArrow(partial(_find, phrases=blocks[0]), _KIND).withColumnRenamed("id", _ROW)
+    first = base.select(_ROW, "text").mapInArrow(partial(_find, items=one), _KIND).withColumnRenamed("id", _ROW)
     none = {c: F.array().cast(f"array<{t}>") for c, t in (("b", "long"), ("e", "long"), ("i", "string"))}
-    joined = base.select(_ROW, "id").join(first, _ROW).join(_block_hits(base, "text", blocks[1:]), _ROW, "left")
+    joined = base.select(_ROW, "id").join(first, _ROW).join(_block_hits(base, "text", chain([two], blocks)), _ROW, "left")
     both = joined.select("id", "n_words", *(F.concat(c, F.coalesce(x, none[x])).alias(c) for c, x in (("begins", "b"), ("ends", "e"))), F.array_sort(F.array_distinct(F.concat("items", F.coalesce("i", none["i"])))).alias("items"))
     return both.mapInArrow(_remerge, _KIND)
 
@@ -321,13 +340,13 @@ def _with_texts(batch: pa.RecordBatch, texts: list, cut: set[int], text_at: int,
 
 
 @released
-def _cut(batches: Iterator[pa.RecordBatch], phrases: Phrases, text_at: int, chars_at: int | None) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _cut(batches: Iterator[pa.RecordBatch], items: Items, text_at: int, chars_at: int | None) -> Iterator[pa.RecordBatch]:
+    for batch in (part for b in batches for part in text_slices(b, text_at, 6 * SHARD_WORDS)):
         texts = batch.column(text_at).to_pylist()
         live, cut = list(range(len(texts))), set()
         while live:  # cut ends may meet in a new occurrence; each round shortens the texts that still have one
             raw = [(texts[i] or "").encode() for i in live]
-            found = [(i, t, b, e) for i, t, (b, e, _) in zip(live, raw, shard_hits(raw, phrases)[1]) if b]
+            found = [(i, t, b, e) for i, t, (b, e, _) in zip(live, raw, shard_hits(raw, items)[1]) if b]
             for i, t, b, e in found:
                 texts[i] = cut_spans(t, b, e).decode()
             live = [x[0] for x in found]
@@ -352,11 +371,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     of all are cut together, and rows that were cut are searched again for all blocks, until a round finds nothing.
     """
     text_at, chars = docs.columns.index(text_col), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    blocks = list(_blocks(benchmark, item_col, item_text_col, block_chars, window))
-    if len(blocks) < 2:
-        return docs.mapInArrow(partial(_cut, phrases=blocks[0], text_at=text_at, chars_at=chars), docs.schema) if blocks else docs
+    blocks = partial(_blocks, benchmark, item_col, item_text_col, block_chars, window)
+    one, two = (*islice(blocks(), 2), None, None)[:2]
+    if two is None:
+        return docs.mapInArrow(partial(_cut, items=one, text_at=text_at, chars_at=chars), docs.schema) if one else docs
     left, clean = _numbered(docs), []
-    while not (hits := _block_hits(left, text_col, blocks).select(_ROW, "b", "e")).isEmpty():
+    while not (hits := _block_hits(left, text_col, blocks()).select(_ROW, "b", "e")).isEmpty():
         clean.append(left.join(hits, _ROW, "left_anti").select(*docs.columns))
         marked = left.join(hits, _ROW).select(*left.columns, "b", "e")
         left = materialize(marked.mapInArrow(partial(_cut_found, text_at=text_at, chars_at=chars), left.schema), "cut")

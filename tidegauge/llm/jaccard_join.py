@@ -10,8 +10,10 @@ are verified on whole token sets. Documents whose parts are too few for the argu
 classic token prefix, which finds every pair of two weak documents.
 
 Exact copies share a set fingerprint and are one vertex from the start. Keys shared by many documents give a
-star to their cleanest member first; after components are known, only keys that still join two components are
-compared in full (sketch Hamming distance first), so no link is lost and no clique is emitted.
+star to their cleanest member first. After components are known, only keys that still join two components are
+compared in full, by sizes and sketches: a pair that shares many keys at one of its smallest, a crowded key by
+pairs of blocks of its members, and each member gives its nearest few candidates a round, until a round holds
+none back. So no link is lost, and a round's candidates are linear in the members.
 
 Null text, or text without words: empty set, n_shingles 0, linked with nothing, component_id is its own doc_id.
 Null doc_id: the row takes part and its own id counts for nothing in a component's smallest id. Repeated rows
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidegauge.llm.common import BROADCAST_ROWS, hash_parts, materialize, mix64, released, table, word_hashes
+from tidegauge.llm.common import BROADCAST_ROWS, discard, hash_parts, materialize, mix64, released, table, word_hashes
 from tidegauge.llm.components import connected_components
 
 SHINGLE = 5
@@ -37,6 +39,12 @@ SHINGLE = 5
 SKETCH_BITS, SKETCH_RANGES = 20, 16
 #: A key of at most so many documents gives all its pairs at once; a larger one first gives its star.
 SMALL_GROUP = 2
+#: Members of an open key that one task compares; a larger key is dealt out by pairs of blocks of so many.
+CROWD = 512
+#: Smallest open keys that a member carries, so that a pair of many keys is compared at one of them.
+CARRIED = 4
+#: Candidates that a member of an open key gives in the first round; four times as many in each further one.
+NEAREST = 32
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -259,33 +267,109 @@ def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
         yield table({"a": [a[i] for i in keep], "b": [b[i] for i in keep]}, _EDGES)
 
 
-def _remaining(t: pa.Table, percent: int) -> pa.Table:
-    """Pairs of one key in different components whose sketches allow the similarity."""
-    cls, comp, n = (t.column(c).to_numpy() for c in ("cls", "comp", "n"))
-    sk = [np.frombuffer(x, "<u8") for x in t.column("sketch").to_pylist()]
-    words = min(map(len, sk))
-    sk = np.stack([fold(x, words) for x in sk])
-    out = []
-    for i in range(len(cls) - 1):
-        j = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i])))
-        if len(j):
-            far = np.bitwise_count(sk[j] ^ sk[i]).sum(1)
-            j = j[far * (100 + percent) <= (100 - percent) * (n[j] + n[i])]
-            out.append(np.stack([np.minimum(cls[j], cls[i]), np.maximum(cls[j], cls[i])], 1))
-    pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
-    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())}, schema=_EDGES)
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = 80, broadcast_rows: int = BROADCAST_ROWS, small_group: int = SMALL_GROUP) -> DataFrame:
+def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.Table]:
+    """Tables of about so many rows that end where a group ends; rows of one (k, i, j) follow each other."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            t = pa.Table.from_batches(held)
+            if len(edges := np.flatnonzero(_group_starts(t))) > 1:
+                yield t.slice(0, edges[-1]).combine_chunks()
+                t = t.slice(edges[-1])
+            held = t.combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _group_starts(t: pa.Table) -> np.ndarray:
+    k = np.stack([t.column(c).to_numpy() for c in ("k", "i", "j")])
+    return np.r_[True, (k[:, 1:] != k[:, :-1]).any(0)]
+
+
+class _Sketches:
+    """Sketches of several widths, compared by pairs of rows whose widths differ by one doubling at most."""
+
+    def __init__(self, raw: list[bytes]):
+        self.words = np.array([len(x) // 8 for x in raw], np.int64)
+        self.place, self.of = np.empty(len(raw), np.int64), {}
+        for w in np.unique(self.words).tolist():
+            at = np.flatnonzero(self.words == w)
+            self.place[at] = np.arange(len(at))
+            self.of[w] = np.frombuffer(b"".join(raw[x] for x in at), "<u8").reshape(-1, w)
+
+    def _at(self, rows: np.ndarray, words: int) -> np.ndarray:
+        out, own = np.empty((len(rows), words), np.uint64), self.words[rows] == words
+        out[own] = self.of[words][self.place[rows[own]]] if own.any() else 0
+        if not own.all():
+            wide = self.of[2 * words][self.place[rows[~own]]]
+            out[~own] = wide[:, :words] ^ wide[:, words:]
+        return out
+
+    def far(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bits in which the sketches of rows a and rows b differ."""
+        out, words = np.empty(len(a), np.int64), np.minimum(self.words[a], self.words[b])
+        for w in np.unique(words).tolist():
+            at = np.flatnonzero(words == w)
+            for part in np.array_split(at, 1 + len(at) * w // 1_000_000):
+                out[part] = np.bitwise_count(self._at(a[part], w) ^ self._at(b[part], w)).sum(1)
+        return out
+
+
+@released
+def _open_pairs(batches: Iterator[pa.RecordBatch], percent: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of a group's members in different components whose sizes and sketches allow the similarity.
+
+    A pair is left to another key if both members carry a smaller one in common. A member gives at most ``most``
+    pairs, the nearest ones; where it has more, a row without b tells that some are still open.
+    """
+    for t in _whole_groups(batches):
+        k, i, j, own, cls, comp, n = (t.column(c).to_numpy() for c in ("k", "i", "j", "own", "cls", "comp", "n"))
+        group = np.cumsum(_group_starts(t))
+        low = np.full((len(k), CARRIED), np.iinfo(np.int64).max)
+        lists = t.column("low").chunk(0)
+        lens = lists.value_lengths().to_numpy()
+        low[np.arange(CARRIED) < lens[:, None]] = lists.flatten().to_numpy()
+        sketches = _Sketches(t.column("sketch").to_pylist())
+        tested = {(c, x) for c, xs in zip(cls.tolist(), t.column("tested").to_pylist()) for x in xs or ()}
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        p, off = np.arange(len(k)), 1
+        while len(p := p[p + off < len(k)]) and len(p := p[group[p + off] == group[p]]):
+            q = p + off
+            ok = (comp[p] != comp[q]) & ((i[p] == j[p]) | (own[p] != own[q])) & (100 * np.minimum(n[p], n[q]) >= percent * np.maximum(n[p], n[q]))
+            a, b, off = p[ok], q[ok], off + 1
+            if len(a):
+                elsewhere = ((low[a][:, :, None] == low[b][:, None, :]) & (low[a] < k[a][:, None])[:, :, None]).any((1, 2))
+                a, b = a[~elsewhere], b[~elsewhere]
+                d = sketches.far(a, b)
+                ok = d * (100 + percent) <= (100 - percent) * (n[a] + n[b])
+                found.append((a[ok], b[ok], d[ok]))
+        if not found:
+            continue
+        a, b, d = (np.concatenate(x) for x in zip(*found))
+        if tested:
+            new = np.array([(x, y) not in tested for x, y in zip(cls[a].tolist(), cls[b].tolist())], bool)
+            a, b, d = a[new], b[new], d[new]
+        order = np.lexsort((d, a))
+        a, b = a[order], b[order]
+        first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else a
+        rank = np.arange(len(a)) - np.repeat(first, np.diff(np.r_[first, len(a)]))
+        more = np.unique(cls[a[rank >= most]])
+        a, b = cls[a[rank < most]], cls[b[rank < most]]
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        yield table({"a": np.r_[pairs[:, 0], more], "b": pa.concat_arrays([pa.array(pairs[:, 1], pa.int64()), pa.nulls(len(more), pa.int64())])}, _EDGES)
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = 80, **kw) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links) and copies (rows of the same set), a row per document.
 
     ``percent`` is the least similarity in hundredths; key prefixes are laid out for 80 or more.
     """
-    rows, whole = _components(docs, id_col, text_col, shingle, percent, broadcast_rows, small_group)
+    rows, whole = _components(docs, id_col, text_col, shingle, percent, **kw)
     return rows.join(whole, "cls", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
-def _components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = 80, broadcast_rows: int = BROADCAST_ROWS, small_group: int = SMALL_GROUP) -> tuple[DataFrame, DataFrame]:
+def _components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = 80, broadcast_rows: int = BROADCAST_ROWS, small_group: int = SMALL_GROUP, crowded: int = CROWD, nearest: int = NEAREST) -> tuple[DataFrame, DataFrame]:
     """(id, n, cls) of each document, cls null without words, and (cls, comp, component_id, copies) of each set: comp tells components of one smallest id apart."""
     if percent < 80:
         raise ValueError("the sketch layout holds for similarities of 0.8 or more")
@@ -312,7 +396,11 @@ def _components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = base.withColumn("id", F.coalesce("id", F.lit(-(2**63))))
     sets = materialize(keyed.join(wanted, "id", "left_semi").select("text").mapInArrow(partial(_token_sets, k=shingle), "cls long, n long, sketch binary, toks binary"), "tokens")
 
-    light = sets.select("cls", "n", "sketch").dropDuplicates(["cls"])
+    if sets.count() > sets.select("cls").distinct().count():  # null or repeated ids
+        once = materialize(sets.join(ids, "cls", "left_semi").dropDuplicates(["cls"]), "tokens")
+        discard(sets)
+        sets = once
+    light = sets.select("cls", "n", "sketch")
 
     def near(pairs: DataFrame) -> DataFrame:
         left = pairs.join(light.select(F.col("cls").alias("a"), "n", F.col("sketch").alias("x")), "a")
@@ -326,22 +414,41 @@ def _components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         both = left.join(few.select(F.col("cls").alias("b"), F.col("toks").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(partial(_verify, percent=percent), "a long, b long")
 
-    edges = materialize(verified(materialize(near(pairs), "near")), "edges")
+    near_pairs = materialize(near(pairs), "near")
+    edges = materialize(verified(near_pairs), "edges")
     labels = connected_components(edges)
-    open_keys = None
-    if not crowd.isEmpty():
+    tested, most = near_pairs.where("false"), nearest
+    while not crowd.isEmpty():
         members = crowd.join(labels.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        several = members.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("k")
-        open_keys = materialize(members.join(several, "k", "left_semi"), "open")
-    if open_keys is not None and not open_keys.isEmpty():
-        more = open_keys.join(light, "cls").groupBy("k").applyInArrow(lambda t: _remaining(t, percent), "a long, b long").distinct()
-        more = materialize(verified(materialize(more.join(pairs, ["a", "b"], "left_anti"), "open-pairs")), "more")
-        labels = connected_components(labels.select(F.col("v").alias("a"), F.col("comp").alias("b")).union(more))
+        several = members.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("k", F.ceil(F.col("size") / crowded).alias("blocks"))
+        now_open = materialize(members.join(several, "k"), "open")
+        if now_open.isEmpty():
+            break
+        out = materialize(_compare_open(now_open, light, tested, percent, most), "open-pairs")
+        fresh = materialize(out.where("b is not null").distinct().join(pairs, ["a", "b"], "left_anti"), "fresh")
+        labels = connected_components(labels.select(F.col("v").alias("a"), F.col("comp").alias("b")).union(verified(fresh)))
+        if out.where("b is null").isEmpty():
+            break
+        tested, most = materialize(tested.union(fresh).union(pairs), "tested"), 4 * most
     # Copies collapse before the join, so a hot group is one row of each side.
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
     named = materialize(classes.join(labels.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "classes")
     smallest = named.groupBy("comp").agg(F.min("id").alias("component_id"))
-    return rows, materialize(named.join(smallest, "comp").select("cls", "comp", "component_id", "copies"), "components")
+    whole = materialize(named.join(smallest, "comp").select("cls", "comp", "component_id", "copies"), "components")
+    discard(found, pairs, wanted, sets, near_pairs, edges, named)
+    return rows, whole
+
+
+def _compare_open(now_open: DataFrame, light: DataFrame, tested: DataFrame, percent: int, most: int) -> DataFrame:
+    """``_open_pairs`` of the members (k, cls, comp, blocks) of open keys; a key of several blocks meets block by block."""
+    low = now_open.groupBy("cls").agg(F.slice(F.array_sort(F.collect_list("k")), 1, CARRIED).alias("low"))
+    both = tested.union(tested.select("b", "a")).groupBy(F.col("a").alias("cls")).agg(F.collect_list("b").alias("tested"))
+    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("own")
+    dealt = now_open.select("k", "cls", "comp", own, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    rows = dealt.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "comp")
+    about = light.join(low, "cls").join(both, "cls", "left")
+    placed = rows.join(about, "cls").repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
+    return placed.select("k", "i", "j", "own", "cls", "comp", "n", "low", "sketch", "tested").mapInArrow(partial(_open_pairs, percent=percent, most=most), "a long, b long")
 
 
 _CLASS = "__cls"

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import BROADCAST_ROWS, discard, materialize, mix64, released, scratch_path, table
+from tidegauge.llm.common import BROADCAST_ROWS, discard, materialize, mix64, released, scratch_path, table, text_slices
 
 #: Ids after which a shard is closed; a longer document has a shard of its own.
 SHARD_IDS = 4_000_000
@@ -212,16 +212,6 @@ class Encoder:
 _ENCODED = pa.schema([("k", pa.int64()), ("head", pa.string()), ("mark", pa.int64()), ("salt", pa.int64()), ("ids", pa.binary())])
 
 
-def text_slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about so many bytes of text, or one row."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < batch.num_rows:
-        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
-        yield batch.slice(at, stop - at)
-        at = stop
-
-
 @released
 def _encode(batches: Iterator[pa.RecordBatch], tokenizer_file: str, end: int, width: int) -> Iterator[pa.RecordBatch]:
     enc = Encoder(tokenizer_file, width)

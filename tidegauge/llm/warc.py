@@ -29,21 +29,22 @@ from functools import partial
 from urllib.parse import urljoin
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import table
+from tidegauge.llm.common import table, text_slices
 
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "tidegauge:warc")
 #: Records carry this date where the crawl has none, so that a rerun gives the same bytes.
 DATE = "2026-01-01T00:00:00Z"
-_HIDDEN = re.compile(r"<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<![^>]*>", re.I | re.S)
-_BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>", re.I)
-_TAG = re.compile(r"</?[A-Za-z][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.I | re.S)
-_LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([\w-]+)", re.I)
-_CHARSET = re.compile(r"<meta\b[^>]*\bcharset\s*=\s*[\"']?([\w-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))[^>]*>(.*?)(?=</a|<a\b|\Z)", re.I | re.S)
+#: Bytes of pages or blocks handled at a time.
+SLICE_BYTES = 8_000_000
+_HIDDEN = ("script", "style", "noscript", "template", "svg")
+_BLOCKS = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead title tr ul".split())
+_OPENER = re.compile(r"<(?:(!--)|(!)|(/?)([A-Za-z][^\s/>]*))")
+_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in _HIDDEN} | {"title": re.compile("</title", re.I)}
+_VALUE = {name: re.compile(rf"\b{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I) for name in ("href", "lang", "charset")}
+_NAME = re.compile(r"[\w-]+")
 
 
 def sha1(block: bytes) -> str:
@@ -54,27 +55,102 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE, chr(10).join(parts))}>"
 
 
-def _inline(fragment: str) -> str:
-    return " ".join(entities.unescape(_TAG.sub(" ", fragment)).split())
+def _flat(text: str) -> str:
+    return " ".join(entities.unescape(text).split())
+
+
+def _value(name: str, attributes: str) -> str | None:
+    m = _VALUE[name].search(attributes)
+    return m and next(x for x in m.groups() if x is not None)
+
+
+class Page:
+    """What a page shows: ``text``, ``title``, ``language``, ``charset`` and ``links``, (reference, text) in order.
+
+    One pass over the markup, each part of which is looked at a bounded number of times. A tag ends at its next ">"; an
+    opener without one is text. Comments and the elements in ``_HIDDEN`` end at their closing mark or with the page.
+    """
+
+    def __init__(self, page: str):
+        page = page.replace("\0", "\ufffd")
+        self.title = self.language = self.charset = None
+        self.links: list[tuple[str, str]] = []
+        self._link: tuple[str, list[str]] | None = None
+        shown: list[str] = []
+        at, written, last = 0, 0, page.rfind(">")
+        while m := _OPENER.search(page, at):
+            begin, stop = m.span()
+            comment, declaration, closing, name = m.groups()
+            if not comment and begin > last:
+                at = stop
+                continue
+            self._show(shown, page[written:begin])
+            if comment:
+                end = page.find("-->", stop) + 3
+                at, mark = end if end > 2 else len(page), " "
+            else:
+                at, mark = page.find(">", stop) + 1, " "
+                if not declaration:
+                    name = name.lower()
+                    if name in _HIDDEN and not closing:
+                        end = _END[name].search(page, at)
+                        at = end.end() if end else len(page)
+                    else:
+                        mark = "\0" if name in _BLOCKS else ""
+                        self._tag(name, bool(closing), page[stop : at - 1], page, at)
+            written = at
+            shown.append(mark)
+            if self._link:
+                self._link[1].append(" ")
+        self._show(shown, page[written:])
+        self._close()
+        self.text = "\n".join(x for x in map(_flat, "".join(shown).split("\0")) if x)
+
+    def _show(self, shown: list[str], text: str) -> None:
+        shown.append(text)
+        if self._link:
+            self._link[1].append(text)
+
+    def _close(self) -> None:
+        if self._link:
+            self.links.append((self._link[0], _flat("".join(self._link[1]))))
+            self._link = None
+
+    def _tag(self, name: str, closing: bool, attributes: str, page: str, at: int) -> None:
+        if name == "a":
+            self._close()
+            if not closing and (ref := _value("href", attributes)) is not None:
+                self._link = (entities.unescape(ref).strip(), [])
+        elif closing:
+            return
+        elif name == "title" and self.title is None:
+            end = _END["title"].search(page, at)
+            self.title = _flat(page[at : end.start()]) if end else ""
+        elif name == "html" and self.language is None:
+            self.language = self._named("lang", attributes)
+        elif name == "meta" and self.charset is None:
+            self.charset = self._named("charset", attributes)
+
+    @staticmethod
+    def _named(attribute: str, attributes: str) -> str | None:
+        value = _NAME.match((_value(attribute, attributes) or "").strip())
+        return value and value[0]
 
 
 def plain_text(page: str) -> str:
     """Visible text: one line for each block, white space collapsed, empty lines left out."""
-    flat = _BREAK.sub("\0", _HIDDEN.sub(" ", page.replace("\0", "�")))
-    lines = (" ".join(entities.unescape(x).split()) for x in _TAG.sub("", flat).split("\0"))
-    return "\n".join(x for x in lines if x)
+    return Page(page).text
 
 
-def outlinks(page: str, base: str) -> list[tuple[str, str]]:
+def outlinks(page: str | Page, base: str) -> list[tuple[str, str]]:
     """Absolute address and text of each anchor, in order."""
     out = []
-    for m in _LINK.finditer(_HIDDEN.sub(" ", page)):
-        ref = entities.unescape(next(x for x in m.groups()[:3] if x is not None)).strip()
+    for ref, text in (page if isinstance(page, Page) else Page(page)).links:
         try:
             url = urljoin(base, ref)
         except ValueError:
             url = ref
-        out.append(("".join(url.split()), _inline(m[4])))
+        out.append(("".join(url.split()), text))
     return out
 
 
@@ -96,13 +172,14 @@ def split_http(block: bytes) -> tuple[list[tuple[str, str]], bytes]:
 
 def derive(record: dict) -> list[dict]:
     """The metadata and conversion records of a response record."""
-    of, (http, body) = record["headers"], split_http(record["block"])
+    (http, body), of = split_http(record["block"]), {"WARC-Date": DATE, "WARC-Target-URI": "urn:unknown", **record["headers"]}
     page = body.decode("utf-8", "replace")
-    source, address = of["WARC-Record-ID"], of["WARC-Target-URI"]
-    text = plain_text(page).encode("utf-8", "replace")
-    first = lambda rule: " ".join(entities.unescape(m[1]).split()) if (m := rule.search(page)) else ""
+    address = of["WARC-Target-URI"]
+    source = of.get("WARC-Record-ID") or record_id("response", sha1(record["block"]), address)
+    seen = Page(page)
+    text = seen.text.encode("utf-8", "replace")
     meta_id, conv_id = record_id("metadata", source), record_id("conversion", source)
-    fields = [("title", first(_TITLE)), ("language", first(_LANG)), ("charset", first(_CHARSET)), ("text-digest", sha1(text)), ("conversion-id", conv_id), *(("outlink", f"{u} {t}".strip()) for u, t in outlinks(page, address))]
+    fields = [("title", seen.title or ""), ("language", seen.language or ""), ("charset", seen.charset or ""), ("text-digest", sha1(text)), ("conversion-id", conv_id), *(("outlink", f"{u} {t}".strip()) for u, t in outlinks(seen, address))]
     meta = "".join(f"{k}: {v}\r\n" for k, v in fields).encode("utf-8", "replace")
     shared = {"WARC-Date": of["WARC-Date"], "WARC-Target-URI": address, "WARC-Refers-To": source}
     kept = {"WARC-Refers-To-Target-URI": address, "WARC-Refers-To-Date": of["WARC-Date"], "WARC-Source-Payload-Digest": of.get("WARC-Payload-Digest", sha1(body)), "WARC-Source-Block-Digest": of.get("WARC-Block-Digest", sha1(record["block"]))} | {f"WARC-Source-HTTP-{k}": v for k, v in http}
@@ -121,8 +198,8 @@ def to_bytes(record: dict, compressed: bool = True) -> bytes:
 
 
 def parse(data: bytes) -> Iterator[dict]:
-    """Records of plain or gzip WARC bytes."""
-    stream = io.BytesIO(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
+    """Records of plain or gzip WARC bytes, one at a time."""
+    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
     while line := stream.readline():
         if not line.strip():
             continue
@@ -135,24 +212,71 @@ def parse(data: bytes) -> Iterator[dict]:
         yield {"headers": headers, "block": stream.read(int(headers.get("Content-Length", 0)))}
 
 
-_RECORD = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("target_uri", pa.string()), ("block_digest", pa.string()), ("content_length", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("record", pa.binary())])
-KIND = "page_id long, record_type string, record_id string, refers_to string, target_uri string, block_digest string, content_length long, headers map<string,string>, record binary"
+_COLUMNS = ("record_type", "record_id", "refers_to", "target_uri", "block_digest")
+_RECORD = pa.schema([("page_id", pa.int64()), *((c, pa.string()) for c in _COLUMNS), ("content_length", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("record", pa.binary())])
+_DERIVED = pa.schema(list(_RECORD)[1:])
+_READ = pa.schema([("file", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
+_FIELDS = ", ".join([*(f"{c} string" for c in _COLUMNS), "content_length long, headers map<string,string>, record binary"])
+KIND = f"page_id long, {_FIELDS}"
 
 
-def _rows(batches: Iterator[pa.RecordBatch], responses: bool, compressed: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            out: dict = {f.name: [] for f in _RECORD}
-            for page_id, url, page in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns)):
-                made = response(page_id, url, page)
-                for r in [made, *derive(made)][0 if responses else 1 :]:
-                    h = r["headers"]
-                    for k, v in zip(out, (page_id, h["WARC-Type"], h["WARC-Record-ID"], h.get("WARC-Refers-To"), h["WARC-Target-URI"], h["WARC-Block-Digest"], len(r["block"]), list(h.items()), to_bytes(r, compressed))):
-                        out[k].append(v)
-            yield table(out, _RECORD)
+def _fields(record: dict, compressed: bool) -> tuple:
+    h = record["headers"]
+    return h.get("WARC-Type"), h.get("WARC-Record-ID"), h.get("WARC-Refers-To"), h.get("WARC-Target-URI"), h.get("WARC-Block-Digest"), len(record["block"]), list(h.items()), to_bytes(record, compressed)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return table(dict(zip(schema.names, zip(*rows))) if rows else {c: [] for c in schema.names}, schema)
+
+
+def _of_pages(batches: Iterator[pa.RecordBatch], responses: bool, compressed: bool) -> Iterator[pa.RecordBatch]:
+    for batch in (part for b in batches for part in text_slices(b, 2, SLICE_BYTES)):
+        rows = []
+        for page_id, url, page in zip(*(c.to_pylist() for c in batch.columns)):
+            made = response(page_id, url, page)
+            rows += [(page_id, *_fields(r, compressed)) for r in [made, *derive(made)][0 if responses else 1 :]]
+        yield _batch(rows, _RECORD)
 
 
 def derivatives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", responses: bool = False, compressed: bool = True) -> DataFrame:
     """The derived records of each page (and its response, if asked for); concatenated ``record`` bytes are a WARC file."""
     base = pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string"))
-    return base.mapInArrow(partial(_rows, responses=responses, compressed=compressed), KIND)
+    return base.mapInArrow(partial(_of_pages, responses=responses, compressed=compressed), KIND)
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            rows, size = [], 0
+            for r in parse(batch.column(1)[i].as_py()):
+                rows.append((batch.column(0)[i].as_py(), list(r["headers"].items()), r["block"]))
+                size += len(r["block"])
+                if size >= SLICE_BYTES:
+                    yield _batch(rows, _READ)
+                    rows, size = [], 0
+            yield _batch(rows, _READ)
+
+
+def read_warc(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, headers, block of each record of WARC files (plain or gzip) at any path or glob that Spark reads.
+
+    A file is one task's and must fit its memory (2 GB at most, Spark's limit for a binary file), as crawls cut them;
+    its records are read one after another. Anything that isn't a WARC record is an error.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.col("path"), F.col("content"))
+    return files.mapInArrow(_parsed, "file string, headers map<string,string>, block binary")
+
+
+def _of_records(batches: Iterator[pa.RecordBatch], compressed: bool) -> Iterator[pa.RecordBatch]:
+    for batch in (part for b in batches for part in text_slices(b, 1, SLICE_BYTES)):
+        made = ({"headers": dict(h), "block": b or b""} for h, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        yield _batch([_fields(d, compressed) for r in made for d in derive(r)], _DERIVED)
+
+
+def derive_records(records: DataFrame, compressed: bool = True) -> DataFrame:
+    """The derived records of the responses among ``records`` (headers, block); other kinds give none.
+
+    A response without a date, address or id counts by ``DATE``, "urn:unknown" and its block's digest.
+    """
+    some = records.where(F.element_at("headers", "WARC-Type") == "response").select("headers", F.col("block").cast("binary"))
+    return some.mapInArrow(partial(_of_records, compressed=compressed), _FIELDS)

@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import partial, reduce
 from itertools import islice
@@ -41,13 +42,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import BROADCAST_ROWS, discard, materialize, mix64, released, scratch_path, table, text_slices
+from tidegauge.llm.common import BROADCAST_ROWS, materialize, mix64, released, scratch_path, table, text_slices
 
 #: Ids after which a shard is closed; a longer document has a shard of its own.
 SHARD_IDS = 4_000_000
 GAMMA, MAX_LEVELS = 2.0, 48
-#: Bytes of text encoded at a time, and repeated words that a task remembers between such slices.
-SLICE_BYTES, COMMON_WORDS = 4_000_000, 100_000
+#: Bytes of text encoded at a time, and repeated words that a worker remembers.
+SLICE_BYTES, COMMON_WORDS = 12_000_000, 120_000
+#: Places sampled for each key range.
+SAMPLED = 40
 #: Characters of a text by which equal keys are ordered before a hash of the whole decides.
 HEAD = 64
 NO_KEY = -(2**63)
@@ -123,7 +126,7 @@ class Encoder:
     The tokenizer begins a new pre-token at a space between two non-spaces, and gives a line break between two
     non-spaces one of its own. Between those, words are independent: the words of a slice of texts become a
     dictionary, each entry is encoded once, and ids are gathered by entry. Texts with other white space runs are
-    encoded as they are. A bounded number of repeated words is remembered until the task ends.
+    encoded as they are. A bounded number of repeated words is remembered.
     """
 
     def __init__(self, tokenizer_file: str, width: int):
@@ -209,15 +212,22 @@ class Encoder:
         return [(self.whole(texts[i].as_py()) if t else next(plain)) + stop for i, t in enumerate(tight.to_pylist())]
 
 
-_ENCODED = pa.schema([("k", pa.int64()), ("head", pa.string()), ("mark", pa.int64()), ("salt", pa.int64()), ("ids", pa.binary())])
+_ENCODED = pa.schema([("part", pa.int32()), ("k", pa.int64()), ("head", pa.string()), ("mark", pa.int64()), ("salt", pa.int64()), ("ids", pa.binary())])
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def _rank(k: int | None, head: str | None, mark: int, salt: int) -> tuple:
+    """A row's place: keyless ones first, then by key, begin of the text and its hash; the salt tells only like rows apart."""
+    return k is not None, k or 0, head or "", mark, salt
 
 
 @released
-def _encode(batches: Iterator[pa.RecordBatch], tokenizer_file: str, end: int, width: int) -> Iterator[pa.RecordBatch]:
-    enc = Encoder(tokenizer_file, width)
+def _encode(batches: Iterator[pa.RecordBatch], tokenizer_file: str, end: int, width: int, edges: list[tuple]) -> Iterator[pa.RecordBatch]:
+    enc = _ENCODERS.get((tokenizer_file, width)) or _ENCODERS.setdefault((tokenizer_file, width), Encoder(tokenizer_file, width))
     for batch in batches:
-        for part in text_slices(batch, 4, SLICE_BYTES):
-            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(enc.encode(part.column(4), end), pa.binary())], schema=_ENCODED)
+        for rows in text_slices(batch, 4, SLICE_BYTES):
+            part = [bisect_right(edges, _rank(*r)) for r in zip(*(c.to_pylist() for c in rows.columns[:4]))]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *rows.columns[:4], pa.array(enc.encode(rows.column(4), end), pa.binary())], schema=_ENCODED)
 
 
 def _pack(name: int, base: int, keys: list[int | None], parts: list[bytes], width: int) -> pa.RecordBatch:
@@ -253,24 +263,24 @@ def _shards(batches: Iterator[pa.RecordBatch], width: int, shard_ids: int) -> It
         yield _pack((part << 32) + number, base, keys, parts, width)
 
 
-def encode_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", end: int = 2, width: int = 2) -> DataFrame:
-    """k, head, mark, salt, ids of each document: packed ids, and what orders equal keys. Written out, so each text is encoded once."""
-    text = F.col(text_col).cast("string")
-    base = docs.select(F.col(id_col).cast("long").alias("k"), F.substring(text, 1, HEAD).alias("head"), F.xxhash64(text).alias("mark"), F.monotonically_increasing_id().alias("salt"), text.alias("text"))
-    return materialize(base.mapInArrow(partial(_encode, tokenizer_file=tokenizer_file, end=end, width=width), "k long, head string, mark long, salt long, ids binary"), "encoded", "snappy")
-
-
 def write_store(docs: DataFrame, path: str, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", end: int = 2, vocabulary: int = 50_257, shard_ids: int = SHARD_IDS) -> None:
-    """Encode all documents and write their shards, in ascending key order, as the table ``path``."""
+    """Encode all documents and write their shards, in ascending key order, as the table ``path``.
+
+    Texts are encoded in the tasks that read them, and the ids are dealt out by key ranges. Ranges are cut by a sample
+    of places (about ``SAMPLED`` a range; it decides on nothing but the balance), which reaches the driver.
+    """
     width = 2 if vocabulary <= 1 << 16 else 4
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    encoded = encode_documents(docs, tokenizer_file, id_col, text_col, end, width)
-    order = ("k", "head", "mark", "salt")  # the salt tells only rows apart that are alike, so a hot key is dealt out too
-    ordered = encoded.repartitionByRange(n, *order).sortWithinPartitions(*order).select("k", "ids")
+    text, order = F.col(text_col).cast("string"), ("k", "head", "mark", "salt")
+    base = docs.select(F.col(id_col).cast("long").alias("k"), F.substring(text, 1, HEAD).alias("head"), F.xxhash64(text).alias("mark"), F.monotonically_increasing_id().alias("salt"), text.alias("text"))
+    share = SAMPLED * n / max(1, docs.count())
+    places = sorted(_rank(*r) for r in base.select(*order).where(F.pmod(F.xxhash64("salt"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).collect())
+    edges = [places[len(places) * i // n] for i in range(1, n)] if len(places) >= n else []
+    coded = base.mapInArrow(partial(_encode, tokenizer_file=tokenizer_file, end=end, width=width, edges=edges), "part int, k long, head string, mark long, salt long, ids binary")
+    ordered = coded.repartitionById(n, "part").sortWithinPartitions(*order).select("k", "ids")
     shards = ordered.mapInArrow(partial(_shards, width=width, shard_ids=shard_ids), LAYOUT)
     # One shard a row group, so that a filter on ``shard`` reads the shards asked for and no other.
     shards.write.option("compression", "zstd").option("parquet.block.row.count.limit", 1).parquet(path)
-    discard(encoded)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:

@@ -120,7 +120,8 @@ def _with_header(lines: DataFrame, header: str = CLOUDFRONT_HEADER) -> DataFrame
 
 
 def _parsed(spark: SparkSession, sf_dir: str, dialect: str) -> DataFrame:
-    lines = render(access_events(spark, sf_dir), dialect)
+    # The table is one small file and so one split; a log's lines come in as many as there are cores.
+    lines = render(access_events(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism), dialect)
     got = dialects.parse(_with_header(lines) if dialect == "cloudfront" else lines, dialect).where("parse_status = 'parsed'")
     return got.select(F.col("line_no").alias("ord"), F.unix_seconds("ts").alias("sec"), "path", "query", F.col("status").cast("int").alias("status"), F.floor(latency_ns() / 1_000_000).cast("bigint").alias("ms"), F.coalesce("cache", F.lit("-")).alias("cache"), F.col("client_identity").alias("identity"), F.coalesce("term_state", F.lit("-")).alias("term"), "host" if dialect != "nginx" else F.lit("-").alias("host"), "bytes")
 

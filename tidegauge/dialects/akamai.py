@@ -8,20 +8,25 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.dialects.event import finish
+from tidegauge.dialects.event import finish, held
 from tidegauge.dialects.json_lines import fits, is_object, opened, text
 from tidegauge.functions.text import after_mark, before_mark, empty_null, number, trimmed, whole_or_float
 
 LATENCY_FIELD = "turnAroundTimeMSec (wait seen by the edge)"
+_OTHERS = ("reqTimeSec", "statusCode", "cacheStatus", "turnAroundTimeMSec", "totalBytes")
 _TEXTS = ("reqMethod", "reqPath", "reqHost", "queryStr", "cliIP", "xForwardedFor")
 
 
-def loose(key: str) -> Column:
+def _scalar(key: str) -> Column:
     """A scalar as text, or null where it is absent, empty or a dash."""
     v = trimmed(text(key))
     return F.when(~v.isin("", "-"), v)
 
 
+def loose(key: str) -> Column:
+    return F.col(f"__s_{key}")
+
+
 def epoch(raw: Column) -> Column:
     """Unix seconds with a fraction, read digit by digit; null unless positive."""
     secs, frac = F.regexp_extract(raw, r"^\+?(\d+)(?:\.(\d*))?$", 1), F.regexp_extract(raw, r"^\+?(\d+)(?:\.(\d*))?$", 2)
@@ -30,15 +35,14 @@ def epoch(raw: Column) -> Column:
 
 
 def parse(lines: DataFrame, tz: str = "UTC", xff_capture: int = 0) -> DataFrame:
-    d = opened(lines)
-    d = d.withColumn("__ok", F.col("__v").isNotNull() & reduce(and_, [fits(k, "STRING") for k in _TEXTS]))
-    d = d.withColumn("__ts", epoch(loose("reqTimeSec"))).withColumn("__p", text("reqPath"))
-    code = whole_or_float(loose("statusCode")).try_cast("int")
+    d = opened(lines, _TEXTS + _OTHERS)
+    d = held(d, __ok=F.col("__v").isNotNull() & reduce(and_, [fits(k, "STRING") for k in _TEXTS]), __p=text("reqPath"), **{f"__s_{k}": _scalar(k) for k in _OTHERS})
+    d = held(d, __ts=epoch(loose("reqTimeSec")), __code=whole_or_float(loose("statusCode")).try_cast("int"), __wait=number(loose("turnAroundTimeMSec")), __hit=whole_or_float(loose("cacheStatus")))
+    code = F.col("__code")
     idle = (F.col("__p") == "") & (text("reqMethod") == "")
     bad = F.col("__ts").isNull() | (F.col("__p") == "") | (loose("statusCode").isNotNull() & code.isNull())
     status = F.when(~is_object(), "skipped").when(~F.col("__ok"), "malformed").when(idle, "skipped").when(bad, "malformed").otherwise("parsed")
-    wait = number(loose("turnAroundTimeMSec"))
-    verdict = whole_or_float(loose("cacheStatus"))
+    wait, verdict = F.col("__wait"), F.col("__hit")
     here = lambda k: ~text(k).isin("", "-")
     return finish(
         d, lines, status,

@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.dialects.event import finish
+from tidegauge.dialects.event import finish, held
 from tidegauge.functions.text import after_mark, before_mark, empty_null, integer, seconds_rounded, trimmed
 
 LATENCY_FIELD = "time-to-first-byte (wait for the first byte), else time-taken"
+#: Files and header lines that are sent to all tasks; beyond them headers meet lines by a shuffle.
+FEW_FILES, FEW_HEADS = 10_000, 50_000
 NAMES = ("date", "time", "x-edge-location", "sc-bytes", "c-ip", "cs-method", "cs(host)", "cs-uri-stem", "sc-status", "cs-uri-query", "x-edge-result-type", "x-host-header", "time-taken", "time-to-first-byte", "x-forwarded-for")
 
 
@@ -26,19 +28,27 @@ def headers(lines: DataFrame) -> DataFrame:
 
 
 def parse(lines: DataFrame, tz: str = "UTC", xff_capture: int = 0) -> DataFrame:
-    d = lines.join(headers(lines), "file_idx", "left")
+    heads = headers(lines)
+    few = heads.limit(FEW_FILES + 1).collect()  # a row a file
+    if len(few) <= FEW_FILES and sum(len(r["__heads"]) for r in few) <= FEW_HEADS:
+        heads = F.broadcast(lines.sparkSession.createDataFrame(few, heads.schema))
+    d = lines.join(heads, "file_idx", "left")
     here = F.struct("line_block", "line_no")
     before = F.filter("__heads", lambda h: F.struct(h["line_block"], h["line_no"]) < here)
-    d = d.withColumn("__l", trimmed(F.coalesce("value", F.lit("")))).withColumn("__at", F.when(F.size(before) > 0, F.element_at(before, -1)["at"])).withColumn("__c", F.split("value", "\t"))
+    d = held(d, __l=trimmed(F.coalesce("value", F.lit(""))), __last=F.element_at(F.concat(F.array(F.lit(None).cast(heads.schema["__heads"].dataType.elementType)), F.coalesce(before, F.array())), -1), __c=F.transform(F.split("value", "\t"), trimmed))
+    d = d.withColumn("__at", F.col("__last.at"))
 
-    def get(name: str) -> Column:
-        i = F.get("__at", F.lit(NAMES.index(name)))
-        v = trimmed(F.coalesce(F.when(i >= 0, F.get("__c", i)), F.lit("")))
+    def field(place: int) -> Column:
+        i = F.get("__at", F.lit(place))
+        v = F.coalesce(F.when(i >= 0, F.get("__c", i)), F.lit(""))
         return F.when(v != "-", v).otherwise("")
 
-    stamp = F.concat_ws(" ", get("date"), get("time"))
-    d = d.withColumn("__ts", F.when(stamp.rlike(r"^\d{4}-\d\d-\d\d \d{1,2}:\d\d:\d\d(\.\d+)?$"), stamp.try_cast("timestamp"))).withColumn("__p", get("cs-uri-stem")).withColumn("__q", get("cs-uri-query"))
-    code = integer(get("sc-status")).try_cast("int")
+    d = held(d, **{f"__v{i}": field(i) for i in range(len(NAMES))})
+    get = lambda name: F.col(f"__v{NAMES.index(name)}")
+    d = held(d, __stamp=F.concat_ws(" ", get("date"), get("time")))
+    stamp = F.col("__stamp")
+    d = held(d, __ts=F.when(stamp.rlike(r"^\d{4}-\d\d-\d\d \d{1,2}:\d\d:\d\d(\.\d+)?$"), stamp.try_cast("timestamp")), __p=get("cs-uri-stem"), __q=get("cs-uri-query"), __code=integer(get("sc-status")).try_cast("int"))
+    code = F.col("__code")
     skipped = (F.col("__l") == "") | F.col("__l").startswith("#")
     status = F.when(skipped, "skipped").when(F.col("__at").isNull() | F.col("__ts").isNull() | (F.col("__p") == "") | code.isNull(), "malformed").otherwise("parsed")
     bare = F.col("__q") == ""

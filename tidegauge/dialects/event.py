@@ -11,6 +11,12 @@ EVENT_COLUMNS = {
 }
 
 
+def held(df: DataFrame, **columns: Column) -> DataFrame:
+    """With the columns added behind a generated row, so that what uses one of them several times computes it once."""
+    row = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("__h")
+    return df.select("*", row).select(*df.columns, *[F.col(f"__h.{n}").alias(n) for n in columns])
+
+
 def finish(df: DataFrame, lines: DataFrame, outcome: Column, /, **fields: Column) -> DataFrame:
     """The line columns, parse_status, and the event columns, null unless the line was parsed."""
     # One generated row a line: a filter on parse_status then stays above the parse and doesn't repeat it.

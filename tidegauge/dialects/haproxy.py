@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.dialects.event import finish
+from tidegauge.dialects.event import finish, held
 from tidegauge.functions.text import empty_null, integer, is_host, millis, target, tokens, trimmed, unquote
 
 LATENCY_FIELD = "Tr (wait for the server's response)"
@@ -24,14 +24,15 @@ def _instant(text: Column, tz: str) -> Column:
 def parse(lines: DataFrame, tz: str = "UTC", xff_capture: int = 0) -> DataFrame:
     at = lambda off: F.get("__f", F.col("__t") + off)
     dates = F.filter(F.regexp_extract_all("__l", F.lit(_DATE), F.lit(1)), lambda x: _instant(x, tz).isNotNull())
-    d = lines.withColumn("__l", trimmed(F.coalesce("value", F.lit("")))).withColumn("__d", F.get(dates, F.lit(0)))
+    d = held(lines, __l=trimmed(F.coalesce("value", F.lit(""))))
+    d = held(d, __d=F.get(dates, F.lit(0)))
     mark = F.concat(F.lit("["), F.col("__d"), F.lit("]"))
-    d = d.withColumn("__at", F.instr("__l", mark))
-    d = d.withColumn("__f", tokens(F.substring("__l", F.col("__at") + F.length(mark), F.length("__l"))))
-    d = d.withColumn("__t", F.array_position(F.transform("__f", lambda x: x.rlike(_TIMERS)), F.lit(True)) - 1)
-    d = d.withColumn("__x", F.split(at(0), "/")).withColumn("__r", target(F.regexp_extract("__l", r'"([^"]*)"[^"]*$', 1)))
-    d = d.withColumn("__caps", F.transform(F.filter("__f", lambda x: x.startswith("{") & (F.length(x) > 1)), lambda x: F.split(unquote(x), r"\|")))
-    code = integer(at(1)).try_cast("int")
+    d = held(d, __at=F.instr("__l", mark), __size=F.length(mark))
+    d = held(d, __f=tokens(F.substring("__l", F.col("__at") + F.col("__size"), F.length("__l"))), __words=F.filter(F.split(F.regexp_extract("__l", r'"([^"]*)"[^"]*$', 1), r"\s+"), lambda w: w != ""))
+    d = held(d, __t=F.array_position(F.transform("__f", lambda x: x.rlike(_TIMERS)), F.lit(True)) - 1, __r=target(F.col("__words")))
+    caps = F.transform(F.filter("__f", lambda x: x.startswith("{") & (F.length(x) > 1)), lambda x: F.split(unquote(x), r"\|"))
+    d = held(d, __x=F.split(at(0), "/"), __code=integer(at(1)).try_cast("int"), __caps=caps)
+    code = F.col("__code")
     status = F.when(F.col("__d").isNull(), "skipped").when((F.coalesce("__t", F.lit(-1)) < 0) | code.isNull() | (F.coalesce(F.col("__r.path"), F.lit("")) == ""), "malformed").otherwise("parsed")
     behind = F.when(F.col("__t") >= 2, at(-1))
     last = F.element_at(F.split(trimmed(F.substring("__l", F.lit(1), F.col("__at") - 1)), r"\s+"), -1)

@@ -5,16 +5,21 @@ Keys are case-sensitive; a repeated key makes the line malformed, and text after
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.dialects.event import held
 from tidegauge.functions.text import trimmed
 
 
-def opened(lines: DataFrame) -> DataFrame:
-    """With __l, the trimmed line, and __v, its VARIANT (null where it isn't a JSON object)."""
-    d = lines.withColumn("__l", trimmed(F.coalesce("value", F.lit(""))))
-    return d.withColumn("__v", F.when(F.col("__l").startswith("{"), F.try_parse_json("__l")))
+def opened(lines: DataFrame, keys: Iterable[str]) -> DataFrame:
+    """With __l, the trimmed line, __v, its VARIANT (null where it isn't a JSON object), and each key's text and kind."""
+    d = held(lines, __l=trimmed(F.coalesce("value", F.lit(""))))
+    d = held(d, __v=F.when(F.col("__l").startswith("{"), F.try_parse_json("__l")))
+    value = lambda key, kind: F.try_variant_get(F.col("__v"), f'$["{key}"]', kind)
+    return held(d, **{f"__t_{k}": F.coalesce(value(k, "string"), F.lit("")) for k in keys}, **{f"__k_{k}": F.schema_of_variant(value(k, "variant")) for k in keys})
 
 
 def is_object() -> Column:
@@ -23,11 +28,11 @@ def is_object() -> Column:
 
 def text(key: str) -> Column:
     """A value as text, with a number's digits kept; absent and null are empty."""
-    return F.coalesce(F.try_variant_get(F.col("__v"), f'$["{key}"]', "string"), F.lit(""))
+    return F.col(f"`__t_{key}`")
 
 
 def kind(key: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(F.col("__v"), f'$["{key}"]', "variant"))
+    return F.col(f"`__k_{key}`")
 
 
 def fits(key: str, *kinds: str) -> Column:

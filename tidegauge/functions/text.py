@@ -16,7 +16,7 @@ def empty_null(c: Column) -> Column:
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def tokens(c: Column) -> Column:
@@ -40,9 +40,8 @@ def after_mark(c: Column) -> Column:
     return F.when(at > 0, F.substring(c, at + 1, F.length(c))).otherwise("")
 
 
-def target(request: Column) -> Column:
-    """struct<method,path,query> of a request line; a lone word is a path."""
-    words = F.filter(F.split(request, r"\s+"), lambda w: w != "")
+def target(words: Column) -> Column:
+    """struct<method,path,query> of a request line's words; a lone word is a path."""
     many = F.size(words) > 1
     raw = F.coalesce(F.get(words, F.when(many, 1).otherwise(0)), F.lit(""))
     return F.struct(F.when(many, F.get(words, F.lit(0))).otherwise("").alias("method"), before_mark(raw).alias("path"), after_mark(raw).alias("query"))

@@ -58,29 +58,42 @@ class ClassSet:
         return next((r.label for r in self.rules if r.name == name and r.label), name)
 
 
+#: What a rule of a class set may hold: field, type, and whether it is a list of texts.
+_RULE_FIELDS = {"name": False, "label": False, "kind": False, "path_prefixes": True, "path_suffixes": True, "path_contains": True, "query_params": True, "methods": True}
+_KINDS = ("", "plain", "rsc")
+
+
+def _faults(fallback: object, rules: object) -> list[str]:
+    """Everything that keeps a class set from sorting requests into distinct classes."""
+    if not isinstance(rules, list) or not all(isinstance(r, dict) for r in rules):
+        return ["rules: a list of objects is wanted"]
+    out = [] if isinstance(fallback, str) and fallback.strip() else ["fallback: a class name is wanted"]
+    names = [fallback, *(r.get("name") for r in rules)]
+    for i, r in enumerate(rules, 1):
+        for field, is_list in _RULE_FIELDS.items():
+            value = r.get(field)
+            texts = value if is_list and isinstance(value, list) else [value]
+            if value is not None and (is_list != isinstance(value, list) or not all(isinstance(x, str) for x in texts)):
+                out.append(f"rules[{i}].{field}: {'texts in a list are' if is_list else 'a text is'} wanted")
+        if not str(names[i] or "").strip():
+            out.append(f"rules[{i}].name: missing")
+        elif names[i] in names[:i]:
+            out.append(f"rules[{i}].name: {names[i]!r} twice")
+        if (r.get("kind") or "") not in _KINDS:
+            out.append(f"rules[{i}].kind: one of {_KINDS[1:]} is wanted")
+        if not any(r.get(f) for f, is_list in _RULE_FIELDS.items() if is_list and f != "methods"):
+            out.append(f"rules[{i}]: nothing about path or query, so it takes every request")
+    return out
+
+
 def load(text: str) -> ClassSet:
-    """A class set of its JSON; a set that would merge or lose classes is refused."""
+    """A class set of its JSON, refused with all its faults at once."""
     raw = json.loads(text)
-    if not isinstance(raw, dict):
-        raise ValueError("a class set is a JSON object")
-    fallback = raw.get("fallback") or ""
-    if not fallback.strip():
-        raise ValueError("the set names no fallback class for requests that no rule claims")
-    seen, rules = {fallback}, []
-    for i, r in enumerate(raw.get("rules") or []):
-        name = r.get("name") or ""
-        if not name.strip():
-            raise ValueError(f"rule {i} is unnamed")
-        if name in seen:
-            raise ValueError(f"rule {i}: the class {name!r} is already taken")
-        seen.add(name)
-        if r.get("kind", "") not in ("", "plain", "rsc"):
-            raise ValueError(f"rule {i}: kind is plain or rsc, not {r['kind']!r}")
-        lists = {k: tuple(r.get(k) or ()) for k in ("path_prefixes", "path_suffixes", "path_contains", "query_params", "methods")}
-        if not any(v for k, v in lists.items() if k != "methods"):
-            raise ValueError(f"rule {i} ({name}) has no path or query condition")
-        rules.append(Rule(name, r.get("label") or "", r.get("kind") or "", **lists))
-    return ClassSet(tuple(rules), fallback)
+    fallback, rules = (raw.get("fallback"), raw.get("rules") or []) if isinstance(raw, dict) else (None, None)
+    if found := _faults(fallback, rules):
+        raise ValueError("class set: " + "; ".join(found))
+    made = [{f: tuple(r.get(f) or ()) if is_list else r.get(f) or "" for f, is_list in _RULE_FIELDS.items()} for r in rules]
+    return ClassSet(tuple(Rule(**m) for m in made), fallback)
 
 
 #: The built-in classes, in matching order.

@@ -57,8 +57,9 @@ def per_second(p: DataFrame) -> DataFrame:
 
 def peaks(seconds: DataFrame) -> DataFrame:
     """cls, peak, peak_sec (the second that first reached it), busy_seconds."""
-    rank = F.struct((-F.col("n")).alias("n"), F.col("last_ord"))
-    return seconds.groupBy("cls").agg(F.max("n").alias("peak"), F.min_by("sec", rank).alias("peak_sec"), F.count(F.lit(1)).alias("busy_seconds"))
+    most = seconds.groupBy("cls").agg(F.max("n").alias("peak"), F.count(F.lit(1)).alias("busy_seconds")).withColumnRenamed("cls", "__c")
+    first = seconds.join(F.broadcast(most), F.col("cls").eqNullSafe(F.col("__c")) & (F.col("n") == F.col("peak"))).groupBy("cls", "peak", "busy_seconds")
+    return first.agg(F.min_by("sec", "last_ord").alias("peak_sec")).select("cls", "peak", "peak_sec", "busy_seconds")
 
 
 def _index(q: Column, size: Column) -> Column:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime, timedelta
+from decimal import Decimal
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.dialects import CACHE_FIELD, LATENCY_FIELD, parse
@@ -80,6 +81,13 @@ def in_window(o: Options):
     return keep
 
 
+def place() -> Column:
+    """A line's place over all files as one number, which hash aggregates can compare in place (a struct they'd sort)."""
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    row = F.col("line_no").bitwiseAND(F.lit((1 << 33) - 1)).cast("decimal(10,0)")  # within a task; blocks are told apart before it
+    return (wide("file_idx") * F.lit(Decimal(1 << 84)) + wide("line_block") * F.lit(Decimal(1 << 33)) + row).cast("decimal(38,0)")
+
+
 def _share(n: int, total: int) -> float:
     return n / total if total else 0.0
 
@@ -183,7 +191,7 @@ def analyze(spark: SparkSession, paths: list[str], dialect: str = "auto", option
     o = (options or Options()).checked()
     lines = read_lines(spark, paths)
     name = detect(lines, o.zone, o.xff_capture) if dialect == "auto" else dialect.lower()
-    parsed = parse(lines, name, o.zone, o.xff_capture).withColumn("ord", F.struct("file_idx", "line_block", "line_no")).persist(StorageLevel.MEMORY_AND_DISK)
+    parsed = parse(lines, name, o.zone, o.xff_capture).withColumn("ord", place()).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         counts = scan_counts(parsed)
         events = parsed.where("parse_status = 'parsed'")

@@ -172,9 +172,9 @@ def test_bounded_fit_meets_all_margins():
     tokens = rnd.integers(1, 1000, 60).astype(float) * np.where(rnd.random(60) < 0.2, 0.01, 1)
     shares = [np.bincount(c, tokens / tokens.sum()) for c in codes]
     goals = [s**0.5 / (s**0.5).sum() for s in shares]
-    plan = source_mix.plan_cells(tokens, codes, goals, 0.6)
+    plan = source_mix.plan_cells(tokens, codes, goals, 0.9)
     drawn = tokens * plan.p
-    assert (plan.p > 1 - 1e-9).any() and plan.p.max() <= 1 and np.isclose(drawn.sum(), 0.6 * tokens.sum())
+    assert (plan.p > 1 - 1e-9).any() and plan.p.max() <= 1 and np.isclose(drawn.sum(), 0.9 * tokens.sum())
     for c, t in zip(codes, plan.targets):
         assert np.abs(np.bincount(c, drawn / drawn.sum()) - t).max() < 1e-6
     assert np.allclose(source_mix.within(np.array([0.7, 0.2, 0.1]), np.array([0.4, 0.5, 0.9])), [0.4, 0.4, 0.2])

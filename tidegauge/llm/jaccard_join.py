@@ -44,7 +44,7 @@ CROWD = 512
 #: Smallest open keys that a member carries, so that a pair of many keys is compared at one of them.
 CARRIED = 4
 #: Candidates that a member of an open key gives in the first round; four times as many in each further one.
-NEAREST = 32
+NEAREST = 128
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 

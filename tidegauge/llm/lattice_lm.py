@@ -1,8 +1,8 @@
 """Language-model scores of whole texts by a subword lattice.
 
-A fixed public vocabulary of pieces is kept; nothing of it is trained. Its own scores (merge ranks) give starting
-probabilities, and one expectation step over all training words, each weighted by its count, gives the unigram
-probabilities used. A text's probability is the product over its words of the sum over all segmentations into
+The pieces are those of a fixed public vocabulary. Its own scores are merge ranks and no unigram scores (none are at
+hand), so they only give starting probabilities, by a Zipf law; the unigram probabilities used are fitted by three expectation
+steps over all training words, each weighted by its count. A text's probability is the product over its words of the sum over all segmentations into
 pieces (forward recursion in logarithms), times the end's probability. Characters outside the vocabulary fall
 back to byte pieces.
 

@@ -4,7 +4,7 @@ P(grade <= k) = sigmoid(threshold_k - w.x) with one weight vector over hashed te
 ordered thresholds. Features are the distinct words of a text (ASCII letters lowered, cut at other ASCII signs)
 and coarse marks of its shape, hashed to buckets. It is fitted by full-batch gradient steps on the driver over a bounded
 sample of rated documents (``max_rows``, drawn by a hash of the id; the only bound), then scores every document:
-expected grade, and the tail probability of the highest grade, which selects.
+expected grade, and the tail probability of the highest grade, which selects (from ``keep_tail`` on, itself included).
 
 Null text is empty text. Ratings without a grade or document, and null ids, are left out; a document with several
 ratings has the lowest. Without ratings in at least two grades every document gets the prior and the threshold decides on that. Repeated
@@ -152,7 +152,8 @@ def rated_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     grades = labels.select(F.col(id_col).cast("long").alias("__rated"), grade_column().alias("__grade")).where("__rated is not null and __grade is not null").groupBy("__rated").agg(F.min("__grade").alias("__grade"))
     chosen = grades.orderBy(F.xxhash64("__rated"), "__rated").limit(max_rows)  # a fixed bound, so it can be broadcast
     rated = docs.join(F.broadcast(chosen), docs[id_col] == chosen["__rated"]).select(F.col("__rated").alias("id"), F.col("__grade").cast("int").alias("grade"), F.col(text_col).cast("binary").alias("text"))
-    rows = sorted(rated.mapInArrow(partial(_vectors, buckets=buckets), "id long, grade int, x binary").collect(), key=lambda r: (r["id"], bytes(r["x"])))[:max_rows]
+    vectors = rated.mapInArrow(partial(_vectors, buckets=buckets), "id long, grade int, x binary")
+    rows = vectors.orderBy("id", "x").limit(max_rows).collect()  # rows that repeat an id are cut before they come here
     return [np.frombuffer(bytes(r["x"]), np.int32) for r in rows], np.array([r["grade"] for r in rows], np.int64)
 
 

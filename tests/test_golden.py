@@ -128,3 +128,69 @@ def test_a_line_at_the_cap_fails_the_run(spark, tmp_path):
     p.write_text("short\n" + "x" * (1 << 20) + "\n")
     with pytest.raises(Exception, match="cap"):
         read_lines(spark, [str(p)]).select("value").collect()
+
+
+def test_directories_and_patterns_are_one_scan(spark, log, tmp_path):
+    from tidegauge.sources import read_lines, resolve
+
+    raw = open(log, "rb").read()
+    names = [f"part {i:02d}.log" for i in range(20)]
+    for i, name in enumerate(names):
+        (tmp_path / name).write_bytes(b"first of %d\n" % i + raw)
+    (tmp_path / "x%20y.gz").write_bytes(gzip.compress(raw))
+    (tmp_path / "odd.log").write_bytes(gzip.compress(raw))
+    (tmp_path / ".hidden").write_bytes(raw)
+    (tmp_path / "below").mkdir()
+    assert [p.rsplit("/", 1)[-1] for p in resolve(spark, [str(tmp_path)])] == ["odd.log", *names, "x%20y.gz"]
+    some = read_lines(spark, [f"{tmp_path}/part*.log"])
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 1 and "BroadcastHashJoin" in plan
+    heads = some.where("value like 'first of %'").orderBy("file_idx").collect()
+    assert [(r.file_idx, r.value) for r in heads] == [(i, f"first of {i}") for i in range(20)]
+    per_line = raw.count(b"\n")
+    twice = read_lines(spark, [str(tmp_path / "odd.log"), str(tmp_path), str(tmp_path / "odd.log")])
+    assert {r.file_idx: r["count"] for r in twice.groupBy("file_idx").count().collect()} == {0: per_line, 1: per_line, 22: per_line, 23: per_line, **{i + 2: per_line + 1 for i in range(20)}}
+    with pytest.raises(FileNotFoundError):
+        read_lines(spark, [f"{tmp_path}/none*.log"])
+
+
+def test_detection_reads_the_head_of_a_file_alone(spark, log, tmp_path):
+    from tidegauge.operators.detect import DetectionError, detect_file
+    from tidegauge.sources import head_lines
+
+    raw = open(log, "rb").read()
+    want = raw.decode().split("\n")[:-1]
+    squeezed, long = tmp_path / "two.gz", tmp_path / "long.log"
+    squeezed.write_bytes(gzip.compress(raw) + gzip.compress(raw))
+    long.write_bytes(raw + b"nothing of a log\n" * 100_000)
+    assert head_lines(spark, log) == want and head_lines(spark, str(squeezed)) == want + want
+    assert head_lines(spark, log, len(want[0]) + 5) == want[:1] and head_lines(spark, str(squeezed), 300) == head_lines(spark, log, 300)
+    assert detect_file(spark, log) == detect_file(spark, str(squeezed)) == detect_file(spark, str(long)) == "haproxy"
+    (tmp_path / "empty.log").write_bytes(b"")
+    with pytest.raises(DetectionError):
+        detect_file(spark, str(tmp_path / "empty.log"))
+
+
+def test_a_parser_of_ones_own(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from pyspark.sql import functions as F
+
+    from tidegauge import dialects
+    from tidegauge.dialects import nginx
+    from tidegauge.operators.detect import detect_file
+
+    def parse(lines, tz="UTC", xff_capture=0):
+        return nginx.parse(lines.withColumn("value", F.translate("value", "'", '"')), tz=tz, xff_capture=xff_capture).where("parse_status = 'parsed'")
+
+    with pytest.raises(ValueError):
+        dialects.register("nginx", nginx)
+    dialects.register("mine", SimpleNamespace(parse=parse, LATENCY_FIELD="own time"))
+    try:
+        p = tmp_path / "own.log"
+        p.write_text("198.51.100.9 - - [02/Mar/2026:10:00:00 +0000] 'GET /a HTTP/1.1' 200 5 '-' 'agent'\n" * 3)
+        assert detect_file(spark, str(p)) == "mine" and dialects.known()[-1] == "mine" and not dialects.is_cdn("mine")
+        assert analyze(spark, [str(p)]).report["counts"]["parsed"] == 3
+    finally:
+        for table in (dialects._MODULES, dialects.LATENCY_FIELD, dialects.CACHE_FIELD):
+            table.pop("mine", None)

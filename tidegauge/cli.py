@@ -7,7 +7,10 @@ import os
 import re
 import sys
 from datetime import datetime
-from zoneinfo import ZoneInfo
+from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
+
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 
 from tidegauge.operators.classes import load
 from tidegauge.plans import render
@@ -47,7 +50,7 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="tidegauge", description="Capacity analysis of HTTP access logs on Spark.")
     cmds = top.add_subparsers(dest="command")
     common = argparse.ArgumentParser(add_help=False)
-    common.add_argument("logs", nargs="*", help="log files, gzip or plain; - is standard input")
+    common.add_argument("logs", nargs="*", help="log files, directories or patterns, gzip or plain; - is standard input")
     common.add_argument("--dialect", default="auto")
     common.add_argument("--tz", default="UTC", help="zone of dates that carry none")
     common.add_argument("--xff-capture", type=int, default=0)
@@ -139,7 +142,7 @@ def main(argv: list[str] | None = None, spark=None, stdout=None, stderr=None) ->
                 f.write(result)
         else:
             stdout.write(result)
-    except Exception as e:  # a run that can't be made ends with a message, not a trace
+    except (ValueError, OSError, ZoneInfoNotFoundError, PySparkException, Py4JError) as e:  # a run that can't be made ends with a message
         say(str(e).split("\n")[0])
         return 2
     if getattr(a, "exit_on", None) and at_least(worst(run.report["findings"]), a.exit_on.upper()):

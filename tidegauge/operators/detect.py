@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.dialects import DIALECTS, parse
+from tidegauge.dialects import known, parse
+from tidegauge.sources import head_lines
+from tidegauge.sources.lines import SCHEMA
 
 SAMPLE_LINES, SAMPLE_BYTES = 200, 1 << 20
 
@@ -33,7 +35,7 @@ def sample(lines: DataFrame) -> DataFrame:
 def votes(lines: DataFrame, tz: str = "UTC", xff_capture: int = 0) -> DataFrame:
     """dialect, parsed: how many lines each parser reads."""
     out = None
-    for name in DIALECTS:
+    for name in known():
         one = parse(lines, name, tz, xff_capture).agg(F.count_if(F.col("parse_status") == "parsed").alias("parsed")).select(F.lit(name).alias("dialect"), "parsed")
         out = one if out is None else out.unionByName(one)
     return out
@@ -51,3 +53,11 @@ def winner(counts: dict[str, int]) -> str:
 
 def detect(lines: DataFrame, tz: str = "UTC", xff_capture: int = 0) -> str:
     return winner({r["dialect"]: r["parsed"] for r in votes(sample(lines), tz, xff_capture).collect()})
+
+
+def detect_file(spark: SparkSession, path: str, tz: str = "UTC", xff_capture: int = 0) -> str:
+    """``detect`` from the first bytes of a file alone, without a scan of it."""
+    head = head_lines(spark, path, SAMPLE_BYTES)[: SAMPLE_LINES + 1]
+    kept = head[:-1] if len(head) > 1 else head
+    rows = [(0, 0, i, x) for i, x in enumerate(kept)]
+    return winner({r["dialect"]: r["parsed"] for r in votes(spark.createDataFrame(rows, SCHEMA), tz, xff_capture).collect()})

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tidegauge.dialects import CACHE_FIELD, LATENCY_FIELD, parse
 from tidegauge.operators import metrics as M
 from tidegauge.operators.classes import DEFAULT, ClassSet
-from tidegauge.operators.detect import detect
-from tidegauge.sources import read_lines, source_label
+from tidegauge.operators.detect import detect_file
+from tidegauge.sources import read_files, resolve, source_label
 
 TOOL = "tidegauge 0.1"
 Q = (0.5, 0.95, 0.99)
@@ -189,8 +189,9 @@ def build(events: DataFrame, dialect: str, source: str, counts: Counts, options:
 def analyze(spark: SparkSession, paths: list[str], dialect: str = "auto", options: Options | None = None) -> Run:
     """Read logs, tell their dialect from the first, and report on them as one window."""
     o = (options or Options()).checked()
-    lines = read_lines(spark, paths)
-    name = detect(lines, o.zone, o.xff_capture) if dialect == "auto" else dialect.lower()
+    files = resolve(spark, paths)
+    lines = read_files(spark, files)
+    name = detect_file(spark, files[0], o.zone, o.xff_capture) if dialect == "auto" else dialect.lower()
     parsed = parse(lines, name, o.zone, o.xff_capture).withColumn("ord", place()).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         counts = scan_counts(parsed)

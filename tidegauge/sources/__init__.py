@@ -1,4 +1,4 @@
 """Log sources: lines in file order."""
-from tidegauge.sources.lines import read_lines, source_label
+from tidegauge.sources.lines import head_lines, read_files, read_lines, resolve, source_label
 
-__all__ = ["read_lines", "source_label"]
+__all__ = ["head_lines", "read_files", "read_lines", "resolve", "source_label"]

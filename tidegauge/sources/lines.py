@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import gzip
 import os
+import re
 import shutil
 import sys
 import tempfile
+import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,24 +23,38 @@ from pyspark.sql import functions as F
 
 #: Bytes a line may have; a longer one fails the run.
 LINE_CAP = 1 << 20
+_GZIP = b"\x1f\x8b"
+#: Slashes after a URL's scheme, which are written as one or as three, and what stands for them in a comparison.
+_URL = (r"^([A-Za-z0-9+.-]+:)/+", "$1/")
 _CODECS = (".gz", ".gzip", ".bz2", ".deflate", ".zst", ".snappy", ".lz4")
 SCHEMA = "file_idx int, line_block long, line_no long, value string"
 
 
 def first_bytes(spark: SparkSession, path: str, n: int = 2) -> bytes:
     """The first bytes of a file in any store Spark reads."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
     stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
     try:
-        out = bytearray()
-        while len(out) < n and (b := stream.read()) >= 0:
-            out.append(b)
-        return bytes(out)
+        return bytes(stream.readNBytes(n))
     finally:
         stream.close()
 
 
+def head_lines(spark: SparkSession, path: str, n: int = LINE_CAP) -> list[str]:
+    """The lines within the first ``n`` bytes of a file's text, gzip unpacked; one that may be cut by the bound isn't given."""
+    text = raw = first_bytes(spark, path, n)
+    if raw[:2] == _GZIP:
+        text = b""
+        while raw[:2] == _GZIP and len(text) < n:
+            member = zlib.decompressobj(31)
+            text += member.decompress(raw, n - len(text))
+            raw = member.unused_data
+    lines = text.decode("utf-8", "replace").split("\n")
+    if lines[-1] == "" or len(text) >= n:
+        lines.pop()
+    return [x.removesuffix("\r") for x in lines]
+
+
 def spool_stdin(folder: str | None = None) -> str:
     """Standard input copied to a file; of use where driver and executors share the folder."""
     fd, path = tempfile.mkstemp(prefix="stdin-", suffix=".log", dir=folder)
@@ -46,42 +63,87 @@ def spool_stdin(folder: str | None = None) -> str:
     return path
 
 
+def resolve(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The files that arguments name, in order: ``-`` is spooled, a directory or a pattern gives its files by name.
+
+    Names that begin with a dot or an underscore are left out of directories and patterns.
+    """
+    out: list[str] = []
+    for p in paths:
+        if p == "-":
+            out.append(spool_stdin())
+            continue
+        where = spark._jvm.org.apache.hadoop.fs.Path(p)
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(where) and fs.getFileStatus(where).isFile():
+            out.append(p)
+            continue
+        found = fs.listStatus(where) if fs.exists(where) else fs.globStatus(where) or []
+        names = sorted(str(f.getPath().toString()) for f in found if f.isFile())
+        names = [x for x in names if not x.rsplit("/", 1)[-1].startswith((".", "_"))]
+        if not names:
+            raise FileNotFoundError(f"{p} names no log")
+        out += names
+    return out
+
+
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for raw in batch.column(0).to_pylist():
-            text = (gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).decode("utf-8", "replace")
+        for path, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            text = (gzip.decompress(raw) if raw[:2] == _GZIP else raw).decode("utf-8", "replace")
             lines = text.split("\n")
             if lines[-1] == "":
                 lines.pop()
             for at in range(0, len(lines), 50_000):
                 part = lines[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(range(at, at + len(part)), pa.int64()), pa.array(part, pa.string())], names=["line_no", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(part), pa.string()), pa.array(range(at, at + len(part)), pa.int64()), pa.array(part, pa.string())], names=["path", "line_no", "value"])
 
 
-def _one(spark: SparkSession, path: str, idx: int) -> DataFrame:
-    squeezed = first_bytes(spark, path) == b"\x1f\x8b"
-    named = path.lower().endswith(_CODECS)
-    if squeezed == named:
-        raw = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_block_start").alias("line_block"), F.monotonically_increasing_id().alias("line_no"), "value")
-    else:
-        raw = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_unpack, "line_no long, value string").select(F.lit(0).cast("long").alias("line_block"), "line_no", "value")
-    return raw.select(F.lit(idx).alias("file_idx"), "line_block", "line_no", F.regexp_replace("value", "\r$", "").alias("value"))
+def _url(spark: SparkSession, path: str) -> str:
+    """A path as Spark's file metadata writes it, but for the slashes after the scheme (see ``_URL``)."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where)
+    return re.sub(_URL[0], _URL[1].replace("$", "\\"), str(full.toUri().toString()))
 
 
-def read_lines(spark: SparkSession, paths: list[str], check_cap: bool = True) -> DataFrame:
-    """file_idx, line_block, line_no, value of all files, in the order given; a path named twice counts twice."""
-    if not paths:
+def read_files(spark: SparkSession, files: list[str], check_cap: bool = True) -> DataFrame:
+    """``read_lines`` of files already resolved: one scan for those Spark reads by itself, one for misnamed ones."""
+    if not files:
         raise ValueError("no log to read")
-    out = None
-    for i, p in enumerate(paths):
-        one = _one(spark, spool_stdin() if p == "-" else p, i)
-        out = one if out is None else out.unionByName(one)
+    urls = {p: _url(spark, p) for p in files}
+    distinct = list({u: p for p, u in urls.items()}.values())  # a file may be named in several ways
+    with ThreadPoolExecutor(16) as pool:
+        squeezed = dict(zip(distinct, pool.map(lambda p: first_bytes(spark, p) == _GZIP, distinct)))
+    plain = [p for p in distinct if squeezed[p] == p.lower().endswith(_CODECS)]
+    odd = [p for p in distinct if p not in set(plain)]
+    scans = []
+    path = F.col("_metadata.file_path").alias("path")
+    if plain:
+        scans.append(spark.read.option("lineSep", "\n").text(plain).select(path, F.col("_metadata.file_block_start").alias("line_block"), F.monotonically_increasing_id().alias("line_no"), "value"))
+    if odd:
+        whole = spark.read.format("binaryFile").load(odd).select(path, "content").mapInArrow(_unpack, "path string, line_no long, value string")
+        scans.append(whole.select("path", F.lit(0).cast("long").alias("line_block"), "line_no", "value"))
+    raw = scans[0] if len(scans) == 1 else scans[0].unionByName(scans[1])
+    if len(files) == 1:
+        raw = raw.withColumn("file_idx", F.lit(0))
+    else:  # a row a named file, so the broadcast has the size of the argument list
+        places = spark.createDataFrame([(urls[p], i) for i, p in enumerate(files)], "__url string, file_idx int")
+        raw = raw.join(F.broadcast(places), F.regexp_replace("path", *_URL) == F.col("__url"))
+    out = raw.select("file_idx", "line_block", "line_no", F.regexp_replace("value", "\r$", "").alias("value"))
     if check_cap:  # fails the run in the task that meets such a line; no extra pass
         too_long = F.octet_length("value") >= LINE_CAP
         out = out.withColumn("value", F.when(too_long, F.raise_error(F.lit("a line reaches the cap of 1 MiB"))).otherwise(F.col("value")))
     return out
 
 
+def read_lines(spark: SparkSession, paths: list[str], check_cap: bool = True) -> DataFrame:
+    """file_idx, line_block, line_no, value of all files, in the order given; a path named twice counts twice.
+
+    A path may be a directory or a pattern, too.
+    """
+    return read_files(spark, resolve(spark, paths), check_cap)
+
+
 def source_label(paths: list[str]) -> str:
     if not paths:
         return "(none)"

@@ -7,6 +7,7 @@ arithmetic on the table, which the SQL repeats.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +17,10 @@ from tidegauge.dialects.event import latency_ns
 from tidegauge.functions import text as T
 from tidegauge.operators import metrics as M
 from tidegauge.operators.classes import DEFAULT
-from tidegauge.operators.detect import votes
+from tidegauge.operators.detect import sample, votes
 from tidegauge.plans import profile as P
 from tidegauge.plans.findings import FINDING_SCHEMA, SEVERITY
-from tidegauge.plans.report import Counts, Options, build
+from tidegauge.plans.report import Counts, Options, build, cells_of, in_window, place
 from tidegauge.plans.render import to_json
 
 BASE = 1_767_225_600  # the first logical second, 2026-01-01T00:00:00Z
@@ -170,10 +171,37 @@ def scan_counts(spark, sf_dir):
     lines = render(access_events(spark, sf_dir), "haproxy")
     mod = F.col("line_no") % 10
     lines = lines.withColumn("value", F.when(mod == 3, "proxy web started.").when(mod == 7, F.concat(F.substring_index("value", "] ", 1), F.lit("] web app/s1"))).otherwise(F.col("value")))
-    counts = dialects.parse(lines, "haproxy").groupBy("parse_status").agg(F.count(F.lit(1)).alias("lines"))
+    counts = M.Tables(cells_of(dialects.parse(lines, "haproxy").withColumn("ord", place()), Options().checked())).lines().withColumnRenamed("count", "lines")
     return counts.join(F.broadcast(counts.agg(F.sum("lines").alias("__n"))), F.lit(True)).select("parse_status", "lines", (F.col("lines") / F.col("__n")).alias("share"))
 
 
+def _noise(value, dialect: str, mod):
+    """A tenth of a dialect's lines is no request, another is a request spoilt in one field."""
+    other = {"nginx": "# comment", "traefik": '{"level":"info","msg":"up"}', "cloudfront": "#Version: 1.0", "akamai": '{"version":1}'}
+    cut = F.substring(value, F.lit(1), F.length(value) - 3)
+    spoilt = {"nginx": F.regexp_replace(value, r'" \d+ ', '" 2x0 '), "cloudfront": F.regexp_replace(value, r"^[^\t]*", "-")}
+    return F.when(mod == 3, other[dialect]).when(mod == 7, spoilt.get(dialect, cut)).otherwise(value)
+
+
+@query(f"SELECT d.dialect, {_NOISE} AS parse_status, count(*) AS lines FROM a, (VALUES ('nginx'), ('traefik'), ('cloudfront'), ('akamai')) d(dialect) GROUP BY ALL")
+def noise_counts(spark, sf_dir):
+    """Skipped and malformed lines of the other four dialects."""
+    out = None
+    for name in ("nginx", "traefik", "cloudfront", "akamai"):
+        lines = render(access_events(spark, sf_dir), name)
+        lines = lines.withColumn("value", _noise(F.col("value"), name, F.col("line_no") % 10))
+        got = dialects.parse(_with_header(lines) if name == "cloudfront" else lines, name).where("line_no >= 0")
+        got = got.groupBy("parse_status").agg(F.count(F.lit(1)).alias("lines")).select(F.lit(name).alias("dialect"), "parse_status", "lines")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query("SELECT d.dialect, (d.dialect = 'nginx')::BIGINT * least(200, count(*)) AS parsed FROM a, (VALUES ('haproxy'), ('nginx'), ('traefik'), ('cloudfront'), ('akamai')) d(dialect) GROUP BY d.dialect")
+def detect_sample(spark, sf_dir):
+    """The vote on the first lines alone, as a run takes it."""
+    return votes(sample(render(access_events(spark, sf_dir), "nginx")))
+
+
 @query("SELECT ord, sec, status, path FROM a WHERE ord <> 5000")
 def cloudfront_reheader(spark, sf_dir):
     """A second header midway reorders the columns: every line goes by the latest one before it."""
@@ -192,10 +220,23 @@ def cloudfront_reheader(spark, sf_dir):
 def window_filter(spark, sf_dir):
     e = access_events(spark, sf_dir)
     lo = e.agg(F.min("ts")).first()[0]
-    inside = (F.col("ts") >= F.lit(lo) + F.expr("interval 100 seconds")) & (F.col("ts") < F.lit(lo) + F.expr("interval 300 seconds"))
+    inside = in_window(Options(since=lo + timedelta(seconds=100), until=lo + timedelta(seconds=300)))
     return e.agg(F.count_if(inside).alias("in_window"), F.count_if(~inside).alias("outside"))
 
 
+_CELLS = {"second": ("sec", "NULL"), "wait": ("ms", "NULL"), "path": ("NULL", "path"), "status_class": ("NULL", "status_class"), "cache": ("NULL", "cache"), "term_state": ("NULL", "term"), "host": ("NULL", "host")}
+
+
+@query(
+    " UNION ALL ".join(f"SELECT '{kind}' AS kind, cls, CAST({num} AS BIGINT) AS num, CAST({label} AS VARCHAR) AS label, count(*) AS requests, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) FILTER (identity) AS identified, count(ms) AS measured, CAST(sum(ms * 1000000) AS BIGINT) AS lat_sum_ns, count(cache) AS judged, count(*) FILTER (status BETWEEN 200 AND 299) AS ok, count(*) FILTER (status >= 500) AS fivexx, CAST(min(ord) AS BIGINT) AS first_ord, CAST(max(ord) AS BIGINT) AS last_ord FROM b WHERE {num if label == 'NULL' else label} IS NOT NULL GROUP BY ALL" for kind, (num, label) in _CELLS.items())
+)
+def report_cells(spark, sf_dir):
+    """The one pass that all tables of a report are made of."""
+    sums = ("requests", "bytes", "identified", "measured", "lat_sum_ns", "judged", "ok", "fivexx")
+    got = cells_of(access_events(spark, sf_dir), Options().checked())
+    return got.select("kind", "cls", "num", "label", *sums, *[F.col(c).cast("bigint").alias(c) for c in ("first_ord", "last_ord")])
+
+
 @query("SELECT cls, count(*) AS requests, count(*) / (SELECT count(*) FROM a)::DOUBLE AS share, CAST(sum(bytes) AS BIGINT) AS bytes FROM b GROUP BY cls")
 def classify_mix(spark, sf_dir):
     s = M.summary(prepared(spark, sf_dir))
@@ -395,19 +436,71 @@ def findings(spark, sf_dir):
     return spark.createDataFrame(rows, FINDING_SCHEMA)
 
 
-@query(None)
+_ORDER = "list_position(['rsc_nav', 'media', 'static', 'search', 'api', 'doc'], cls)"
+_RANKED = "least(greatest(CAST(floor(0.95::DOUBLE * {0} + 0.5) AS BIGINT) - 1, 0), {0} - 1)"
+_FINDINGS = f""", w AS (SELECT max(sec) - min(sec) + 1 AS w, count(DISTINCT sec) AS busy, count(*) AS n FROM a),
+s AS (SELECT sec, count(*) AS n FROM a GROUP BY sec), pk AS (SELECT max(n)::DOUBLE AS peak FROM s), rs AS (SELECT n, row_number() OVER (ORDER BY n) AS rn FROM s),
+i AS (SELECT w, w - busy AS silent, n, {_RANKED.format("w")} AS idx FROM w), q AS (SELECT CASE WHEN idx < silent THEN 0 ELSE (SELECT rs.n FROM rs WHERE rs.rn = idx - silent + 1) END AS p95 FROM i),
+l AS (SELECT cls, ms, row_number() OVER (PARTITION BY cls ORDER BY ms) AS rn, count(*) OVER (PARTITION BY cls) AS m FROM g WHERE ms IS NOT NULL),
+p AS (SELECT cls, ms::DOUBLE AS p95 FROM l WHERE rn = {_RANKED.format("m")} + 1),
+t AS (SELECT count(*) FILTER (ms > 1000) AS o1, count(*) FILTER (ms > 7000) AS o7, count(*)::DOUBLE AS m FROM a WHERE ms IS NOT NULL),
+e AS (SELECT count(*) FILTER (status BETWEEN 500 AND 599) AS x, count(*)::DOUBLE AS n, count(*) FILTER (term LIKE 'sD%') AS d, count(*) FILTER (identity) AS who FROM a),
+k AS (SELECT cls, count(*) AS n, count(cache) AS judged, count(*) FILTER ({_HIT}) / count(cache)::DOUBLE AS ratio FROM g GROUP BY cls),
+f AS (
+SELECT 'coverage' AS "check", 'window' AS target, 'WARN' AS status, silent / w::DOUBLE * 100 AS value, '%' AS unit FROM i WHERE n >= w AND silent / w::DOUBLE >= 0.20
+UNION ALL SELECT 'rate', 'peak second', 'OK', peak, 'req/s' FROM pk
+UNION ALL SELECT 'rate', 'burstiness', 'WARN', peak / p95, '×' FROM pk, q WHERE p95 > 0 AND peak / p95 >= 3
+UNION ALL SELECT 'wait', 'all classes', 'OK', p95, 'ms' FROM p WHERE cls = '(all)'
+UNION ALL SELECT 'wait', 'read timeout', CASE WHEN o7 / m >= 0.001 THEN 'BAD' WHEN o7 > 0 THEN 'WARN' ELSE 'OK' END, CASE WHEN o7 / m >= 0.001 THEN o7 / m * 100 ELSE o7 END, CASE WHEN o7 / m >= 0.001 THEN '%' ELSE 'requests' END FROM t
+UNION ALL SELECT 'wait', '1s tail', 'WARN', o1 / m * 100, '%' FROM t WHERE o1 / m >= 0.05
+UNION ALL (SELECT 'wait', cls, 'OK', p95, 'ms' FROM p WHERE cls <> '(all)' AND p95 > 0 ORDER BY p95 DESC, {_ORDER} LIMIT 1)
+UNION ALL SELECT 'errors', '5xx', CASE WHEN x / n >= 0.02 THEN 'BAD' WHEN x / n >= 0.005 THEN 'WARN' ELSE 'OK' END, x / n * 100, '%' FROM e WHERE x > 0
+UNION ALL SELECT 'errors', 'server timeout', 'WARN', d / n * 100, '%' FROM e WHERE d / n >= 0.005
+UNION ALL (SELECT 'mix', cls, 'OK', n / (SELECT n FROM e) * 100, '%' FROM k WHERE cls <> '(all)' ORDER BY n DESC, {_ORDER} LIMIT 1)
+UNION ALL SELECT 'cache', '$upstream_cache_status', 'OK', ratio * 100, '%' FROM k WHERE cls = '(all)'
+UNION ALL SELECT 'cache', cls, 'WARN', ratio * 100, '%' FROM k WHERE cls <> '(all)' AND judged >= 1000 AND ratio < 0.10
+UNION ALL SELECT 'audience', 'log', 'OK', who / n * 100, '%' FROM e) """
+
+
+@query(_FINDINGS + "SELECT * FROM f")
+def finding_values(spark, sf_dir):
+    """Each finding's level and the number it rests on."""
+    return findings(spark, sf_dir).drop("message", "hint")
+
+
+@query(_FINDINGS + "SELECT status, count(*) AS n, CAST(list_position(['OK', 'WARN', 'BAD', 'ERROR'], status) - 1 AS INT) AS severity FROM f GROUP BY status")
 def finding_summary(spark, sf_dir):
     order = F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv])
     return findings(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.max(order[F.col("status")]).alias("severity"))
 
 
+def _profile(spark: SparkSession, sf_dir: str) -> tuple[dict, list[str]]:
+    return P.build(_report(spark, sf_dir, pool_size=40, pool_min_ok=0.5), P.ProfileOptions("https://edge.example.test"))
+
+
+@query(_PATHS + f"SELECT cls, path, place FROM (SELECT *, {_RANK.format('n DESC')} FROM p WHERE cls <> '(all)' AND ok / n::DOUBLE >= 0.5) WHERE place <= 40")
+def profile_pools(spark, sf_dir):
+    """The pools of a profile, in their order; no path of the view looks like a token."""
+    pools = _profile(spark, sf_dir)[0]["pools"]
+    return spark.createDataFrame([(c, x, i) for c, p in pools.items() for i, x in enumerate(p, 1)], "cls string, path string, place int")
+
+
+@query(_FINDINGS + f"""SELECT (SELECT cls FROM p WHERE cls <> '(all)' AND p95 > 0 ORDER BY p95 DESC, {_ORDER} LIMIT 1) AS brake_class, 5000::BIGINT AS max_p95_ms, 7000::BIGINT AS guillotine_ms, CAST(peak AS BIGINT) AS safe_peak_rps, n AS requests,
+(SELECT string_agg(host, ',' ORDER BY host) FROM (SELECT host FROM a GROUP BY host ORDER BY count(*) DESC, host LIMIT 20)) AS allow_hosts FROM pk, w""")
+def profile_limits(spark, sf_dir):
+    """Brake, ceiling and hosts of a profile."""
+    doc, _ = _profile(spark, sf_dir)
+    row = (doc["slo"]["brake_class"], doc["slo"]["max_p95_ms"], doc["slo"]["guillotine_ms"], doc["safety"]["safe_peak_rps"], doc["_measured"]["requests"], ",".join(doc["safety"]["allow_hosts"]))
+    return spark.createDataFrame([row], "brake_class string, max_p95_ms long, guillotine_ms long, safe_peak_rps long, requests long, allow_hosts string")
+
+
 @query("SELECT cls AS name, floor(count(*) / (SELECT count(*) FROM a)::DOUBLE * 100 * 10 + 0.5) / 10 AS weight FROM b GROUP BY cls")
 def profile_classes(spark, sf_dir):
-    doc, _ = P.build(_report(spark, sf_dir, pool_size=40, pool_min_ok=0.5), P.ProfileOptions("https://edge.example.test"))
+    doc, _ = _profile(spark, sf_dir)
     return spark.createDataFrame([(c["name"], float(c["weight"])) for c in doc["classes"]], "name string, weight double")
 
 
 @query(None)
 def profile_json(spark, sf_dir):
-    doc, said = P.build(_report(spark, sf_dir, pool_size=40, pool_min_ok=0.5), P.ProfileOptions("https://edge.example.test"))
+    doc, said = _profile(spark, sf_dir)
     return spark.createDataFrame([(to_json(doc), len(said))], "profile string, warnings int")

@@ -18,12 +18,13 @@ def held(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def finish(df: DataFrame, lines: DataFrame, outcome: Column, /, **fields: Column) -> DataFrame:
-    """The line columns, parse_status, and the event columns, null unless the line was parsed."""
+    """The line columns, parse_status, the event columns, null unless the line was parsed, and latency_source."""
     # One generated row a line: a filter on parse_status then stays above the parse and doesn't repeat it.
     event = F.struct(outcome.alias("s"), *[(fields[c] if c in fields else F.lit(None)).cast(t).alias(c) for c, t in EVENT_COLUMNS.items()])
     out = df.select(*lines.columns, F.explode(F.array(event)).alias("__e"))
     ok = F.col("__e.s") == "parsed"
-    return out.select(*lines.columns, F.col("__e.s").alias("parse_status"), *[F.when(ok, F.col(f"__e.{c}")).alias(c) for c in EVENT_COLUMNS])
+    out = out.select(*lines.columns, F.col("__e.s").alias("parse_status"), *[F.when(ok, F.col(f"__e.{c}")).alias(c) for c in EVENT_COLUMNS])
+    return out.withColumn("latency_source", latency_source())
 
 
 def latency_ns() -> Column:

@@ -3,11 +3,13 @@
 Every table has a column ``cls``: a class, or null for all requests together. Rows are first counted by class and
 key; totals are sums of those counts, so no event is counted twice over a shuffle. Order within the log (``ord``)
 decides ties. Percentiles take ranks from histograms, whose size follows distinct values and not requests.
+``cells`` counts for all tables of a report in one pass over the lines; nothing of a line's size is kept.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ HITS = ("HIT", "STALE", "UPDATING", "REVALIDATED", "REFRESHHIT", "ORIGINSHIELDHI
 #: The order of status classes in a report.
 STATUS_ORDER = ("2xx", "3xx", "4xx", "5xx", "1xx", "other")
 MS_LIMIT = 2**31 - 1
+#: Columns whose values a report counts.
+LABELS = ("status_class", "cache", "term_state", "host")
 
 
 def prepared(events: DataFrame, class_column: Column) -> DataFrame:
@@ -34,14 +38,78 @@ def with_total(df: DataFrame, keys: Sequence[str], **sums: Column) -> DataFrame:
     return df.select("cls", *keys, *sums).unionByName(total.select("cls", *keys, *sums))
 
 
-def summary(p: DataFrame) -> DataFrame:
-    """cls, requests, bytes, first_ts, last_ts, identified, measured (waits), lat_sum_ns, max_ms, judged, hits."""
-    own = p.groupBy("cls").agg(
+def _measures() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("requests"), F.sum("bytes").alias("bytes"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count_if(F.col("client_identity")).alias("identified"),
         F.count("ms").alias("measured"), F.sum("lat_ns").alias("lat_sum_ns"), F.max("ms").alias("max_ms"), F.count("cache").alias("judged"), F.count_if(F.col("cache").isin(*HITS)).alias("hits"),
-    )
+    ]
+
+
+def _summed() -> dict[str, Column]:
     s = F.sum
-    return with_total(own, [], requests=s("requests"), bytes=s("bytes"), first_ts=F.min("first_ts"), last_ts=F.max("last_ts"), identified=s("identified"), measured=s("measured"), lat_sum_ns=s("lat_sum_ns"), max_ms=F.max("max_ms"), judged=s("judged"), hits=s("hits")).where("requests > 0")
+    return dict(requests=s("requests"), bytes=s("bytes"), first_ts=F.min("first_ts"), last_ts=F.max("last_ts"), identified=s("identified"), measured=s("measured"), lat_sum_ns=s("lat_sum_ns"), max_ms=F.max("max_ms"), judged=s("judged"), hits=s("hits"))
+
+
+def _path_measures() -> list[Column]:
+    return [F.count_if(F.col("status").between(200, 299)).alias("ok"), F.count_if(F.col("status") >= 500).alias("fivexx"), F.min("ord").alias("first_ord")]
+
+
+def cells(p: DataFrame, keep: Column | None = None) -> DataFrame:
+    """kind, cls, num, label, and all sums: lines counted by each key a report has, in one scan and one shuffle.
+
+    Kinds are ``second`` (num), ``wait`` (num: ms), ``path`` and the LABELS (label), of rows that ``keep`` lets in; and
+    where p has parse_status, ``line`` (label), of all rows. A line gives a short row a key, which the map side sums up
+    at once. A row that is null in a key isn't counted by it.
+    """
+    keep = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
+    no_num, no_label = F.lit(None).cast("bigint"), F.lit(None).cast("string")
+
+    def cell(kind: str, when: Column, num: Column = no_num, label: Column = no_label, cls: Column | None = None) -> Column:
+        return F.when(when, F.struct(F.lit(kind).alias("kind"), (F.col("cls") if cls is None else cls).alias("cls"), num.alias("num"), label.alias("label")))
+
+    keys = [cell("second", keep, num=F.col("sec")), cell("wait", keep & F.col("ms").isNotNull(), num=F.col("ms")), cell("path", keep, label=F.col("path"))]
+    keys += [cell(c, keep & F.col(c).isNotNull(), label=F.col(c)) for c in LABELS]
+    if "parse_status" in p.columns:
+        keys.append(cell("line", F.lit(True), label=F.col("parse_status"), cls=no_label))
+    used = ("ts", "status", "bytes", "client_identity", "cache", "ms", "lat_ns", "ord")
+    each = p.select(*used, F.explode(F.array(*keys)).alias("__k")).where("__k is not null").select(*used, "__k.kind", "__k.cls", "__k.num", "__k.label")
+    return each.groupBy("kind", "cls", "num", "label").agg(*_measures(), *_path_measures(), F.max("ord").alias("last_ord"))
+
+
+@dataclass(frozen=True)
+class Tables:
+    """The tables of a report, from its cells; equal to those made of the events themselves."""
+
+    cells: DataFrame
+
+    def _of(self, kind: str) -> DataFrame:
+        return self.cells.where(F.col("kind") == kind)
+
+    def lines(self) -> DataFrame:
+        return self._of("line").select(F.col("label").alias("parse_status"), F.col("requests").alias("count"))
+
+    def summary(self) -> DataFrame:
+        own = self._of("second").groupBy("cls").agg(*[c.alias(n) for n, c in _summed().items()])
+        return with_total(own, [], **_summed()).where("requests > 0")
+
+    def per_second(self) -> DataFrame:
+        own = self._of("second").select("cls", F.col("num").alias("sec"), F.col("requests").alias("n"), "last_ord")
+        return with_total(own, ["sec"], n=F.sum("n"), last_ord=F.max("last_ord"))
+
+    def wait_histogram(self) -> DataFrame:
+        return with_total(self._of("wait").select("cls", F.col("num").alias("ms"), F.col("requests").alias("n")), ["ms"], n=F.sum("n"))
+
+    def label_counts(self, column: str) -> DataFrame:
+        return with_total(self._of(column).select("cls", "label", F.col("requests").alias("n")), ["label"], n=F.sum("n"))
+
+    def path_stats(self) -> DataFrame:
+        own = self._of("path").select("cls", F.col("label").alias("path"), F.col("requests").alias("n"), "ok", "fivexx", "first_ord")
+        return with_total(own, ["path"], n=F.sum("n"), ok=F.sum("ok"), fivexx=F.sum("fivexx"), first_ord=F.min("first_ord"))
+
+
+def summary(p: DataFrame) -> DataFrame:
+    """cls, requests, bytes, first_ts, last_ts, identified, measured (waits), lat_sum_ns, max_ms, judged, hits."""
+    return with_total(p.groupBy("cls").agg(*_measures()), [], **_summed()).where("requests > 0")
 
 
 def window_seconds(first: Column, last: Column) -> Column:
@@ -117,7 +185,7 @@ def top_labels(counts: DataFrame, k: int, label: str = "label") -> DataFrame:
 
 def path_stats(p: DataFrame) -> DataFrame:
     """cls, path, n, ok (2xx), fivexx (500 and above, no upper bound), first_ord."""
-    own = p.groupBy("cls", "path").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status").between(200, 299)).alias("ok"), F.count_if(F.col("status") >= 500).alias("fivexx"), F.min("ord").alias("first_ord"))
+    own = p.groupBy("cls", "path").agg(F.count(F.lit(1)).alias("n"), *_path_measures())
     return with_total(own, ["path"], n=F.sum("n"), ok=F.sum("ok"), fivexx=F.sum("fivexx"), first_ord=F.min("first_ord"))
 
 

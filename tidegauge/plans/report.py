@@ -67,8 +67,9 @@ class Run:
     options: Options = field(default_factory=Options)
 
 
-def scan_counts(parsed: DataFrame) -> Counts:
-    got = {r["parse_status"]: r["count"] for r in parsed.groupBy("parse_status").count().collect()}
+def scan_counts(by_status: DataFrame) -> Counts:
+    """From parse_status, count."""
+    got = {r["parse_status"]: r["count"] for r in by_status.collect()}
     return Counts(sum(got.values()), got.get("parsed", 0), got.get("skipped", 0), got.get("malformed", 0))
 
 
@@ -96,33 +97,46 @@ def _utc(t: datetime | None) -> datetime | None:
     return None if t is None else (t.replace(tzinfo=UTC) if t.tzinfo is None else t.astimezone(UTC))
 
 
-def build(events: DataFrame, dialect: str, source: str, counts: Counts, options: Options) -> dict:
-    """The report of events (with ``ord``). Only tables of a size set by the options come to the driver."""
+def cells_of(lines: DataFrame, options: Options) -> DataFrame:
+    """The cells (``metrics.cells``) of events or of parsed lines, both with ``ord``."""
+    keep = in_window(options)
+    if "parse_status" in lines.columns:
+        keep = (F.col("parse_status") == "parsed") & keep
+    return M.cells(M.prepared(lines, options.classes.column()), keep)
+
+
+def build(lines: DataFrame, dialect: str, source: str, counts: Counts | None, options: Options) -> dict:
+    """The report of events, or of parsed lines where ``counts`` is None; both have ``ord``.
+
+    Lines are read once and only counts of them are kept. Only tables of a size set by the options come to the driver.
+    """
     o = options.checked()
     cs, names = o.classes, o.classes.names()
-    p = M.prepared(events.where(in_window(o)), cs.column()).persist(StorageLevel.MEMORY_AND_DISK)
-    paths = M.path_stats(p).persist(StorageLevel.MEMORY_AND_DISK)  # a row a path and class, read several times
+    cells = cells_of(lines, o).persist(StorageLevel.MEMORY_AND_DISK)
+    t = M.Tables(cells)
+    paths = t.path_stats().persist(StorageLevel.MEMORY_AND_DISK)  # a row a path and class, read several times
     try:
-        rows = {r["cls"]: r for r in M.summary(p).withColumn("window", M.window_seconds(F.col("first_ts"), F.col("last_ts"))).withColumn("f", F.unix_micros("first_ts")).withColumn("l", F.unix_micros("last_ts")).collect()}
+        counts = scan_counts(t.lines()) if counts is None else counts
+        rows = {r["cls"]: r for r in t.summary().withColumn("window", M.window_seconds(F.col("first_ts"), F.col("last_ts"))).withColumn("f", F.unix_micros("first_ts")).withColumn("l", F.unix_micros("last_ts")).collect()}
         total = rows.get(None)
         n = total["requests"] if total else 0
         window = total["window"] if total else 0
-        seconds = M.per_second(p)
+        seconds = t.per_second()
         peaks = {r["cls"]: r for r in M.peaks(seconds).collect()}
         rates = {(r["cls"], r["q"]): float(r["value"]) for r in M.rate_percentiles(seconds.where("cls is null"), window, Q).collect()} if n else {}
-        hist = M.wait_histogram(p)
+        hist = t.wait_histogram()
         waits = {(r["cls"], r["q"]): float(r["value"]) for r in M.wait_percentiles(hist, Q).collect()}
         tails: dict = {}
         for r in M.tails(hist, o.tails_ms).orderBy("place").collect():
             tails.setdefault(r["cls"], []).append({"over_ms": float(r["over_ms"]), "count": r["n"], "share": r["share"]})
         statuses: dict = {}
-        for r in M.label_counts(p, "status_class").collect():
+        for r in t.label_counts("status_class").collect():
             statuses.setdefault(r["cls"], {})[r["label"]] = r["n"]
         verdicts: dict = {}
-        for r in M.top_labels(M.label_counts(p, "cache"), 8).orderBy("place").collect():
+        for r in M.top_labels(t.label_counts("cache"), 8).orderBy("place").collect():
             verdicts.setdefault(r["cls"], []).append((r["label"], r["n"]))
-        terms = M.top_labels(M.label_counts(p, "term_state").where("cls is null"), 5).orderBy("place").collect()
-        hosts = M.top_labels(M.label_counts(p, "host").where("cls is null"), 20).orderBy("place").collect()
+        terms = M.top_labels(t.label_counts("term_state").where("cls is null"), 5).orderBy("place").collect()
+        hosts = M.top_labels(t.label_counts("host").where("cls is null"), 20).orderBy("place").collect()
         kept = M.cap_paths(paths, o.max_paths, [None, *names])
         known = {r["cls"]: (r["count"], r["n"]) for r in kept.groupBy("cls").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("n")).collect()}
         distinct = paths.where("cls is null").count() if known.get(None, (0, 0))[0] == o.max_paths else known.get(None, (0, 0))[0]
@@ -141,7 +155,7 @@ def build(events: DataFrame, dialect: str, source: str, counts: Counts, options:
                 pools.setdefault(r["cls"], []).append(stat(r, rows[r["cls"]]["requests"]))
     finally:
         paths.unpersist()
-        p.unpersist()
+        cells.unpersist()
 
     def latency(cls) -> dict | None:
         r = rows.get(cls)
@@ -192,10 +206,5 @@ def analyze(spark: SparkSession, paths: list[str], dialect: str = "auto", option
     files = resolve(spark, paths)
     lines = read_files(spark, files)
     name = detect_file(spark, files[0], o.zone, o.xff_capture) if dialect == "auto" else dialect.lower()
-    parsed = parse(lines, name, o.zone, o.xff_capture).withColumn("ord", place()).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        counts = scan_counts(parsed)
-        events = parsed.where("parse_status = 'parsed'")
-        return Run(name, events, build(events, name, source_label(paths), counts, o), o)
-    finally:
-        parsed.unpersist()
+    parsed = parse(lines, name, o.zone, o.xff_capture).withColumn("ord", place())
+    return Run(name, parsed.where("parse_status = 'parsed'"), build(parsed, name, source_label(paths), None, o), o)

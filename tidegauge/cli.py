@@ -117,7 +117,7 @@ def main(argv: list[str] | None = None, spark=None, stdout=None, stderr=None) ->
         if spark is None:
             from pyspark.sql import SparkSession
 
-            spark = SparkSession.builder.appName("tidegauge").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+            spark = SparkSession.builder.appName("tidegauge").config("spark.python.sql.dataFrameDebugging.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
         run = analyze(spark, a.logs, a.dialect, opts)
         if a.dialect == "auto":
             say(f"reading {a.logs[0]} as {run.dialect}")

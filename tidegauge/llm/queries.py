@@ -83,7 +83,13 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_scores(_read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mix, op2_line_dedup, op3_quality_rules, op4_token_store, op5_jaccard_join, op6_chat_format, op7_fm_decontaminate, op8_ordinal_quality, op9_warc_derivatives, op10_lattice_lm)}
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.llm.token_align import alignment_report
+
+    return alignment_report(_read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mix, op2_line_dedup, op3_quality_rules, op4_token_store, op5_jaccard_join, op6_chat_format, op7_fm_decontaminate, op8_ordinal_quality, op9_warc_derivatives, op10_lattice_lm, op11_token_align)}
 
 #: Raking, multinomials by Spark's hash, tokenisation, fitted models and WARC bytes are beyond SQL; the tests hold
 #: those against plain versions.

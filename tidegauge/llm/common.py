@@ -14,7 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Entries a per-worker word cache holds before it starts over; bounds worker memory.
 WORD_CACHE = 600_000
@@ -55,6 +56,22 @@ def discard(*written: DataFrame) -> None:
             target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def join_spread(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, spread: Column, heavy: int = 2000, salts: int = 1024) -> DataFrame:
+    """``left`` with the columns of ``right`` (a row a key; ``weight``: how many left rows hold it) or nulls, by one pass over left.
+
+    A key that more than one in ``heavy`` of ``total`` left rows hold is heavy: there are fewer than ``heavy`` of those, so
+    they are broadcast, and their left rows are dealt over ``salts`` by ``spread`` instead of by key. No other key is large.
+    """
+    values = [c for c in right.columns if c != key]
+    most = max(1, total // heavy)
+    named = lambda df, mark: df.select(key, *[F.col(c).alias(f"__{mark}_{c}") for c in values])
+    found = left.join(F.broadcast(named(right.where(F.col(weight) > most), "h")), key, "left")
+    found = found.withColumn("__salt", F.when(F.col(f"__h_{weight}").isNotNull(), 1 + F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0).cast("long")))
+    light = named(right.where(F.col(weight) <= most), "l").withColumn("__salt", F.pmod(F.col(f"__l_{weight}").cast("long"), F.lit(1).cast("long")))  # 0, as a value of the row
+    both = found.join(light, [key, "__salt"], "left")
+    return both.select(*left.columns, *[F.coalesce(f"__h_{c}", f"__l_{c}").alias(c) for c in values])
+
+
 def hash_parts(spark: SparkSession, factor: int = 4) -> int:
     """Number of hash ranges that large groupings are dealt into; follows the session's shuffle parallelism."""
     return factor * int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -89,7 +89,13 @@ def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment_report(_read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mix, op2_line_dedup, op3_quality_rules, op4_token_store, op5_jaccard_join, op6_chat_format, op7_fm_decontaminate, op8_ordinal_quality, op9_warc_derivatives, op10_lattice_lm, op11_token_align)}
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.llm.exact_dedup import dedup_report
+
+    return dedup_report(_read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mix, op2_line_dedup, op3_quality_rules, op4_token_store, op5_jaccard_join, op6_chat_format, op7_fm_decontaminate, op8_ordinal_quality, op9_warc_derivatives, op10_lattice_lm, op11_token_align, op12_exact_dedup)}
 
 #: Raking, multinomials by Spark's hash, tokenisation, fitted models and WARC bytes are beyond SQL; the tests hold
 #: those against plain versions.
@@ -136,4 +142,7 @@ b AS (SELECT *, list_filter(pos, lambda x: NOT list_contains(pos, x - 1)) AS fir
 SELECT norm.id AS doc_id, len(w)::BIGINT AS n_words, coalesce(len(pos), 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, pos IS NOT NULL AS contaminated,
   coalesce(array_to_string(list_transform(list_zip(first, final), lambda z: (z[1] - 1) || '-' || z[2]), ','), '') AS spans
 FROM norm LEFT JOIN b ON norm.id = b.id""",
+    "op12_exact_dedup": """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, coalesce(doc_id = max(doc_id) OVER w, FALSE) AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
 }

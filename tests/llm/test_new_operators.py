@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidegauge.llm import exact_dedup, token_align
+from tidegauge.llm import conversation_repair, exact_dedup, token_align
 from tidegauge.llm.common import join_spread
 from tidegauge.llm.queries import tokenizer_file
 
@@ -160,3 +160,134 @@ def test_alignment_report(spark, libraries):
         most[a] = max(most[a], n)
     assert all(r["a_max"] == most[r["a_id"]] for r in pairs)
     assert token_align.alignment_report(docs.limit(0), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")).collect() == []
+
+
+WHITE = "\x20\x09-\x0d"
+
+
+def plain_damage(rows):
+    """(conv, turn, role, text) rows left of each conversation."""
+    out = {}
+    for conv, turn, role, text in rows:
+        mine = out.setdefault(conv, [])
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        if kind:
+            text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+            mine += [(turn, "user" if kind == 4 else role, text)] * (2 if kind == 3 else 1)
+    return {c: sorted(r, key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode(), x[2].encode())) for c, r in out.items()}
+
+
+def plain_faults(rows):
+    out, seen = [], set()
+    for _, role, text in rows:
+        core = re.sub(f"[{WHITE}]+$", "", text)
+        fault = "blank" if not re.search(f"[^{WHITE}]", text) else "duplicate" if (role, text) in seen else "truncated" if core[-1] not in ".!?" else ""
+        seen.add((role, text))
+        out.append(fault)
+    return out
+
+
+def plain_repair(rows, faults):
+    """(cost, audit, turns): a forward pass that keeps the best way to each prefix's last initials, whole ways side by side."""
+    allowed = {"": "su", "s": "u", "u": "a", "a": "u"}
+
+    def with_inserts(best):
+        for _ in range(4):
+            for last, (cost, audit, said) in list(best.items()):
+                for role in ("user", "assistant"):
+                    if role[0] in allowed[last]:
+                        new = (cost + 3, audit + "I", [*said, role + ":"])
+                        best[role[0]] = min(best.get(role[0], new), new)
+        return best
+
+    best = with_inserts({"": (0, "", [])})
+    for (_, role, text), fault in zip(rows, faults):
+        new = {}
+
+        def offer(last, way):
+            new[last] = min(new.get(last, way), way)
+
+        for last, (cost, audit, said) in best.items():
+            offer(last, (cost + 4, audit + "D", said))
+            if fault in ("blank", "duplicate"):
+                continue
+            more = 3 if fault == "truncated" else 0
+            if role and role[0] in allowed[last]:
+                offer(role[0], (cost + more, audit + "K", [*said, f"{role}:{text}"]))
+            for made in ("user", "assistant"):
+                if made[0] in allowed[last]:
+                    offer(made[0], (cost + more + 3, audit + "R", [*said, f"{made}:{text}"]))
+        best = with_inserts(new)
+    return min(best[x] for x in ("", "a") if x in best)
+
+
+def plain_report(conv, rows):
+    faults = plain_faults(rows)
+    turns = {t for t, _, _ in rows if t is not None}
+    cost, audit, said = plain_repair(rows, faults)
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    return (conv, max(turns) - min(turns) + 1 - len(turns) if turns else 0, *(faults.count(x) for x in ("blank", "duplicate", "truncated")), illegal, cost, audit, sha("\n".join(said)))
+
+
+def test_cheapest_edits_of_all_short_conversations():
+    """Against every way of editing, by plain enumeration."""
+    import itertools
+
+    lawful = re.compile("(s?(ua)+)?")
+    for n in range(4):
+        for codes in itertools.product("xsuaoUA", repeat=n):
+            best = None
+            for edits in itertools.product("DKRr", repeat=n):  # r: rerole to assistant
+                steps, cost = [], 0
+                for code, e in zip(codes, edits):
+                    if code == "x" and e != "D":
+                        break
+                    cost += {"D": 4, "K": 0, "R": 3, "r": 3}[e] + (3 if code.isupper() and e != "D" else 0)
+                    steps.append((e, {"D": "", "K": code.lower(), "R": "u", "r": "a"}[e]))
+                else:
+                    for gaps in itertools.product(("", "u", "a", "ua", "au"), repeat=n + 1):
+                        if cost + 3 * sum(map(len, gaps)) > 4 * n:
+                            continue
+                        if lawful.fullmatch(gaps[0] + "".join(x + g for (_, x), g in zip(steps, gaps[1:]))):
+                            audit = "I" * len(gaps[0]) + "".join(e.upper() + "I" * len(g) for (e, _), g in zip(steps, gaps[1:]))
+                            way = (cost + 3 * sum(map(len, gaps)), audit)
+                            best = way if best is None else min(best, way)
+            assert conversation_repair.solve("".join(codes)) == best, codes
+
+
+ROLES = ["user", "assistant", "system", "tool", "", None, "unknown", "\u00fcser"]
+SAID = ["Yes.", "No!", "cut off", " \t", "", None, "Really? ", "a\u3000", "end.\n", "q?\x1f", "Yes."]
+
+
+def odd_conversations(n=150, seed=4):
+    rnd = random.Random(seed)
+    rows = []
+    for c in range(n):
+        size = rnd.choice([1, 1, 2, 3, 5, 8, 13])
+        start = rnd.randint(-3, 2)
+        for t in range(start, start + size):
+            role = rnd.choice(ROLES) if rnd.random() < 0.3 else ("user", "assistant")[(t - start) % 2]
+            rows.append((c if c else None, None if rnd.random() < 0.1 else t + (rnd.random() < 0.1), role, rnd.choice(SAID)))
+    rows += [(9_000, t, "user" if t % 2 else "assistant", f"turn {t % 700}.") for t in range(3_000)]
+    rows += [(9_001, 0, "user", "long. " * 100_000), (9_001, 1, "assistant", "ok.")]
+    dropped = [i for i in range(10_000, 12_000) if zlib.crc32(f"{i}:0".encode()) % 20 == 0][:3]
+    rows += [(i, 0, "user", "gone.") for i in dropped]
+    rnd.shuffle(rows)
+    return rows
+
+
+def test_conversation_repair(spark):
+    rows = odd_conversations()
+    turns = spark.createDataFrame([(t, r, x, c, True, 3) for c, t, r, x in rows], "turn long, role string, text string, conv_id long, lost boolean, fault int").repartition(5)
+    got = conversation_repair.repair_report(conversation_repair.damage(turns), lost_col="lost").collect()
+    want = {c: plain_report(c, r) for c, r in plain_damage(rows).items()}
+    assert len(got) == len(want)
+    for r in got:
+        assert tuple(r) == want[r["conv_id"]]
+    assert sum(not r["audit"] for r in got) >= 3
+    # Without damage, by the operator itself: what it gives is lawful and keeps whole texts.
+    plain = conversation_repair.repair(turns.drop("lost")).collect()
+    assert all(re.fullmatch("(s?(ua)+)?", "".join(x[0] for x in r["roles"])) for r in plain)
+    assert next(r for r in plain if r["conv_id"] == 9_001)["texts"] == ["long. " * 100_000, "ok."]
+    assert conversation_repair.repair(turns.limit(0).drop("lost")).collect() == []

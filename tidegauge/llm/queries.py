@@ -95,7 +95,13 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_report(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mix, op2_line_dedup, op3_quality_rules, op4_token_store, op5_jaccard_join, op6_chat_format, op7_fm_decontaminate, op8_ordinal_quality, op9_warc_derivatives, op10_lattice_lm, op11_token_align, op12_exact_dedup)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidegauge.llm.conversation_repair import damage, repair_report
+
+    return repair_report(damage(_read(spark, sf_dir, "conversations")), lost_col="lost")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mix, op2_line_dedup, op3_quality_rules, op4_token_store, op5_jaccard_join, op6_chat_format, op7_fm_decontaminate, op8_ordinal_quality, op9_warc_derivatives, op10_lattice_lm, op11_token_align, op12_exact_dedup, op13_conversation_repair)}
 
 #: Raking, multinomials by Spark's hash, tokenisation, fitted models and WARC bytes are beyond SQL; the tests hold
 #: those against plain versions.

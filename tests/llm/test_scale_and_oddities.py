@@ -1,13 +1,17 @@
 """Split groups, keyed reads, hostile pages and bounded fits, against plain versions."""
 
+import base64
+import hashlib
 import html
 import random
 import time
+import uuid
 import zlib
 from html.parser import HTMLParser
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.test_search_and_dedup import brute_components, brute_hits, frame, tokenizer
 from tidegauge.llm import fm_index, jaccard_join, ordinal, source_mix, token_store, warc
@@ -144,7 +148,7 @@ def test_pages_match_the_standard_parser(spark, small):
         assert (got.title or "") == " ".join(p.title.split()) and got.links == p.links
 
 
-@pytest.mark.parametrize("opener", ["<a ", "<title>", "<script ", "<script>", "<!--", "<a href='", "<title", "</a", "<", "&"])
+@pytest.mark.parametrize("opener", ["<a ", "<title>", "<script ", "<script>", "<!--", "<a href='", "<title", "</a", "<", "&", "&#", "&#9", "&#x", "&#0"])
 def test_hostile_pages_take_linear_time(opener):
     page = opener * (1_000_000 // len(opener))
     began = time.process_time()
@@ -152,6 +156,27 @@ def test_hostile_pages_take_linear_time(opener):
     assert len(made) == 2 and time.process_time() - began < 3
 
 
+def test_pages_that_no_decoder_likes(spark):
+    """A reference of a million digits, zeros before a digit, invalid bytes, every opener: two records a page, by a plain rule."""
+    raw = [b"<title>&#" + b"9" * 1_000_000 + b"; t</title><a href='/&#" + b"1" * 5_000 + b"'>x&#" + b"0" * 5_000 + b"65;</a>", b"a\xff\xfe<b>\xc3</b>", b"<a href='http://[1/'>bad host</a>", *(o.encode() * 5_000 for o in ("<a ", "<title>", "<!--", "</a", "<", "&#9"))]
+    pages = spark.createDataFrame([(i, f"http://h.test/{i}", bytearray(x)) for i, x in enumerate(raw)], "page_id long, url string, html binary")
+    for rows in (pages, pages.withColumn("html", F.col("html").cast("string"))):
+        got = {(r.page_id, r.record_type): r for r in warc.derivatives(rows).collect()}
+        assert len(got) == 2 * len(raw)
+        for i, page in enumerate(raw):
+            body = page.decode("utf-8", "replace").encode()
+            block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body) + body
+            digest = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+            of = uuid.uuid5(warc.SPACE, f"response\n{i}\nhttp://h.test/{i}")
+            for kind in ("metadata", "conversion"):
+                r = got[i, kind]
+                assert r.refers_to == f"<urn:uuid:{of}>" and r.record_id == f"<urn:uuid:{uuid.uuid5(warc.SPACE, kind + chr(10) + r.refers_to)}>"
+            said = got[i, "conversion"].headers
+            assert said["WARC-Source-Payload-Digest"] == digest(body) and said["WARC-Source-Block-Digest"] == digest(block)
+        block = next(warc.parse(bytes(got[0, "metadata"].record)))["block"].decode()
+        assert "title: \ufffd t\r\n" in block and "outlink: http://h.test/\ufffd xA\r\n" in block
+
+
 def test_warc_files_as_a_source(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://h.test/{i}", f"<title>t{i}</title><a href=/x>go</a> text {i}") for i in range(6)] + [(9, None, None)], "page_id long, url string, html string")
     whole = warc.derivatives(pages, responses=True).orderBy("page_id").collect()

@@ -12,7 +12,9 @@ Record ids are version-5 UUIDs of the response's id, so a rerun names records al
 Records serialise to WARC/1.1 bytes, one gzip member each, and parse back.
 
 Null html is an empty body; a null url is the address "urn:unknown". A null page_id counts by its text "null".
-Repeated rows give repeated records. Other columns are ignored. Text is taken whole, whatever its length.
+Repeated rows give repeated records. Other columns are ignored. Text is taken whole, whatever its length. Bytes of a page
+that aren't UTF-8 are replacement signs, of which its digests are made; a numeric character reference beyond Unicode is
+one, too.
 """
 
 from __future__ import annotations
@@ -55,8 +57,17 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE, chr(10).join(parts))}>"
 
 
+#: A decimal reference's leading zeros, and without them one beyond Unicode's last code point.
+_ZEROS, _BEYOND = re.compile("&#0+(?=[0-9])"), re.compile("&#[0-9]{8,};?")
+
+
+def _decoded(text: str) -> str:
+    """Character references as signs; one beyond Unicode is a replacement sign, whatever its length."""
+    return entities.unescape(_BEYOND.sub("\ufffd", _ZEROS.sub("&#", text))) if "&" in text else text
+
+
 def _flat(text: str) -> str:
-    return " ".join(entities.unescape(text).split())
+    return " ".join(_decoded(text).split())
 
 
 def _value(name: str, attributes: str) -> str | None:
@@ -120,7 +131,7 @@ class Page:
         if name == "a":
             self._close()
             if not closing and (ref := _value("href", attributes)) is not None:
-                self._link = (entities.unescape(ref).strip(), [])
+                self._link = (_decoded(ref).strip(), [])
         elif closing:
             return
         elif name == "title" and self.title is None:
@@ -240,7 +251,8 @@ def _of_pages(batches: Iterator[pa.RecordBatch], responses: bool, compressed: bo
 
 def derivatives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", responses: bool = False, compressed: bool = True) -> DataFrame:
     """The derived records of each page (and its response, if asked for); concatenated ``record`` bytes are a WARC file."""
-    base = pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string"))
+    valid = lambda c: F.make_valid_utf8(F.col(c).cast("string"))
+    base = pages.select(F.col(id_col).cast("long"), valid(url_col), valid(html_col))
     return base.mapInArrow(partial(_of_pages, responses=responses, compressed=compressed), KIND)
 
 

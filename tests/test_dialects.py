@@ -30,7 +30,7 @@ HA = '198.51.100.9:5000 [02/Mar/2026:10:00:00.250] web~ app/s1 0/2/1/37/40 200 5
 
 
 def test_haproxy(spark):
-    sys = "Mar  2 10:00:00 lb haproxy[2411]: "
+    sys = "Mar  2 10:00:00 front-b haproxy[73190]: "
     rows = parsed(spark, "haproxy", HA, sys + HA, HA.replace("0/2/1/37/40", "0/-1/-1/-1/40"), HA.replace("----", "sD--").replace(" 200 ", " 504 "), '1.2.3.4:5 [02/Mar/2026:10:00:00.250] web web/<NOSRV> -1/-1/-1/-1/5 400 187 - - PR-- 3/3/0/0/0 0/0 "<BADREQ>"', "", None, "[ALERT] 061/100000 (1) : no server", HA.split(" web~")[0] + " web~ app/s1", HA.replace(" 200 512", " x 512"), HA.replace("02/Mar", "99/Mar"), HA.replace('"GET /a?b=1 HTTP/1.1"', '"a"b" c"'))
     assert [r.parse_status for r in rows] == ["parsed"] * 5 + ["skipped"] * 3 + ["malformed", "malformed", "skipped", "parsed"]
     r = rows[0]

@@ -84,7 +84,10 @@ def test_profile(report):
 
 def test_renderings(report):
     text, md = render.render(report, "text"), render.render(report, "markdown")
-    assert "peak 7 req/s at 2026-03-02 10:00:02" in text and "over  7000ms" in text and text.rstrip().endswith("ERROR")
+    lines = [" ".join(x.split()) for x in text.splitlines()]
+    assert "busiest second 7, 2026-03-02 10:00:02" in lines and any(x.startswith("longer than 7 s ") for x in lines)
+    assert [x for x in lines if x[:1] in "🟢🟡🔴⛔" and x[:1]] == [f"{m} {s}: {sum(f['status'] == s for f in report['findings'])}" for m, s in zip("🟢🟡🔴⛔", ("OK", "WARN", "BAD", "ERROR")) if any(f["status"] == s for f in report["findings"])]
+    assert sum(x.startswith(tuple(f"{f['check']}/{f['target']}: " for f in report["findings"])) for x in lines) == len(report["findings"])
     assert "| `static` | 7 |" in md and "<- this log" in md
     assert json.loads(render.render(report, "json"))["rate"]["peak_at"] == "2026-03-02T10:00:02Z"
     assert render.cell("a|b") == "a\\|b" and render.cut("abcdefgh", 6) == "abc…"

@@ -147,7 +147,11 @@ def test_directories_and_patterns_are_one_scan(spark, log, tmp_path):
     assert [p.rsplit("/", 1)[-1] for p in resolve(spark, [str(tmp_path)])] == ["odd.log", *names, "x%20y.gz"]
     some = read_lines(spark, [f"{tmp_path}/part*.log"])
     plan = some._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == plan.count("BatchScan access_log_lines") == 1 and "Join" not in plan
+    other = read_lines(spark, [f"{tmp_path}/part*.log"], schemes=())  # as for a store that Python doesn't open
+    plan = other._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan text") == 1 and "BroadcastHashJoin" in plan
+    assert sorted(map(tuple, other.select("file_idx", "value").collect())) == sorted(map(tuple, some.select("file_idx", "value").collect()))
     heads = some.where("value like 'first of %'").orderBy("file_idx").collect()
     assert [(r.file_idx, r.value) for r in heads] == [(i, f"first of {i}") for i in range(20)]
     per_line = raw.count(b"\n")

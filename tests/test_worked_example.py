@@ -65,7 +65,7 @@ def test_tables_of_the_one_pass_are_those_of_the_events(spark, example):
 def test_the_pass_scans_and_shuffles_once(spark, example):
     parsed = parse(read_lines(spark, [example]), "haproxy").withColumn("ord", place())
     plan = cells_of(parsed, Options().checked())._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("BatchScan") == 1 and plan.count("Exchange hashpartitioning") == 1
     assert "SortAggregate" not in plan and "HashAggregate" in plan and "InMemoryTableScan" not in plan
 
 

@@ -1,33 +1,39 @@
 """Lines of log files, in order.
 
-Plain files go through Spark's splittable text reader; gzip is told by its first two bytes, never by name. A file
-whose name suggests the other kind is read whole by one task. Each line carries its file's place in the argument
-list and an order within the file, so later steps can speak of "first" and "last".
+Files that Python can open where tasks run (by default those of a file system mounted everywhere) are read by the data
+source of ``reader``: gzip told by its first two bytes and inflated as a stream, the line cap checked while reading.
+Other stores go through Spark's splittable text reader, their gzip files too, whatever their name: a gzip file's bytes
+are read as if they were text, brought together in order and inflated as a stream. Each line carries its file's place in
+the argument list and an order within the file, so later steps can speak of "first" and "last".
 """
 
 from __future__ import annotations
 
-import gzip
+import json
 import os
 import re
-import shutil
 import sys
 import tempfile
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes a line may have; a longer one fails the run.
-LINE_CAP = 1 << 20
+from tidegauge.sources.reader import LINE_CAP, NAME, SCHEMA, SPLIT, LineSource, lines_of, whole_lines
+
 _GZIP = b"\x1f\x8b"
 #: Slashes after a URL's scheme, which are written as one or as three, and what stands for them in a comparison.
 _URL = (r"^([A-Za-z0-9+.-]+:)/+", "$1/")
-_CODECS = (".gz", ".gzip", ".bz2", ".deflate", ".zst", ".snappy", ".lz4")
-SCHEMA = "file_idx int, line_block long, line_no long, value string"
+#: Names that Spark's text reader unpacks; of these the data source knows gzip alone.
+_GZIP_NAMES = (".gz", ".gzip")
+_CODECS = (*_GZIP_NAMES, ".bz2", ".deflate", ".zst", ".snappy", ".lz4")
+#: Stores whose files Python opens in tasks.
+OPENED = ("file",)
 
 
 def first_bytes(spark: SparkSession, path: str, n: int = 2) -> bytes:
@@ -55,12 +61,21 @@ def head_lines(spark: SparkSession, path: str, n: int = LINE_CAP) -> list[str]:
     return [x.removesuffix("\r") for x in lines]
 
 
-def spool_stdin(folder: str | None = None) -> str:
-    """Standard input copied to a file; of use where driver and executors share the folder."""
-    fd, path = tempfile.mkstemp(prefix="stdin-", suffix=".log", dir=folder)
-    with os.fdopen(fd, "wb") as f:
-        shutil.copyfileobj(sys.stdin.buffer, f)
-    return path
+def spool_stdin(spark: SparkSession) -> str:
+    """Standard input copied, piece by piece, to a file under the folder that driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tidegauge-")
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/tidegauge/stdin-{uuid.uuid4().hex}.log")
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
+    try:
+        while piece := sys.stdin.buffer.read(1 << 22):
+            out.write(piece)
+    finally:
+        out.close()
+    return str(where.toString())
 
 
 def resolve(spark: SparkSession, paths: list[str]) -> list[str]:
@@ -71,7 +86,7 @@ def resolve(spark: SparkSession, paths: list[str]) -> list[str]:
     out: list[str] = []
     for p in paths:
         if p == "-":
-            out.append(spool_stdin())
+            out.append(spool_stdin(spark))
             continue
         where = spark._jvm.org.apache.hadoop.fs.Path(p)
         fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -87,16 +102,56 @@ def resolve(spark: SparkSession, paths: list[str]) -> list[str]:
     return out
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _inflated(batches: Iterator[pa.RecordBatch], cap: int) -> Iterator[pa.RecordBatch]:
+    """Lines of gzip files from their bytes as "lines" (path, piece), which come in order; a task holds a piece at a time."""
+    pieces = ((p, v) for b in batches for p, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+    now = next(pieces, None)
+    while now is not None:
+        path = now[0]
+
+        def raw() -> Iterator[bytes]:
+            nonlocal now
+            while now is not None and now[0] == path:
+                yield now[1] + b"\n"
+                now = next(pieces, None)
+
+        no = 0
+        for block in whole_lines(_members(raw(), path), iter(()), True, cap, path):
+            values = lines_of(block, cap, path)
+            n = len(values)
+            yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array(range(no, no + n), pa.int64()), values], names=["path", "line_no", "value"])
+            no += n
+
+
+def _members(raw: Iterator[bytes], name: str, piece: int = 1 << 20) -> Iterator[bytes]:
+    """The text of all members of a gzip stream."""
+    inflater = None
+    for data in raw:
+        while data:
+            if inflater is None:
+                data = data.lstrip(b"\0")
+                if not data or data == b"\n":  # the break added to the last piece
+                    break
+                inflater = zlib.decompressobj(31)
+            text = inflater.decompress(data, piece)
+            if text:
+                yield text
+            data = inflater.unused_data if inflater.eof else inflater.unconsumed_tail
+            if inflater.eof:
+                inflater = None
+    if inflater is not None:
+        raise EOFError(f"{name} ends within a gzip member")
+
+
+def _whole(batches: Iterator[pa.RecordBatch], cap: int) -> Iterator[pa.RecordBatch]:
+    """Lines of plain files whose names say that they are packed: whole files, 2 GB at most (Spark's bound)."""
     for batch in batches:
         for path, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            text = (gzip.decompress(raw) if raw[:2] == _GZIP else raw).decode("utf-8", "replace")
-            lines = text.split("\n")
-            if lines[-1] == "":
-                lines.pop()
-            for at in range(0, len(lines), 50_000):
-                part = lines[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(part), pa.string()), pa.array(range(at, at + len(part)), pa.int64()), pa.array(part, pa.string())], names=["path", "line_no", "value"])
+            no = 0
+            for block in whole_lines((raw[i : i + (1 << 20)] for i in range(0, len(raw), 1 << 20)), iter(()), True, cap, path):
+                values = lines_of(block, cap, path)
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(values)), pa.array(range(no, no + len(values)), pa.int64()), values], names=["path", "line_no", "value"])
+                no += len(values)
 
 
 def _url(spark: SparkSession, path: str) -> str:
@@ -106,42 +161,73 @@ def _url(spark: SparkSession, path: str) -> str:
     return re.sub(_URL[0], _URL[1].replace("$", "\\"), str(full.toUri().toString()))
 
 
-def read_files(spark: SparkSession, files: list[str], check_cap: bool = True) -> DataFrame:
-    """``read_lines`` of files already resolved: one scan for those Spark reads by itself, one for misnamed ones."""
-    if not files:
-        raise ValueError("no log to read")
-    urls = {p: _url(spark, p) for p in files}
+def opened_here(spark: SparkSession, path: str, schemes: Collection[str] = OPENED) -> bool:
+    """Whether tasks can open a file by Python, and it is plain or gzip as far as its name tells."""
+    given = re.match("([A-Za-z][A-Za-z0-9+.-]*):/", path)
+    scheme = (given or re.match("([A-Za-z][A-Za-z0-9+.-]*):/", str(spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///"))))[1]
+    return scheme in schemes and (not path.lower().endswith(_CODECS) or path.lower().endswith(_GZIP_NAMES))
+
+
+def _by_source(spark: SparkSession, files: list[str], split: int, cap: int) -> DataFrame:
+    spark.dataSource.register(LineSource)
+    return spark.read.format(NAME).option("files", json.dumps(files)).option("split", split).option("cap", cap).load()
+
+
+def _by_spark(spark: SparkSession, files: list[tuple[int, str]], cap: int) -> DataFrame:
+    """One scan for files that Spark unpacks by their names, one for gzip files by other names."""
+    urls = {p: _url(spark, p) for _, p in files}
     distinct = list({u: p for p, u in urls.items()}.values())  # a file may be named in several ways
     with ThreadPoolExecutor(16) as pool:
         squeezed = dict(zip(distinct, pool.map(lambda p: first_bytes(spark, p) == _GZIP, distinct)))
-    plain = [p for p in distinct if squeezed[p] == p.lower().endswith(_CODECS)]
-    odd = [p for p in distinct if p not in set(plain)]
-    scans = []
-    path = F.col("_metadata.file_path").alias("path")
-    if plain:
-        scans.append(spark.read.option("lineSep", "\n").text(plain).select(path, F.col("_metadata.file_block_start").alias("line_block"), F.monotonically_increasing_id().alias("line_no"), "value"))
-    if odd:
-        whole = spark.read.format("binaryFile").load(odd).select(path, "content").mapInArrow(_unpack, "path string, line_no long, value string")
+    named = lambda p: p.lower().endswith(_CODECS)
+    gz_named = lambda p: p.lower().endswith(_GZIP_NAMES)
+    told = [p for p in distinct if (squeezed[p] if gz_named(p) else named(p) or not squeezed[p])]
+    hidden, false = [p for p in distinct if squeezed[p] and not named(p)], [p for p in distinct if gz_named(p) and not squeezed[p]]
+    path, block = F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("line_block")
+    scans, text = [], spark.read.option("lineSep", "\n")
+    if told:
+        scans.append(text.text(told).select(path, block, F.monotonically_increasing_id().alias("line_no"), "value"))
+    if hidden:
+        pieces = text.text(hidden).select(path, block, F.monotonically_increasing_id().alias("line_no"), F.col("value").cast("binary").alias("value"))
+        ordered = pieces.repartition("path").sortWithinPartitions("path", "line_block", "line_no").select("path", "value")
+        scans.append(ordered.mapInArrow(partial(_inflated, cap=cap), "path string, line_no long, value string").select("path", F.lit(0).cast("long").alias("line_block"), "line_no", "value"))
+    if false:
+        whole = spark.read.format("binaryFile").load(false).select(path, "content").mapInArrow(partial(_whole, cap=cap), "path string, line_no long, value string")
         scans.append(whole.select("path", F.lit(0).cast("long").alias("line_block"), "line_no", "value"))
-    raw = scans[0] if len(scans) == 1 else scans[0].unionByName(scans[1])
-    if len(files) == 1:
-        raw = raw.withColumn("file_idx", F.lit(0))
-    else:  # a row a named file, so the broadcast has the size of the argument list
-        places = spark.createDataFrame([(urls[p], i) for i, p in enumerate(files)], "__url string, file_idx int")
-        raw = raw.join(F.broadcast(places), F.regexp_replace("path", *_URL) == F.col("__url"))
-    out = raw.select("file_idx", "line_block", "line_no", F.regexp_replace("value", "\r$", "").alias("value"))
-    if check_cap:  # fails the run in the task that meets such a line; no extra pass
-        too_long = F.octet_length("value") >= LINE_CAP
-        out = out.withColumn("value", F.when(too_long, F.raise_error(F.lit("a line reaches the cap of 1 MiB"))).otherwise(F.col("value")))
-    return out
-
-
-def read_lines(spark: SparkSession, paths: list[str], check_cap: bool = True) -> DataFrame:
+    raw = scans[0]
+    for one in scans[1:]:
+        raw = raw.unionByName(one)
+    # A row a named file, so the broadcast has the size of the argument list.
+    places = spark.createDataFrame([(urls[p], i) for i, p in files], "__url string, file_idx int")
+    out = raw.join(F.broadcast(places), F.regexp_replace("path", *_URL) == F.col("__url")).select("file_idx", "line_block", "line_no", "value")
+    too_long = F.octet_length("value") >= cap  # this reader has the whole line by then
+    return out.withColumn("value", F.when(too_long, F.raise_error(F.lit(f"a line reaches the cap of {cap} bytes"))).otherwise(F.col("value")))
+
+
+def read_files(spark: SparkSession, files: list[str], cap: int = LINE_CAP, split: int = SPLIT, schemes: Collection[str] = OPENED) -> DataFrame:
+    """``read_lines`` of files already resolved; ``split``: bytes of a range, ``schemes``: stores whose files Python opens in tasks."""
+    if not files:
+        raise ValueError("no log to read")
+    own = [opened_here(spark, p, schemes) for p in files]
+    others = [(i, p) for i, (p, here) in enumerate(zip(files, own)) if not here]
+    out = None
+    if any(own):
+        mine = [i for i, here in enumerate(own) if here]
+        out = _by_source(spark, [files[i] for i in mine], split, cap)
+        if others:
+            out = out.withColumn("file_idx", F.get(F.lit(mine).cast("array<int>"), "file_idx"))
+    if others:
+        rest = _by_spark(spark, others, cap)
+        out = rest if out is None else out.unionByName(rest)
+    return out.withColumn("value", F.regexp_replace("value", "\r$", ""))
+
+
+def read_lines(spark: SparkSession, paths: list[str], **kw) -> DataFrame:
     """file_idx, line_block, line_no, value of all files, in the order given; a path named twice counts twice.
 
     A path may be a directory or a pattern, too.
     """
-    return read_files(spark, resolve(spark, paths), check_cap)
+    return read_files(spark, resolve(spark, paths), **kw)
 
 
 def source_label(paths: list[str]) -> str:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegauge import dialects
@@ -17,11 +17,13 @@ from tidegauge.dialects.event import latency_ns
 from tidegauge.functions import text as T
 from tidegauge.operators import metrics as M
 from tidegauge.operators.classes import DEFAULT
-from tidegauge.operators.detect import sample, votes
+from tidegauge.operators.detect import head_votes, votes
 from tidegauge.plans import profile as P
 from tidegauge.plans.findings import FINDING_SCHEMA, SEVERITY
 from tidegauge.plans.report import Counts, Options, build, cells_of, in_window, place
 from tidegauge.plans.render import to_json
+from tidegauge.sources import read_lines, resolve
+from tidegauge.sources.lines import shared_folder
 
 BASE = 1_767_225_600  # the first logical second, 2026-01-01T00:00:00Z
 
@@ -116,6 +118,8 @@ CLOUDFRONT_HEADER = "#Fields: date time c-ip cs-method cs(host) cs-uri-stem sc-s
 
 
 def _with_header(lines: DataFrame, header: str = CLOUDFRONT_HEADER) -> DataFrame:
+    """Lines in blocks of 4,096 requests, as a file is read in blocks, with a header in front of the first."""
+    lines = lines.withColumn("line_block", F.floor(F.col("line_no") / 4096))
     head = lines.sparkSession.createDataFrame([(0, 0, -1, header)], "file_idx int, line_block long, line_no long, value string")
     return head.unionByName(lines)
 
@@ -196,10 +200,38 @@ def noise_counts(spark, sf_dir):
     return out
 
 
+def _written(lines: DataFrame, parts: int = 3) -> str:
+    """A folder of gzip files by names that don't say so, in order of ``line_no``."""
+    spark = lines.sparkSession
+    folder = shared_folder(spark, "logs")
+    lines.repartitionByRange(parts, "line_no").sortWithinPartitions("line_no").select("value").write.option("compression", "gzip").text(folder)
+    fs = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name in resolve(spark, [folder]):
+        fs.rename(spark._jvm.org.apache.hadoop.fs.Path(name), spark._jvm.org.apache.hadoop.fs.Path(name.removesuffix(".txt.gz") + ".log"))
+    return folder
+
+
+_RAW = "ord || ' ' || path || ' ' || status || chr(9) || host"
+
+
+@query(f"SELECT CAST(row_number() OVER (ORDER BY ord) - 1 AS BIGINT) AS at, {_RAW} AS value FROM a")
+def log_lines(spark, sf_dir):
+    """Lines of a log of several gzip files, written and read back in order: each file's range count, then its lines."""
+    e = access_events(spark, sf_dir)
+    raw = F.concat_ws("\t", F.concat_ws(" ", "ord", "path", "status"), "host")
+    folder = _written(e.select(F.lit(0).alias("file_idx"), F.col("ord").alias("line_no"), raw.alias("value")))
+    lines = read_lines(spark, [folder], split=50_000).withColumn("ord", place()).select("file_idx", "line_block", "ord", "value")
+    within = F.row_number().over(Window.partitionBy("file_idx", "line_block").orderBy("ord"))
+    before = Window.orderBy("file_idx", "line_block").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = lines.groupBy("file_idx", "line_block").count().select("file_idx", "line_block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    return lines.withColumn("n", within).join(F.broadcast(starts), ["file_idx", "line_block"]).select((F.col("start") + F.col("n") - 1).cast("bigint").alias("at"), "value")
+
+
 @query("SELECT d.dialect, (d.dialect = 'nginx')::BIGINT * least(200, count(*)) AS parsed FROM a, (VALUES ('haproxy'), ('nginx'), ('traefik'), ('cloudfront'), ('akamai')) d(dialect) GROUP BY d.dialect")
 def detect_sample(spark, sf_dir):
-    """The vote on the first lines alone, as a run takes it."""
-    return votes(sample(render(access_events(spark, sf_dir), "nginx")))
+    """The vote on the head of a written log alone, as a run takes it."""
+    folder = _written(render(access_events(spark, sf_dir), "nginx"))
+    return head_votes(spark, resolve(spark, [folder])[0])
 
 
 @query("SELECT ord, sec, status, path FROM a WHERE ord <> 5000")

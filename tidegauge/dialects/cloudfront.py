@@ -1,42 +1,120 @@
 """CloudFront standard log: tab-separated, columns named by the latest #Fields line of the same file.
 
-Header lines are few: they are gathered by file and joined to the lines of that file, and each line takes the last
-one before it. A file starts without a header, whatever came before it.
+Which header names a line's columns is a scan carried over the lines of a file, in two levels: within a block of lines,
+which one task reads in order, the last header goes from line to line; over the blocks of a file, each takes the last
+header of those before it, from a table of a row a block. A line carries the places of its columns and nothing else of
+the headers. A file starts without a header, whatever came before it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.dialects.event import finish, held
 from tidegauge.functions.text import after_mark, before_mark, empty_null, integer, seconds_rounded, trimmed
 
 LATENCY_FIELD = "time-to-first-byte (wait for the first byte), else time-taken"
-#: Files and header lines that are sent to all tasks; beyond them headers meet lines by a shuffle.
-FEW_FILES, FEW_HEADS = 10_000, 50_000
+#: Blocks whose carried headers are sent to all tasks; more of them meet their lines by a shuffle.
+FEW_BLOCKS = 50_000
+#: The column of a line's places: for each of NAMES its last column in the header, -1 where it isn't there; null without one.
+AT = "__at"
 NAMES = ("date", "time", "x-edge-location", "sc-bytes", "c-ip", "cs-method", "cs(host)", "cs-uri-stem", "sc-status", "cs-uri-query", "x-edge-result-type", "x-host-header", "time-taken", "time-to-first-byte", "x-forwarded-for")
 
+#: A header line, and white space as parsers see it.
+_MARK = "(?i)^[ \\t\\n\\x0b\\f\\r]*#fields:"
+_WHITE = re.compile("[ \t\n\x0b\f\r]+")
+
+
+def places(header: str) -> list[int] | None:
+    """The last column of each of NAMES in a #Fields line, None if it names nothing."""
+    names = [n for n in _WHITE.split(header.strip(" \t\n\x0b\f\r")[8:].lower()) if n]
+    last = {n: i for i, n in enumerate(names)}
+    return [last.get(n, -1) for n in NAMES] if names else None
+
+
+def _runs(batch: pa.RecordBatch) -> tuple[np.ndarray, dict[int, list[int]]]:
+    """First rows of a batch's runs of one file and block, and the places of its header rows."""
+    file, block = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+    begins = np.flatnonzero(np.r_[True, (file[1:] != file[:-1]) | (block[1:] != block[:-1])]) if batch.num_rows else np.array([], np.int64)
+    value = batch.column(3).view(pa.binary())
+    found = pc.fill_null(pc.match_substring_regex(value, _MARK), False).to_numpy(zero_copy_only=False)
+    heads = {int(i): places(value[int(i)].as_py().decode("utf-8", "replace")) for i in np.flatnonzero(found)}
+    return begins, {i: at for i, at in heads.items() if at}
+
+
+def _key(batch: pa.RecordBatch, row: int) -> tuple:
+    return batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+
+
+def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each line of blocks in order with the places of the last header before it in its block."""
+    now, at = None, None
+    for batch in batches:
+        n, (begins, heads) = batch.num_rows, _runs(batch)
+        if not n:
+            continue
+        # Where the places change: behind a header, and at a block's first line, which only goes on with what its own block had.
+        marks = {i + 1: found for i, found in heads.items() if i + 1 < n}
+        marks |= {int(i): None for i in begins}
+        marks[0] = at if _key(batch, 0) == now else None
+        steps = np.array(sorted(marks))
+        known = [marks[i] for i in steps.tolist()]
+        owner = np.searchsorted(steps, np.arange(n), side="right") - 1
+        now, at = _key(batch, n - 1), heads[n - 1] if n - 1 in heads else known[owner[-1]]
+        has = np.array([k is not None for k in known])[owner]
+        flat = np.array([k or [0] * len(NAMES) for k in known], np.int32)[owner[has]].ravel()
+        offsets = np.r_[0, np.cumsum(has)] * len(NAMES)
+        column = pa.ListArray.from_arrays(pa.array(offsets[:-1].tolist() + [int(offsets[-1])], pa.int32(), mask=np.r_[~has, False]), pa.array(flat, pa.int32()))
+        yield batch.append_column(AT, column)
+
+
+def _last_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """file_idx, line_block, at of each block of lines in order: its last header's places, null without one."""
+    last: dict[tuple, list[int] | None] = {}
+    for batch in batches:
+        begins, heads = _runs(batch)
+        for i in begins.tolist():
+            last.setdefault(_key(batch, i))
+        for i, at in heads.items():
+            last[_key(batch, i)] = at
+    files, blocks = zip(*last) if last else ((), ())
+    yield pa.RecordBatch.from_arrays([pa.array(files, pa.int32()), pa.array(blocks, pa.int64()), pa.array(list(last.values()), pa.list_(pa.int32()))], names=["file_idx", "line_block", "at"])
+
+
+def with_heads(lines: DataFrame, ordered: bool = False, one_block: bool = False) -> DataFrame:
+    """Lines with the column ``AT``.
 
-def headers(lines: DataFrame) -> DataFrame:
-    """file_idx, heads: for each file its #Fields lines in order, with each name's last column (-1: not there)."""
-    plain = trimmed(F.col("value"))
-    names = F.filter(F.split(F.lower(F.substring(plain, F.lit(9), F.length(plain))), r"\s+"), lambda x: x != "")
-    found = lines.where(F.lower(plain).startswith("#fields:")).select("file_idx", "line_block", "line_no", names.alias("n")).where("size(n) > 0")
-    place = [F.when(F.array_contains("n", c), F.size("n") - F.array_position(F.reverse("n"), F.lit(c))).otherwise(-1).cast("int") for c in NAMES]
-    return found.groupBy("file_idx").agg(F.sort_array(F.collect_list(F.struct("line_block", "line_no", F.array(*place).alias("at")))).alias("__heads"))
+    ``ordered``: the lines of a block lie in one partition and in order, as files are read; else they are brought there.
+    ``one_block``: each file is one block, so nothing is carried from one to the next, and the lines are read once.
+    """
+    if not ordered:
+        lines = lines.repartition("file_idx", "line_block").sortWithinPartitions("file_idx", "line_block", "line_no")
+    base = lines.select("file_idx", "line_block", "line_no", "value", *[c for c in lines.columns if c not in ("file_idx", "line_block", "line_no", "value")])
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
+    own = base.mapInArrow(_carried, f"{types}, {AT} array<int>")
+    if one_block:
+        return own
+    before = Window.partitionBy("file_idx").orderBy("line_block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = base.select("file_idx", "line_block", "line_no", "value").mapInArrow(_last_heads, "file_idx int, line_block long, at array<int>")
+    carry = carry.select("file_idx", "line_block", F.last("at", ignorenulls=True).over(before).alias("__carry")).where("__carry is not null")
+    few = carry.limit(FEW_BLOCKS + 1).collect()  # a row a block
+    if len(few) <= FEW_BLOCKS:
+        carry = F.broadcast(lines.sparkSession.createDataFrame(few, carry.schema))
+    return own.join(carry, ["file_idx", "line_block"], "left").withColumn(AT, F.coalesce(AT, "__carry")).drop("__carry")
 
 
 def parse(lines: DataFrame, tz: str = "UTC", xff_capture: int = 0) -> DataFrame:
-    heads = headers(lines)
-    few = heads.limit(FEW_FILES + 1).collect()  # a row a file
-    if len(few) <= FEW_FILES and sum(len(r["__heads"]) for r in few) <= FEW_HEADS:
-        heads = F.broadcast(lines.sparkSession.createDataFrame(few, heads.schema))
-    d = lines.join(heads, "file_idx", "left")
-    here = F.struct("line_block", "line_no")
-    before = F.filter("__heads", lambda h: F.struct(h["line_block"], h["line_no"]) < here)
-    d = held(d, __l=trimmed(F.coalesce("value", F.lit(""))), __last=F.element_at(F.concat(F.array(F.lit(None).cast(heads.schema["__heads"].dataType.elementType)), F.coalesce(before, F.array())), -1), __c=F.transform(F.split("value", "\t"), trimmed))
-    d = d.withColumn("__at", F.col("__last.at"))
+    """Of lines with or without ``AT``, which is dropped."""
+    d = lines if AT in lines.columns else with_heads(lines)
+    lines = d.drop(AT)
+    d = held(d, __l=trimmed(F.coalesce("value", F.lit(""))), __c=F.transform(F.split("value", "\t"), trimmed))
 
     def field(place: int) -> Column:
         i = F.get("__at", F.lit(place))

@@ -11,11 +11,11 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.dialects import CACHE_FIELD, LATENCY_FIELD, parse
+from tidegauge.dialects import CACHE_FIELD, LATENCY_FIELD, cloudfront, parse
 from tidegauge.operators import metrics as M
 from tidegauge.operators.classes import DEFAULT, ClassSet
 from tidegauge.operators.detect import detect_file
-from tidegauge.sources import read_files, resolve, source_label
+from tidegauge.sources import one_range, read_files, resolve, source_label
 
 TOOL = "tidegauge 0.1"
 Q = (0.5, 0.95, 0.99)
@@ -206,5 +206,7 @@ def analyze(spark: SparkSession, paths: list[str], dialect: str = "auto", option
     files = resolve(spark, paths)
     lines = read_files(spark, files)
     name = detect_file(spark, files[0], o.zone, o.xff_capture) if dialect == "auto" else dialect.lower()
+    if name == "cloudfront":
+        lines = cloudfront.with_heads(lines, ordered=True, one_block=one_range(spark, files))
     parsed = parse(lines, name, o.zone, o.xff_capture).withColumn("ord", place())
     return Run(name, parsed.where("parse_status = 'parsed'"), build(parsed, name, source_label(paths), None, o), o)

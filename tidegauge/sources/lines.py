@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.sources.reader import LINE_CAP, NAME, SCHEMA, SPLIT, LineSource, lines_of, whole_lines
+from tidegauge.sources.reader import LINE_CAP, NAME, SCHEMA, SPLIT, LineSource, lines_of, size_of, whole_lines
 
 _GZIP = b"\x1f\x8b"
 #: Slashes after a URL's scheme, which are written as one or as three, and what stands for them in a comparison.
@@ -61,14 +61,20 @@ def head_lines(spark: SparkSession, path: str, n: int = LINE_CAP) -> list[str]:
     return [x.removesuffix("\r") for x in lines]
 
 
-def spool_stdin(spark: SparkSession) -> str:
-    """Standard input copied, piece by piece, to a file under the folder that driver and executors share."""
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that driver and executors share; a local one of our own only in one JVM."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="tidegauge-")
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/tidegauge/stdin-{uuid.uuid4().hex}.log")
+        base = "file://" + tempfile.mkdtemp(prefix="tidegauge-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/tidegauge/{name}-{uuid.uuid4().hex}"
+
+
+def spool_stdin(spark: SparkSession) -> str:
+    """Standard input copied, piece by piece, to a file under the folder that driver and executors share."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark, "stdin") + ".log")
     out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
     try:
         while piece := sys.stdin.buffer.read(1 << 22):
@@ -222,6 +228,11 @@ def read_files(spark: SparkSession, files: list[str], cap: int = LINE_CAP, split
     return out.withColumn("value", F.regexp_replace("value", "\r$", ""))
 
 
+def one_range(spark: SparkSession, files: list[str], split: int = SPLIT) -> bool:
+    """Whether each file is read as one range, as far as can be told without reading."""
+    return all(opened_here(spark, p) and size_of(p) <= split for p in files)
+
+
 def read_lines(spark: SparkSession, paths: list[str], **kw) -> DataFrame:
     """file_idx, line_block, line_no, value of all files, in the order given; a path named twice counts twice.
 

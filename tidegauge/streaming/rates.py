@@ -11,14 +11,36 @@ from pyspark.sql import functions as F
 from tidegauge.dialects import parse
 from tidegauge.dialects.event import latency_ns
 from tidegauge.operators.classes import DEFAULT, ClassSet
+from tidegauge.sources.reader import NAME, LineSource
+from tidegauge.streaming.counts import observed
+from tidegauge.streaming.heads import with_heads_stream
+
+
+def tail_lines(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """file, line_block, line_no, value of the files of a folder, those that appear and those that grow."""
+    spark.dataSource.register(LineSource)
+    lines = spark.readStream.format(NAME).option("folder", folder.removeprefix("file://")).option("pattern", pattern).load()
+    return lines.withColumn("value", F.regexp_replace("value", "\r$", ""))
+
+
+def parsed_stream(spark: SparkSession, folder: str, dialect: str, tz: str = "UTC", xff_capture: int = 0, tail: bool = False, **options) -> DataFrame:
+    """All lines with their outcome, counted on their way (see ``counts``).
+
+    Spark's file source reads whole files as they appear. ``tail``, and CloudFront always, follows growing files instead,
+    in a folder that driver and tasks see; CloudFront's headers are kept by file.
+    """
+    if tail or dialect.lower() == "cloudfront":
+        lines = tail_lines(spark, folder, options.pop("pattern", "*"))
+        if dialect.lower() == "cloudfront":
+            lines = with_heads_stream(lines, **options)
+    else:
+        lines = spark.readStream.format("text").option("lineSep", "\n").options(**options).load(folder).select(F.lit(0).alias("file_idx"), F.lit(0).cast("long").alias("line_block"), F.lit(0).cast("long").alias("line_no"), F.regexp_replace("value", "\r$", "").alias("value"))
+    return observed(parse(lines, dialect, tz, xff_capture))
 
 
 def read_stream(spark: SparkSession, folder: str, dialect: str, tz: str = "UTC", xff_capture: int = 0, **options) -> DataFrame:
-    """Parsed events of the files that appear in a folder. CloudFront needs the file's headers and isn't streamed."""
-    if dialect == "cloudfront":
-        raise ValueError("columns of a CloudFront file are named inside it: read it as a batch")
-    lines = spark.readStream.format("text").option("lineSep", "\n").options(**options).load(folder).select(F.lit(0).alias("file_idx"), F.lit(0).cast("long").alias("line_block"), F.lit(0).cast("long").alias("line_no"), F.regexp_replace("value", "\r$", "").alias("value"))
-    return parse(lines, dialect, tz, xff_capture).where("parse_status = 'parsed'")
+    """The events of ``parsed_stream``."""
+    return parsed_stream(spark, folder, dialect, tz, xff_capture, **options).where("parse_status = 'parsed'")
 
 
 def per_second_stream(events: DataFrame, classes: ClassSet = DEFAULT, late: str = "1 minute") -> DataFrame:

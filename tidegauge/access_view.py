@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import timedelta
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,11 +20,13 @@ from tidegauge.operators import metrics as M
 from tidegauge.operators.classes import DEFAULT
 from tidegauge.operators.detect import head_votes, votes
 from tidegauge.plans import profile as P
+from tidegauge.plans import store as cell_store
 from tidegauge.plans.findings import FINDING_SCHEMA, SEVERITY
 from tidegauge.plans.report import Counts, Options, build, cells_of, in_window, place
 from tidegauge.plans.render import to_json
 from tidegauge.sources import read_lines, resolve
 from tidegauge.sources.lines import shared_folder
+from tidegauge.streaming import with_heads_stream
 
 BASE = 1_767_225_600  # the first logical second, 2026-01-01T00:00:00Z
 
@@ -237,14 +240,32 @@ def detect_sample(spark, sf_dir):
 @query("SELECT ord, sec, status, path FROM a WHERE ord <> 5000")
 def cloudfront_reheader(spark, sf_dir):
     """A second header midway reorders the columns: every line goes by the latest one before it."""
-    e = access_events(spark, sf_dir)
-    lines = render(e, "cloudfront")
-    turned = F.split("value", "\t")
-    lines = lines.withColumn("value", F.when(F.col("line_no") > 5000, F.concat_ws("\t", F.get(turned, F.lit(6)), F.get(turned, F.lit(5)), F.get(turned, F.lit(1)), F.get(turned, F.lit(0)))).when(F.col("line_no") == 5000, F.lit("#Fields: sc-status cs-uri-stem time date")).otherwise(F.col("value")))
+    lines = _reheadered(access_events(spark, sf_dir))
     got = dialects.parse(_with_header(lines), "cloudfront").where("parse_status = 'parsed'")
     return got.select(F.col("line_no").alias("ord"), F.unix_seconds("ts").alias("sec"), F.col("status").cast("int").alias("status"), "path")
 
 
+def _reheadered(e: DataFrame) -> DataFrame:
+    """CloudFront lines; from the request 5000 on, which is a header, columns come in another order."""
+    lines, turned = render(e, "cloudfront"), F.split("value", "\t")
+    return lines.withColumn("value", F.when(F.col("line_no") > 5000, F.concat_ws("\t", F.get(turned, F.lit(6)), F.get(turned, F.lit(5)), F.get(turned, F.lit(1)), F.get(turned, F.lit(0)))).when(F.col("line_no") == 5000, F.lit("#Fields: sc-status cs-uri-stem time date")).otherwise(F.col("value")))
+
+
+@query(ORACLE_SQL["cloudfront_reheader"].removeprefix(VIEW_SQL))
+def stream_cloudfront(spark, sf_dir):
+    """The same log dealt over four files, whose lines come in two triggers of a stream, started anew between them."""
+    lines = _reheadered(access_events(spark, sf_dir)).where("line_no <> 5000").withColumn("file", F.concat(F.lit("f"), (F.col("line_no") % 4).cast("string")))
+    heads = [(f"f{i}", 0, no, value) for i in range(4) for no, value in ((-1, CLOUDFRONT_HEADER), (5000, "#Fields: sc-status cs-uri-stem time date"))]
+    lines = lines.select("file", "line_block", "line_no", "value").unionByName(spark.createDataFrame(heads, "file string, line_block long, line_no long, value string"))
+    folder, out, mark = (shared_folder(spark, n) for n in ("arriving", "streamed", "mark"))
+    for part in ("line_no < 7000", "line_no >= 7000"):
+        lines.where(part).write.mode("append").parquet(folder)
+        read = spark.readStream.schema(lines.schema).parquet(folder)
+        parsed = dialects.parse(with_heads_stream(read), "cloudfront").where("parse_status = 'parsed'")
+        parsed.select("line_no", "ts", "status", "path").writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select(F.col("line_no").alias("ord"), F.unix_seconds("ts").alias("sec"), F.col("status").cast("int").alias("status"), "path")
+
+
 # Aggregates.
 
 
@@ -269,6 +290,19 @@ def report_cells(spark, sf_dir):
     return got.select("kind", "cls", "num", "label", *sums, *[F.col(c).cast("bigint").alias(c) for c in ("first_ord", "last_ord")])
 
 
+@query(ORACLE_SQL["report_cells"].removeprefix(VIEW_SQL))
+def stored_days(spark, sf_dir):
+    """The cells of three stored runs, one after the other in the log, added up."""
+    e, store = access_events(spark, sf_dir), shared_folder(spark, "cells")
+    last = e.agg(F.max("ord")).first()[0]
+    for i in range(3):
+        cell_store.put(e.where(F.floor(F.col("ord") * 3 / (last + 1)) == i), store, f"day-{i}", "nginx")
+    _, got = cell_store.cells(spark, store)
+    place = lambda c: (F.col(c) % F.lit(Decimal(1 << 108))).cast("bigint").alias(c)
+    sums = ("requests", "bytes", "identified", "measured", "lat_sum_ns", "judged", "ok", "fivexx")
+    return got.select("kind", "cls", "num", "label", *sums, place("first_ord"), place("last_ord"))
+
+
 @query("SELECT cls, count(*) AS requests, count(*) / (SELECT count(*) FROM a)::DOUBLE AS share, CAST(sum(bytes) AS BIGINT) AS bytes FROM b GROUP BY cls")
 def classify_mix(spark, sf_dir):
     s = M.summary(prepared(spark, sf_dir))

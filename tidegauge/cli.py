@@ -6,6 +6,7 @@ import argparse
 import os
 import re
 import sys
+from dataclasses import replace
 from datetime import datetime
 from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
@@ -13,7 +14,7 @@ from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 
 from tidegauge.operators.classes import load
-from tidegauge.plans import render
+from tidegauge.plans import render, store
 from tidegauge.plans.findings import at_least, worst
 from tidegauge.plans.profile import ProfileError, ProfileOptions
 from tidegauge.plans.profile import build as build_profile
@@ -61,6 +62,8 @@ def parser() -> argparse.ArgumentParser:
     common.add_argument("--read-timeout", type=duration_ms, default=7000)
     common.add_argument("--top", type=int, default=10)
     common.add_argument("--max-paths", type=int, default=200_000)
+    common.add_argument("--store", default="", help="folder of stored counts: the logs are counted into it as --run, and all its runs are reported on")
+    common.add_argument("--run", default="", help="name of the run to store, such as a day; one that is there already isn't read again")
     common.add_argument("--out", "-o", default="")
     for name in ("analyze", "check"):
         a = cmds.add_parser(name, parents=[common])
@@ -88,6 +91,20 @@ def log_name(path: str) -> str:
     return "" if path == "-" else os.path.basename(path).removesuffix(".gz").removesuffix(".log")
 
 
+def write_out(spark, path: str, text: str) -> None:
+    """To a file of the driver, or to any store that Spark writes where the path has a scheme."""
+    if not re.match("[A-Za-z][A-Za-z0-9+.-]+:/", path):
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(text)
+        return
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(text.encode())
+    finally:
+        out.close()
+
+
 def main(argv: list[str] | None = None, spark=None, stdout=None, stderr=None) -> int:
     """Exit code: 0 done, 1 a finding reached --exit-on, 2 the run couldn't be made."""
     stdout, stderr = stdout or sys.stdout, stderr or sys.stderr
@@ -109,25 +126,33 @@ def main(argv: list[str] | None = None, spark=None, stdout=None, stderr=None) ->
     if a.command in (None, "help"):
         top.print_help(stdout if a.command else stderr)
         return 0 if a.command else 2
-    if not a.logs:
+    if not a.logs and not a.store:
         say("name at least one log file, or - for standard input")
         return 2
+    if a.store and bool(a.logs) != bool(a.run):
+        say("a store takes logs under the name of a --run, and a name only with logs")
+        return 2
     try:
         opts = options_of(a)
         if spark is None:
             from pyspark.sql import SparkSession
 
             spark = SparkSession.builder.appName("tidegauge").config("spark.python.sql.dataFrameDebugging.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-        run = analyze(spark, a.logs, a.dialect, opts)
+        if a.store:
+            if a.logs and not store.append(spark, a.logs, a.store, a.run, a.dialect, opts):
+                say(f"{a.run} is stored already, its logs aren't read")
+            report = store.report(spark, a.store, replace(opts, since=None, until=None))
+        else:
+            report = analyze(spark, a.logs, a.dialect, opts).report
         if a.dialect == "auto":
-            say(f"reading {a.logs[0]} as {run.dialect}")
-        outside = run.report["counts"]["parsed"] - run.report["counts"]["in_window"]
+            say(f"reading {report['source'] if a.store else a.logs[0]} as {report['dialect']}")
+        outside = report["counts"]["parsed"] - report["counts"]["in_window"]
         if outside:
             say(f"{outside} requests fell outside the window")
         if a.command == "profile":
-            po = ProfileOptions(a.base_url, a.name or log_name(a.logs[0]), a.description, a.target, a.host_header, a.bypass, a.read_timeout, a.max_p95, a.max_failed, a.safe_peak, [h.strip() for h in a.allow_hosts.split(",") if h.strip()])
+            po = ProfileOptions(a.base_url, a.name or log_name(a.logs[0] if a.logs else a.store), a.description, a.target, a.host_header, a.bypass, a.read_timeout, a.max_p95, a.max_failed, a.safe_peak, [h.strip() for h in a.allow_hosts.split(",") if h.strip()])
             try:
-                doc, said = build_profile(run.report, po)
+                doc, said = build_profile(report, po)
             except ProfileError as e:
                 for w in e.warnings:
                     say(f"warning: {w}")
@@ -136,16 +161,15 @@ def main(argv: list[str] | None = None, spark=None, stdout=None, stderr=None) ->
                 say(f"warning: {w}")
             result = render.to_json(doc)
         else:
-            result = render.render(run.report, a.format, not a.out and render.colours(stdout))
+            result = render.render(report, a.format, not a.out and render.colours(stdout))
         if a.out:
-            with open(a.out, "w", encoding="utf-8") as f:
-                f.write(result)
+            write_out(spark, a.out, result)
         else:
             stdout.write(result)
     except (ValueError, OSError, ZoneInfoNotFoundError, PySparkException, Py4JError) as e:  # a run that can't be made ends with a message
         say(str(e).split("\n")[0])
         return 2
-    if getattr(a, "exit_on", None) and at_least(worst(run.report["findings"]), a.exit_on.upper()):
+    if getattr(a, "exit_on", None) and at_least(worst(report["findings"]), a.exit_on.upper()):
         return 1
     return 0
 

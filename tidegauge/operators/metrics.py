@@ -76,6 +76,12 @@ def cells(p: DataFrame, keep: Column | None = None) -> DataFrame:
     return each.groupBy("kind", "cls", "num", "label").agg(*_measures(), *_path_measures(), F.max("ord").alias("last_ord"))
 
 
+def merged(cells: DataFrame) -> DataFrame:
+    """Cells of several parts of a log (days, machines) added up; ``first_ord`` and ``last_ord`` have to compare over the parts."""
+    sums = {**_summed(), "ok": F.sum("ok"), "fivexx": F.sum("fivexx"), "first_ord": F.min("first_ord"), "last_ord": F.max("last_ord")}
+    return cells.groupBy("kind", "cls", "num", "label").agg(*[c.alias(n) for n, c in sums.items()])
+
+
 @dataclass(frozen=True)
 class Tables:
     """The tables of a report, from its cells; equal to those made of the events themselves."""

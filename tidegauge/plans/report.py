@@ -83,10 +83,13 @@ def in_window(o: Options):
 
 
 def place() -> Column:
-    """A line's place over all files as one number, which hash aggregates can compare in place (a struct they'd sort)."""
+    """A line's place over all files as one number, which hash aggregates can compare in place (a struct they'd sort).
+
+    It has 108 bits: 31 for the file, 44 for the block's offset, 33 for the line; ``store`` puts a run's number before them.
+    """
     wide = lambda c: F.col(c).cast("decimal(19,0)")
     row = F.col("line_no").bitwiseAND(F.lit((1 << 33) - 1)).cast("decimal(10,0)")  # within a task; blocks are told apart before it
-    return (wide("file_idx") * F.lit(Decimal(1 << 84)) + wide("line_block") * F.lit(Decimal(1 << 33)) + row).cast("decimal(38,0)")
+    return (wide("file_idx") * F.lit(Decimal(1 << 77)) + wide("line_block") * F.lit(Decimal(1 << 33)) + row).cast("decimal(38,0)")
 
 
 def _share(n: int, total: int) -> float:
@@ -111,8 +114,14 @@ def build(lines: DataFrame, dialect: str, source: str, counts: Counts | None, op
     Lines are read once and only counts of them are kept. Only tables of a size set by the options come to the driver.
     """
     o = options.checked()
+    return of_cells(cells_of(lines, o), dialect, source, counts, o)
+
+
+def of_cells(cells: DataFrame, dialect: str, source: str, counts: Counts | None, options: Options) -> dict:
+    """The report of cells, however they came together."""
+    o = options.checked()
     cs, names = o.classes, o.classes.names()
-    cells = cells_of(lines, o).persist(StorageLevel.MEMORY_AND_DISK)
+    cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
     t = M.Tables(cells)
     paths = t.path_stats().persist(StorageLevel.MEMORY_AND_DISK)  # a row a path and class, read several times
     try:
@@ -200,13 +209,18 @@ def build(lines: DataFrame, dialect: str, source: str, counts: Counts | None, op
     return report
 
 
-def analyze(spark: SparkSession, paths: list[str], dialect: str = "auto", options: Options | None = None) -> Run:
-    """Read logs, tell their dialect from the first, and report on them as one window."""
-    o = (options or Options()).checked()
+def parsed_lines(spark: SparkSession, paths: list[str], dialect: str, o: Options) -> tuple[str, DataFrame]:
+    """The dialect of logs, told from the first if it is to be, and their parsed lines with ``ord``."""
     files = resolve(spark, paths)
     lines = read_files(spark, files)
     name = detect_file(spark, files[0], o.zone, o.xff_capture) if dialect == "auto" else dialect.lower()
     if name == "cloudfront":
         lines = cloudfront.with_heads(lines, ordered=True, one_block=one_range(spark, files))
-    parsed = parse(lines, name, o.zone, o.xff_capture).withColumn("ord", place())
+    return name, parse(lines, name, o.zone, o.xff_capture).withColumn("ord", place())
+
+
+def analyze(spark: SparkSession, paths: list[str], dialect: str = "auto", options: Options | None = None) -> Run:
+    """Read logs and report on them as one window."""
+    o = (options or Options()).checked()
+    name, parsed = parsed_lines(spark, paths, dialect, o)
     return Run(name, parsed.where("parse_status = 'parsed'"), build(parsed, name, source_label(paths), None, o), o)

@@ -261,7 +261,7 @@ def stream_cloudfront(spark, sf_dir):
     for part in ("line_no < 7000", "line_no >= 7000"):
         lines.where(part).write.mode("append").parquet(folder)
         read = spark.readStream.schema(lines.schema).parquet(folder)
-        parsed = dialects.parse(with_heads_stream(read), "cloudfront").where("parse_status = 'parsed'")
+        parsed = dialects.parse(with_heads_stream(read, ttl_ms=None), "cloudfront").where("parse_status = 'parsed'")
         parsed.select("line_no", "ts", "status", "path").writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).select(F.col("line_no").alias("ord"), F.unix_seconds("ts").alias("sec"), F.col("status").cast("int").alias("status"), "path")
 

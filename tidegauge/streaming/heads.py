@@ -24,7 +24,7 @@ SCHEMA = f"file string, line_block long, line_no long, value string, {AT} array<
 class HeaderCarry(StatefulProcessor):
     """Lines of one file, whose order within a trigger is their block and number, with the places of the header before them."""
 
-    def __init__(self, ttl_ms: int):
+    def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle) -> None:
@@ -51,9 +51,13 @@ class HeaderCarry(StatefulProcessor):
         pass
 
 
-def with_heads_stream(lines: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
-    """A stream of lines (file, line_block, line_no, value) with the column of places that the CloudFront parser reads."""
+def with_heads_stream(lines: DataFrame, ttl_ms: int | None = TTL_MS) -> DataFrame:
+    """A stream of lines (file, line_block, line_no, value) with the column of places that the CloudFront parser reads.
+
+    With a time to live Spark runs triggers without data, too, so over a source that tells its end by empty triggers
+    (its file source under ``availableNow``) such a query doesn't end; ``ttl_ms`` None keeps headers for good, and it ends.
+    """
     conf = lines.sparkSession.conf
     if not conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("RocksDBStateStoreProvider"):
         conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    return lines.select("file", "line_block", "line_no", "value").groupBy("file").transformWithStateInPandas(HeaderCarry(ttl_ms), SCHEMA, "Append", "ProcessingTime")
+    return lines.select("file", "line_block", "line_no", "value").groupBy("file").transformWithStateInPandas(HeaderCarry(ttl_ms), SCHEMA, "Append", "None" if ttl_ms is None else "ProcessingTime")

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidegauge.llm import chat_format, line_dedup, ordinal, quality_rules, source_mix, warc
 from tidegauge.llm.fm_index import words_of
@@ -292,3 +293,56 @@ def test_pipeline_stages(spark, small):
         before = rows
     got = corpus_pipeline.STAGES[-1][1](spark, docs, small).collect()
     assert {r.doc_id for r in got} == set(before)
+
+
+def test_mix_is_alike_however_rows_are_dealt(spark, small):
+    """The same rows in any number and order of partitions: equal topics, probabilities and draws, and plain probabilities."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    found = []
+    for parts in (1, 7, 64):
+        dealt = docs.repartition(parts, F.xxhash64(F.lit(parts), "doc_id"))
+        found.append(sorted(map(tuple, source_mix.mixed_report(dealt).collect())))
+    assert found[0] == found[1] == found[2]
+    # Each probability again, from the cells' tokens, by plain sums over dictionaries.
+    rows = source_mix.mixed_report(docs).collect()
+    cells = Counter()
+    for r in rows:
+        cells[r.source, r.lang, r.topic] += r.n_tokens
+    cells = {k: v for k, v in cells.items() if v}
+    total = sum(cells.values())
+    budget = source_mix.FRACTION * total
+    blend = {r.blend for r in rows}
+    assert len(blend) == 1
+    blend = blend.pop()
+    targets = []
+    for d in range(3):
+        share = Counter()
+        for k, v in cells.items():
+            share[k[d]] += v / total
+        given = {k: v for k, v in source_mix.LANGUAGES.items() if k in share} if d == 1 else None
+        power = {0: source_mix.FLATTEN, 2: source_mix.TOPIC_FLATTEN}.get(d)
+        rest = sum(v for k, v in share.items() if given is not None and k not in given)
+        goal = {k: v**power if power else (given[k] / sum(given.values()) * (1 - rest) if k in given else v) for k, v in share.items()}
+        goal = {k: (1 - blend) * v / sum(goal.values()) + blend * share[k] for k, v in goal.items()}
+        full = set()
+        while over := {k for k in goal if k not in full and goal[k] > share[k] * total / budget}:
+            full |= over
+            left = sum(v for k, v in goal.items() if k not in full)
+            held = sum(share[k] * total / budget for k in full)
+            goal = {k: share[k] * total / budget if k in full else v * (1 - held) / left for k, v in goal.items()}
+        targets.append(goal)
+    w = {k: v / total for k, v in cells.items()}
+    cap = {k: v / budget for k, v in cells.items()}
+    for _ in range(source_mix.ROUNDS):
+        off = 0
+        for d, goal in enumerate(targets):
+            now = Counter()
+            for k, v in w.items():
+                now[k[d]] += min(v, cap[k])
+            off = max(off, *(abs(now[c] - goal[c]) for c in goal))
+            w = {k: v * goal[k[d]] / now[k[d]] for k, v in w.items()}
+        if off < source_mix.TOLERANCE:
+            break
+    for r in rows:
+        k = (r.source, r.lang, r.topic)
+        assert math.isclose(r.probability, min(1.0, min(w[k], cap[k]) * budget / cells[k]) if k in cells else 0.0, rel_tol=1e-9, abs_tol=1e-12)

@@ -7,12 +7,13 @@ a cell's probability (at most 1), and a document is drawn when a hash of its id
 before anything moves. Up to ``max_cells`` cells are fitted on the driver and broadcast; more are fitted by DataFrame
 steps and joined by a shuffle, with the same result.
 
-Topics, unless a topic column is given, are clusters (k-means over all documents) of the writing's make-up: shares of
-letters, digits, punctuation, symbols and line breaks, word and line lengths, size. They cut across languages.
+Topics, unless a topic column is given, are clusters (k-means over all documents, started by hashes of rows and summed in
+whole numbers, so alike for any dealing of the same rows) of the writing's make-up: shares of letters, digits,
+punctuation, symbols and line breaks, word and line lengths, size. They cut across languages, and look at no word.
 
 Targets: sources and topics by their share of the tokens to a power, which lifts the small ones; languages as given.
 Targets for categories without tokens are left out and the others scaled; categories without a target keep their
-share. A category can't get more than it holds. Where no weights meet all margins at once, all targets move towards the
+share. A category can't get more than it holds: its target is cut to that, and the others scaled. Where no weights meet all margins at once, all targets move towards the
 present shares by the least quarter with which they can be met (``Plan.blend``); with the present shares they always can.
 
 A null source, language or topic is the category "unknown". Null or empty text has no tokens: it has no weight of its
@@ -41,6 +42,8 @@ ROUNDS, TOLERANCE = 2000, 1e-9
 FRACTION, FLATTEN, TOPIC_FLATTEN = 0.6, 0.7, 0.9
 LANGUAGES = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}
 TOPICS, TOPIC_ROUNDS, TOPIC_SEED = 8, 10, 5
+#: Rows that centres may start from (all rows move them afterwards), and what a feature of 1 is as a whole number.
+STARTS, SCALE = 512, 1 << 20
 BLENDS = (0.0, 0.25, 0.5, 0.75, 1.0)
 DIMS = ("source", "lang", "topic")
 #: Bytes of text looked at together.
@@ -74,27 +77,65 @@ def make_up(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return words, np.concatenate([np.sqrt(kinds[:, 1:] / some), more], 1)
 
 
+def whole_numbers(x: np.ndarray) -> np.ndarray:
+    """Features as whole numbers, whose sums don't depend on their order."""
+    return np.rint(x * SCALE).astype(np.int64)
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """source, lang, topic, n, x of (source, lang, topic, text)."""
     for batch in (part for b in batches for part in text_slices(b, 3, SLICE_BYTES)):
         n, x = make_up(batch.column(3))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(list(x), pa.list_(pa.float64()))], names=[*DIMS, "n", "x"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(list(whole_numbers(x)), pa.list_(pa.int64()))], names=[*DIMS, "n", "x"])
+
+
+def first_centres(rows: np.ndarray, topics: int) -> np.ndarray:
+    """Centres to start from: the first row, then always the row farthest from all chosen, the first of equal ones."""
+    chosen = [0]
+    far = ((rows - rows[0]) ** 2).sum(1)
+    while len(chosen) < topics and far.max() > 0:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, ((rows - rows[chosen[-1]]) ** 2).sum(1))
+    return rows[chosen].astype(float)
+
+
+def _sums(batches: Iterator[pa.RecordBatch], centres: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """topic, n, x: how many rows of a task are nearest to each centre, and their features' sums."""
+    n, sums = np.zeros(len(centres), np.int64), np.zeros((len(centres), FEATURES), np.int64)
+    for batch in batches:
+        x = batch.column(0).flatten().to_numpy().reshape(-1, FEATURES)
+        at = topic_of(x, centres)
+        n += np.bincount(at, minlength=len(n))
+        for i in range(FEATURES):
+            np.add.at(sums[:, i], at, x[:, i])
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n), pa.array(list(sums), pa.list_(pa.int64()))], names=["topic", "n", "x"])
 
 
 def fit_topics(features: DataFrame, topics: int = TOPICS, rounds: int = TOPIC_ROUNDS, seed: int = TOPIC_SEED) -> np.ndarray:
-    """Centres of the topics over all rows with words, in a fixed order."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+    """Centres of the topics over all rows with words, in a fixed order: Lloyd's rounds from ``STARTS`` rows at most.
 
-    rows = features.where("n > 0").select(array_to_vector("x").alias("features"))
-    if rows.isEmpty():
+    Rows start by the hash of their features and sums are of whole numbers, so equal rows give equal centres however they
+    are dealt over files and tasks. A round gives the driver a row a topic.
+    """
+    rows = features.where("n > 0").select("x")
+    some = rows.select("x", F.xxhash64(F.lit(seed), "x").alias("h")).groupBy("h", "x").agg(F.count(F.lit(1))).orderBy("h", "x").limit(STARTS).collect()
+    if not some:
         return np.zeros((1, FEATURES))
-    centres = KMeans(k=topics, maxIter=rounds, seed=seed).fit(rows).clusterCenters()
-    return np.array(sorted(np.round(c, 9).tolist() for c in centres))
+    centres = first_centres(np.array([r["x"] for r in some], np.int64), topics)
+    for _ in range(rounds):
+        parts = rows.mapInArrow(partial(_sums, centres=centres), "topic int, n long, x array<long>")
+        total = parts.groupBy("topic").agg(F.sum("n").alias("n"), *[F.sum(F.col("x")[i]).alias(f"x{i}") for i in range(FEATURES)]).collect()
+        last, centres = centres, centres.copy()
+        for r in total:
+            if r["n"]:
+                centres[r["topic"]] = [r[f"x{i}"] / r["n"] for i in range(FEATURES)]
+        if (last == centres).all():
+            break
+    return np.array(sorted(centres.tolist()))
 
 
 def topic_of(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """The nearest centre of each row, the first of equal ones."""
+    """The nearest centre of each row of whole numbers, the first of equal ones."""
     return ((x[:, None, :] - centres[None, :, :]) ** 2).sum(2).argmin(1)
 
 
@@ -110,7 +151,7 @@ def _annotate(batches: Iterator[pa.RecordBatch], text_at: int, centres: np.ndarr
     """Each row with its number of words and its topic."""
     for batch in (part for b in batches for part in text_slices(b, text_at, SLICE_BYTES)):
         n, x = make_up(batch.column(text_at))
-        names = pa.nulls(len(n), pa.string()) if centres is None else pa.array([f"topic-{t}" for t in topic_of(x, centres).tolist()])
+        names = pa.nulls(len(n), pa.string()) if centres is None else pa.array([f"topic-{t}" for t in topic_of(whole_numbers(x), centres).tolist()])
         out = batch.append_column("__n", pa.array(n, pa.int64())).append_column("__topic", names)
         yield out if keep_text else out.remove_column(text_at)
 
@@ -258,14 +299,14 @@ def _goal_tables(cells: DataFrame, total: float, wanted: tuple, powers: tuple) -
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, languages: Mapping[str, float] | None = LANGUAGES, topics: Mapping[str, float] | None = None, flatten: float = FLATTEN, topic_flatten: float | None = TOPIC_FLATTEN, fraction: float = FRACTION, seed: int = 17, max_cells: int = MAX_CELLS, rounds: int = ROUNDS, keep_text: bool = True) -> DataFrame:
-    """``docs`` with a struct column ``__mix``: source, lang, topic, n_tokens, probability, sampled.
+    """``docs`` with a struct column ``__mix``: source, lang, topic, n_tokens, probability, sampled, blend (of ``Plan``; 1: the shares as they are).
 
     ``topics``: target shares by topic, in place of ``topic_flatten``. Without ``keep_text`` the text column goes.
     """
     key = lambda c: F.coalesce(c.cast("string"), F.lit("unknown"))
     text = F.col(text_col).cast("binary")
     named = [key(F.col(source_col)).alias("source"), key(F.col(lang_col)).alias("lang"), (key(F.col(topic_col)) if topic_col else F.lit(None).cast("string")).alias("topic")]
-    features = materialize(docs.select(*named, text.alias("text")).mapInArrow(_features, "source string, lang string, topic string, n long, x array<double>"), "make-up")
+    features = materialize(docs.select(*named, text.alias("text")).mapInArrow(_features, "source string, lang string, topic string, n long, x array<long>"), "make-up")
     centres = None if topic_col else fit_topics(features)
     counted = features.select(*DIMS, "n") if topic_col else features.mapInArrow(partial(_assign, centres=centres), "source string, lang string, topic string, n long")
     cells = materialize(counted.groupBy(*DIMS).agg(F.sum("n").alias("tokens")).where("tokens > 0"), "cells")
@@ -274,7 +315,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     wanted, powers = (None, languages, topics), (flatten, None, None if topics else topic_flatten)
     if n <= max_cells:
         table = cells.orderBy(*DIMS).collect()
-        rows = []
+        rows, blend = [], 0.0
         if table:
             tokens = np.array([r["tokens"] for r in table], float)
             names = [sorted({r[d] for r in table}) for d in DIMS]
@@ -282,11 +323,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             shares = [dict(zip(x, np.bincount(c, tokens / tokens.sum(), len(x)))) for x, c in zip(names, codes)]
             goals = [targets_of(s, w, p) for s, w, p in zip(shares, wanted, powers)]
             plan = plan_cells(tokens, codes, [np.array([g[k] for k in x]) for g, x in zip(goals, names)], fraction, rounds)
+            blend = plan.blend
             rows = [(*(r[d] for d in DIMS), float(p)) for r, p in zip(table, plan.p)]
         chances = F.broadcast(docs.sparkSession.createDataFrame(rows, "source string, lang string, topic string, p double"))
     else:
         plan = _plan_table(cells, _goal_tables(cells, float(total), wanted, powers), fraction, rounds, float(total))
-        chances = materialize(plan.p.select(*DIMS, "p"), "chances")
+        chances, blend = materialize(plan.p.select(*DIMS, "p"), "chances"), plan.blend
     spot = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col))), F.lit(1 << 53)) / F.lit(float(1 << 53))
     placed = docs.withColumn("__spot", spot)
     kept = [f for f in placed.schema.fields if keep_text or f.name != text_col]
@@ -297,12 +339,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     own = dict(zip(DIMS, (key(F.col(source_col)), key(F.col(lang_col)), topic)))
     joined = seen.join(chances, [own[d] == F.col(f"__{d}_") for d in DIMS], "left")
     p = F.coalesce("__p", F.lit(0.0))
-    struct = F.struct(*(c.alias(d) for d, c in own.items()), F.col("__n").alias("n_tokens"), p.alias("probability"), (F.col("__spot") < p).alias("sampled"))
+    struct = F.struct(*(c.alias(d) for d, c in own.items()), F.col("__n").alias("n_tokens"), p.alias("probability"), (F.col("__spot") < p).alias("sampled"), F.lit(blend).alias("blend"))
     return joined.withColumn("__mix", struct).drop("__p", "__n", "__topic", "__spot", *[f"__{d}_" for d in DIMS])
 
 
 def mixed_report(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, probability, sampled, a row per document."""
+    """doc_id, source, lang, topic, n_tokens, probability, sampled, blend, a row per document."""
     return mix(docs, id_col, keep_text=False, **kw).select(F.col(id_col).cast("long").alias("doc_id"), "__mix.*")
 
 

@@ -86,6 +86,21 @@ def test_token_store_shards_and_keyed_reads(spark, tmp_path):
     assert token_store._ranges(np.array([1, 2, 3, 9, 10, 40]), 2) == [(1, 10), (40, 40)] and token_store._ranges(np.array([4])) == [(4, 4)]
 
 
+def test_a_thousand_spread_keys_read_a_thousand_shards(spark, tmp_path):
+    path = str(tmp_path / "store")
+    token_store.write_store(frame(spark, [(i, f"text {i}") for i in range(3000)]), path, tokenizer(), shard_ids=1)
+    store = token_store.read_store(spark, path)
+    names = np.array(sorted(r.shard for r in store.select("shard").collect()), np.int64)
+    assert len(names) == 3000
+    near = token_store.shards_at(store, names, np.arange(0, 3000, 3))
+    assert near.count() == 1000
+    near.collect()
+    leaves = near._jdf.queryExecution().executedPlan().collectLeaves()
+    assert sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size())) == 1000
+    keys = spark.range(0, 3000, 3).withColumnRenamed("id", "key")
+    assert {r.key for r in token_store.lookup(spark, path, keys).collect() if r.ids} == set(range(0, 3000, 3))
+
+
 def test_suffix_array_of_repeats():
     rnd = np.random.default_rng(2)
     for text in (np.r_[np.tile([3, 4, 5], 40), 0], np.r_[rnd.integers(2, 4, 200), 1, rnd.integers(2, 4, 200), 0], np.array([0])):

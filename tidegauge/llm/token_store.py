@@ -352,7 +352,11 @@ def _route(batches: Iterator[pa.RecordBatch], names: np.ndarray, first: np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(k, n)), pa.array(names[at])], names=["k", "shard"])
 
 
-def _ranges(places: np.ndarray, most: int = 64) -> list[tuple[int, int]]:
+#: Ranges of shards in one scan's filter, and scans of a lookup; what is asked beyond both is joined to its nearest.
+RANGES, SCANS = 64, 32
+
+
+def _ranges(places: np.ndarray, most: int = RANGES * SCANS) -> list[tuple[int, int]]:
     """Sorted places as at most so many closed ranges, the nearest ones joined."""
     gaps = np.diff(places)
     cut = np.sort(np.argsort(-gaps, kind="stable")[: most - 1])
@@ -360,6 +364,13 @@ def _ranges(places: np.ndarray, most: int = 64) -> list[tuple[int, int]]:
     return list(zip(places[np.r_[0, cut + 1]].tolist(), places[np.r_[cut, len(places) - 1]].tolist()))
 
 
+def shards_at(store: DataFrame, names: np.ndarray, places: np.ndarray) -> DataFrame:
+    """The stored shards at sorted places of the directory, by scans whose filters leave out the row groups of others."""
+    parts = _blocks(iter(_ranges(places)), RANGES)
+    scans = [reduce(Column.__or__, (F.col("shard").between(int(names[a]), int(names[b])) for a, b in part)) for part in parts]
+    return reduce(DataFrame.union, (store.where(scan).select(*_INDEX) for scan in scans))
+
+
 _FOUND = pa.schema([("k", pa.int64()), ("shard", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
@@ -376,7 +387,8 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame, key_col: str = "key"
     """key, ids for each row of ``keys`` (ids null where absent); a null key asks for keyless documents.
 
     Keys are routed by the directory of shards (two keys each), which goes to the tasks in blocks of at most ``block``
-    shards. Only the row groups of shards asked for are read, and a key costs a constant number of probes in each.
+    shards. Up to ``RANGES`` times ``SCANS`` shards that don't follow each other are read alone, by their row groups;
+    of more, the nearest ones are read with those between them. A key costs a constant number of probes in each.
     Ids of documents that share a key follow each other. Where more than ``block`` distinct keys are asked for,
     shards travel to them by a shuffle, else the keys are sent to the shards.
     """
@@ -389,10 +401,9 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame, key_col: str = "key"
         places = np.searchsorted(names, np.array([r["shard"] for r in routed.select("shard").distinct().collect()], np.int64))  # at most a block
         if not len(places):
             continue
-        near = reduce(Column.__or__, (F.col("shard").between(int(names[a]), int(names[b])) for a, b in _ranges(np.sort(places))))
         wanted = routed.groupBy("shard").agg(F.collect_list("k").alias("wanted"))
         wanted = F.broadcast(wanted) if routed.count() <= block else wanted
-        found = found.union(store.where(near).select(*_INDEX).join(wanted, "shard").select(*_INDEX, "wanted").mapInArrow(_find, "k long, shard long, ids array<int>"))
+        found = found.union(shards_at(store, names, np.sort(places)).join(wanted, "shard").select(*_INDEX, "wanted").mapInArrow(_find, "k long, shard long, ids array<int>"))
     whole = found.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "ids"))), lambda x: x["ids"]).alias("ids"))
     return asked.join(whole, "k", "left").select("key", F.flatten("ids").alias("ids"))
 

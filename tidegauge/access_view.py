@@ -6,6 +6,7 @@ arithmetic on the table, which the SQL repeats.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from datetime import timedelta
 from decimal import Decimal
@@ -540,6 +541,76 @@ def finding_summary(spark, sf_dir):
     return findings(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.max(order[F.col("status")]).alias("severity"))
 
 
+# Views altered so that the other rules come to hold: a sampled, a bursty and an unreadable log of a CDN.
+
+_MISSED, _BURST = f"{BASE} + (ord % 50) * 2", f"{BASE} + CASE WHEN ord % 2 = 0 THEN 0 ELSE ord % 199 END"
+
+
+def _altered(spark: SparkSession, sf_dir: str, case: str, **kw) -> dict:
+    e = access_events(spark, sf_dir)
+    n, none = e.count(), F.lit(None)
+    if case == "unread":
+        return build(e.where("false"), "cloudfront", "events", Counts(n, 0, n, 0), Options(**kw))
+    every = {"sampled": 20, "bursty": 200}[case]
+    left = e.where(F.col("ord") % every != 0)
+    at = {"sampled": (F.col("ord") % 50) * 2, "bursty": F.when(F.col("ord") % 2 == 0, 0).otherwise(F.col("ord") % 199)}[case]
+    left = left.withColumn("ts", F.timestamp_seconds(F.lit(BASE) + at)).withColumn("cache", F.lit("MISS") if case == "sampled" else none.cast("string"))
+    left = left if case == "sampled" else left.withColumn("response_ns", none.cast("bigint"))
+    kept = left.count()
+    return build(left, "cloudfront", "events", Counts(n, kept, 0, n - kept), Options(**kw))
+
+
+_ALTERED = f""", x AS (SELECT * REPLACE ({_MISSED} AS sec, 'MISS' AS cache) FROM b WHERE ord % 20 <> 0), y AS (SELECT * REPLACE ({_BURST} AS sec) FROM b WHERE ord % 200 <> 0),
+xw AS (SELECT max(sec) - min(sec) + 1 AS w, count(DISTINCT sec) AS busy, count(*) AS n FROM x), xp AS (SELECT path, count(*) AS n, row_number() OVER (ORDER BY min(ord)) AS rn FROM x GROUP BY path),
+ys AS (SELECT sec, count(*) AS n FROM y GROUP BY sec), yr AS (SELECT n, row_number() OVER (ORDER BY n) AS rn FROM ys), yw AS (SELECT max(sec) - min(sec) + 1 AS w, count(DISTINCT sec) AS busy FROM y),
+yi AS (SELECT w - busy AS silent, {_RANKED.format("w")} AS idx FROM yw), yq AS (SELECT CASE WHEN idx < silent THEN 0 ELSE (SELECT n FROM yr WHERE rn = idx - silent + 1) END AS p95 FROM yi),
+m AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (ord % 20 = 0) AS x, count(*) FILTER (ord % 200 = 0) AS y FROM a) """
+
+
+@query(
+    _ALTERED
+    + """SELECT * FROM (
+SELECT 'unread' AS kind, 'coverage' AS "check", 'log' AS target, 'ERROR' AS status, n AS value, 'lines' AS unit FROM m
+UNION ALL SELECT 'sampled', 'coverage', 'log', CASE WHEN x / n >= 0.02 THEN 'ERROR' WHEN x / n >= 0.002 THEN 'WARN' ELSE 'OK' END, x / n * 100, '%' FROM m
+UNION ALL SELECT 'bursty', 'coverage', 'log', CASE WHEN y / n >= 0.02 THEN 'ERROR' WHEN y / n >= 0.002 THEN 'WARN' ELSE 'OK' END, y / n * 100, '%' FROM m
+UNION ALL SELECT 'sampled', 'coverage', 'paths', 'WARN', sum(n)::DOUBLE, 'requests' FROM xp WHERE rn > 50 HAVING sum(n) > 0
+UNION ALL SELECT 'sampled', 'coverage', 'window', 'WARN', (w - busy) / w::DOUBLE * 100, '%' FROM xw WHERE n >= w AND (w - busy) / w::DOUBLE >= 0.20
+UNION ALL SELECT 'bursty', 'rate', 'burstiness', 'WARN', (SELECT max(n) FROM ys) / p95::DOUBLE, '×' FROM yq WHERE p95 > 0 AND (SELECT max(n) FROM ys) / p95::DOUBLE >= 3
+UNION ALL SELECT 'bursty', 'wait', 'all classes', 'OK', NULL, '' FROM m
+UNION ALL SELECT 'bursty', 'cache', 'log', 'OK', NULL, '' FROM m
+UNION ALL SELECT 'sampled', 'cache', cls, 'WARN', 0, '%' FROM x GROUP BY cls HAVING count(*) >= 1000
+UNION ALL SELECT 'sampled', 'edge', 'origin share', 'OK', 100, '%' FROM m
+UNION ALL SELECT 'bursty', 'edge', 'origin share', 'WARN', NULL, '' FROM m)"""
+)
+def finding_cases(spark, sf_dir):
+    """The findings that the log as it is doesn't give."""
+    wanted = {("coverage", "log"), ("coverage", "paths"), ("coverage", "window"), ("rate", "burstiness"), ("cache", "log"), ("edge", "origin share"), *(("cache", c) for c in DEFAULT.names())}
+    rows = []
+    for case in ("unread", "sampled", "bursty"):
+        for f in _altered(spark, sf_dir, case, **({"max_paths": 50} if case == "sampled" else {}))["findings"]:
+            if (f["check"], f["target"]) in wanted or (case == "bursty" and f["check"] == "wait"):
+                rows.append((case, f["check"], f["target"], f["status"], f["value"], f["unit"]))
+    return spark.createDataFrame(rows, "kind string, check string, target string, status string, value double, unit string")
+
+
+@query(
+    _ALTERED
+    + """, k AS (SELECT cls, path, count(*) AS n, count(*) FILTER (status BETWEEN 200 AND 299) AS ok, row_number() OVER (PARTITION BY cls ORDER BY min(ord)) AS rn FROM x GROUP BY cls, path),
+fit AS (SELECT DISTINCT cls FROM k WHERE rn <= 50 AND ok / n::DOUBLE >= 0.95)
+SELECT (SELECT sum(n) FROM xp WHERE rn > 50)::BIGINT AS dropped_paths, (w - busy)::BIGINT AS silent_seconds, w::BIGINT AS window_seconds, (SELECT count(*) FROM fit)::INT AS classes, 2000::BIGINT AS guillotine_ms, 1500::BIGINT AS max_p95_ms,
+(SELECT floor(x / n * 1000 + 0.5) / 10 FROM m)::DOUBLE AS unreadable, 100.0::DOUBLE AS origin, (1 + (SELECT count(DISTINCT cls) FROM x) - (SELECT count(*) FROM fit) + 1 + 1 + 1)::INT AS warnings FROM xw"""
+)
+def profile_notes(spark, sf_dir):
+    """What a profile of the sampled log warns of: its brake, classes without paths, silence, unreadable lines and the origin's share."""
+    report = _altered(spark, sf_dir, "sampled", max_paths=50, pool_size=40)
+    doc, said = P.build(report, P.ProfileOptions("https://edge.example.test", read_timeout_ms=2000, max_p95_ms=2000))
+    number = lambda mark: float(re.search(r"([0-9.]+)%", next(w for w in said if mark in w))[1])
+    silent, window = map(int, re.match(r"(\d+) of (\d+) ", doc["_measured"]["coverage_note"]).groups())
+    said = [w for w in said if "left out, as" not in w]
+    row = (doc["_measured"]["dropped_paths"], silent, window, len(doc["classes"]), doc["slo"]["guillotine_ms"], doc["slo"]["max_p95_ms"], number("unreadable"), number("origin saw"), len(said))
+    return spark.createDataFrame([row], "dropped_paths long, silent_seconds long, window_seconds long, classes int, guillotine_ms long, max_p95_ms long, unreadable double, origin double, warnings int")
+
+
 def _profile(spark: SparkSession, sf_dir: str) -> tuple[dict, list[str]]:
     return P.build(_report(spark, sf_dir, pool_size=40, pool_min_ok=0.5), P.ProfileOptions("https://edge.example.test"))
 

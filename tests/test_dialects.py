@@ -74,6 +74,26 @@ def test_traefik(spark):
     assert (rows[1].status, rows[1].total_ns) == (201, None) and rows[2].ts == datetime(2026, 3, 2, 10) and not rows[11].client_identity
 
 
+def test_a_json_line_is_one_object_and_no_more(spark):
+    v = json.dumps(TR)
+    more = lambda tail: f"{v[:-1]}, {tail}}}"
+    bad = [v + " x", v + "]", v + "}", f"{v},{v}", v + ',{"":1}] x', v + v, v[:-1] + ",}", v.replace('"', "'"), more('"x":NaN'), more('"x":01'), more('"x":"a\tb"'), more("x:1"), more('"RequestPath":7'), more('"requestpath":["/b"]')]
+    bad += [more('"DownstreamStatus":200.0'), more('"DownstreamStatus":2e2'), more('"DownstreamContentSize":9223372036854775808'), more('"duration":"5"'), more('"RequestHost":false,"RequestHost":"h"')]
+    good = ["\ufeff" + v, v + " \t", more('"REQUESTPATH":"/up"'), more('"RequestPath":"/one","requestPath":"/two"'), more('"RequestPath":null'), more('"requestho\u017ft":"LONG.example.test"'), more('"downstream\u017ftatus":418'), more('"x":{"DownstreamStatus":[1,"]}"]}'), more('"":1,"\\u0052equestPath":"/esc"')]
+    rows = parsed(spark, "traefik", *bad, *good, v[1:])
+    assert [r.parse_status for r in rows] == ["malformed"] * len(bad) + ["skipped"] + ["parsed"] * 8 + ["skipped"]
+    ok = rows[len(bad) + 1 : -1]
+    assert [r.path for r in ok] == ["/a", "/up", "/two", "/a", "/a", "/a", "/a", "/esc"]
+    assert ok[4].host == "long.example.test" and [r.status for r in ok] == [200] * 5 + [418, 200, 200]
+
+
+def test_repeated_scalars_count_by_the_last_that_says_something(spark):
+    more = lambda tail: f"{json.dumps(AK)[:-1]}, {tail}}}"
+    rows = parsed(spark, "akamai", more('"statusCode":404'), more('"STATUSCODE":"-","statuscode":" ","statusCode":null'), more('"statusCode":{"a":1}'), more('"cacheStatus":[0]'), more('"reqPath":5'), more('"reqHost":""'))
+    assert [r.parse_status for r in rows] == ["parsed", "parsed", "malformed", "parsed", "malformed", "parsed"]
+    assert [rows[i].status for i in (0, 1, 3)] == [404, 200, 200] and rows[3].cache is None and rows[5].host is None
+
+
 CF = "#Fields: date time x-edge-location sc-bytes c-ip cs-method cs(Host) cs-uri-stem sc-status cs-uri-query x-edge-result-type x-host-header time-taken time-to-first-byte"
 ROW = "2026-03-02\t10:00:00\tFRA2\t512\t198.51.100.9\tGET\tD.cdn.test\t/a\t200\tb=1\tHit\tShop.example.test\t0.045\t0.040"
 

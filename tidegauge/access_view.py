@@ -204,6 +204,29 @@ def noise_counts(spark, sf_dir):
     return out
 
 
+_STRICT = """SELECT d.dialect, CASE WHEN ord % 10 IN (1, 2, 3, 5, 6) THEN 'malformed' ELSE 'parsed' END AS parse_status, ord % 10 AS form, count(*) AS lines,
+  CAST(sum(CASE WHEN ord % 10 IN (1, 2, 3, 5, 6) THEN 0 WHEN ord % 10 = 4 THEN 299 ELSE status END) AS BIGINT) AS status_sum,
+  count(DISTINCT CASE WHEN ord % 10 NOT IN (1, 2, 3, 5, 6) THEN path END) AS paths FROM a, (VALUES ('traefik'), ('akamai')) d(dialect) GROUP BY ALL"""
+
+
+@query(_STRICT)
+def json_decode(spark, sf_dir):
+    """JSON lines in ten forms: text or an object behind, an early close, repeated keys (the last counts, null doesn't, a misfit spoils), changed case, single quotes."""
+    out = None
+    for name, code, method in (("traefik", "DownstreamStatus", "RequestMethod"), ("akamai", "statusCode", "reqMethod")):
+        lines = render(access_events(spark, sf_dir), name)
+        v, form = F.col("value"), F.col("line_no") % 10
+        more = lambda tail: F.concat(F.substring(v, F.lit(1), F.length(v) - 1), F.lit(f",{tail}}}"))
+        turned = F.regexp_replace(F.regexp_replace(v, f'"{code}"', f'"{code.upper()}"'), f'"{method}"', f'"{method.lower()}"')
+        odd = F.when(form == 1, F.concat(v, F.lit(" x"))).when(form == 2, F.concat(v, F.lit("]"))).when(form == 3, F.concat(v, F.lit(","), v)).when(form == 4, more(f'"{code}":299')).when(form == 5, more(f'"{method}":7,"{method}":"GET"'))
+        odd = odd.when(form == 6, F.translate(v, '"', "'")).when(form == 7, more(f'"{code}":null')).when(form == 8, turned).when(form == 9, more('"other":{"a":[1,"]"]}')).otherwise(v)
+        got = dialects.parse(lines.withColumn("value", odd), name)
+        got = got.groupBy("parse_status", form.cast("bigint").alias("form")).agg(F.count(F.lit(1)).alias("lines"), F.sum(F.coalesce("status", F.lit(0))).alias("status_sum"), F.countDistinct("path").alias("paths"))
+        got = got.select(F.lit(name).alias("dialect"), "*")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 def _written(lines: DataFrame, parts: int = 3) -> str:
     """A folder of gzip files by names that don't say so, in order of ``line_no``."""
     spark = lines.sparkSession

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.dialects.event import finish, held
-from tidegauge.dialects.json_lines import fits, is_object, opened, text
+from tidegauge.dialects.json_lines import is_object, opened, text, value
 from tidegauge.functions.text import after_mark, before_mark, empty_null, number, trimmed, whole_or_float
 
 LATENCY_FIELD = "turnAroundTimeMSec (wait seen by the edge)"
@@ -17,14 +14,8 @@ _OTHERS = ("reqTimeSec", "statusCode", "cacheStatus", "turnAroundTimeMSec", "tot
 _TEXTS = ("reqMethod", "reqPath", "reqHost", "queryStr", "cliIP", "xForwardedFor")
 
 
-def _scalar(key: str) -> Column:
-    """A scalar as text, or null where it is absent, empty or a dash."""
-    v = trimmed(text(key))
-    return F.when(~v.isin("", "-"), v)
-
-
 def loose(key: str) -> Column:
-    return F.col(f"__s_{key}")
+    return trimmed(value(key))
 
 
 def epoch(raw: Column) -> Column:
@@ -35,9 +26,8 @@ def epoch(raw: Column) -> Column:
 
 
 def parse(lines: DataFrame, tz: str = "UTC", xff_capture: int = 0) -> DataFrame:
-    d = opened(lines, _TEXTS + _OTHERS)
-    d = held(d, __ok=F.col("__v").isNotNull() & reduce(and_, [fits(k, "STRING") for k in _TEXTS]), __p=text("reqPath"), **{f"__s_{k}": _scalar(k) for k in _OTHERS})
-    d = held(d, __ts=epoch(loose("reqTimeSec")), __code=whole_or_float(loose("statusCode")).try_cast("int"), __wait=number(loose("turnAroundTimeMSec")), __hit=whole_or_float(loose("cacheStatus")))
+    d = opened(lines, _TEXTS, loose=_OTHERS)
+    d = held(d, __p=text("reqPath"), __ts=epoch(loose("reqTimeSec")), __code=whole_or_float(loose("statusCode")).try_cast("int"), __wait=number(loose("turnAroundTimeMSec")), __hit=whole_or_float(loose("cacheStatus")))
     code = F.col("__code")
     idle = (F.col("__p") == "") & (text("reqMethod") == "")
     bad = F.col("__ts").isNull() | (F.col("__p") == "") | (loose("statusCode").isNotNull() & code.isNull())

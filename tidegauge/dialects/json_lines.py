@@ -1,11 +1,16 @@
-"""What the two JSON dialects share: one VARIANT a line and reads by key.
+"""What the two JSON dialects share: a strict reading of one object a line, and values by key.
 
-Keys are case-sensitive; a repeated key makes the line malformed, and text after the object is not noticed.
+A line is one JSON object and nothing else: text after it, single quotes, NaN and bare control characters make it
+malformed. Keys match in any case. Of a repeated key every value has to be of a kind that fits, and the last one that
+isn't null counts. Only within a nested object do repeated keys make a line malformed, unless the session sets
+spark.sql.variant.allowDuplicateKeys.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,38 +18,57 @@ from pyspark.sql import functions as F
 from tidegauge.dialects.event import held
 from tidegauge.functions.text import trimmed
 
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
-def opened(lines: DataFrame, keys: Iterable[str]) -> DataFrame:
-    """With __l, the trimmed line, __v, its VARIANT (null where it isn't a JSON object), and each key's text and kind."""
-    d = held(lines, __l=trimmed(F.coalesce("value", F.lit(""))))
-    d = held(d, __v=F.when(F.col("__l").startswith("{"), F.try_parse_json("__l")))
-    value = lambda key, kind: F.try_variant_get(F.col("__v"), f'$["{key}"]', kind)
-    return held(d, **{f"__t_{k}": F.coalesce(value(k, "string"), F.lit("")) for k in keys}, **{f"__k_{k}": F.schema_of_variant(value(k, "variant")) for k in keys})
 
+def _folded(key: Column) -> Column:
+    """One spelling for all that differ by case: the long s is an s in capitals, and no other case of it is lost."""
+    return F.translate(F.lower(key), "ſ", "s")
 
-def is_object() -> Column:
-    return F.col("__l").startswith("{")
 
+def _sealed(line: Column) -> Column:
+    """The line as the first of two elements; the second holds the line's hash, which no line can hold itself.
 
-def text(key: str) -> Column:
-    """A value as text, with a number's digits kept; absent and null are empty."""
-    return F.col(f"`__t_{key}`")
+    So a line that closes the array early, or adds elements to it, is told from one that is an object and no more.
+    """
+    text = F.concat(F.lit("["), line, F.lit(',{"":'), F.xxhash64(line).cast("string"), F.lit("}]"))
+    return F.from_json(text, "array<map<string,variant>>", _STRICT)
+
+
+def opened(lines: DataFrame, texts: Iterable[str], wholes: Iterable[str] = (), numbers: Iterable[str] = (), loose: Iterable[str] = ()) -> DataFrame:
+    """With __l, the trimmed line, __ok, whether it is one object whose values fit, and the value of each key as text.
+
+    Texts are strings, wholes integers of 64 bits, numbers any numbers; loose ones are of any kind, and where they
+    are empty or a dash they count as null.
+    """
+    wanted = (((*texts,), ("STRING",)), ((*wholes,), ("BIGINT",)), ((*numbers,), ("BIGINT", "DOUBLE", "DECIMAL")), ((*loose,), ()))
+    keys = [k for names, _ in wanted for k in names]
+    d = held(lines, __l=trimmed(F.coalesce("value", F.lit(""))))
+    d = held(d, __pair=F.when(is_object(), _sealed(F.col("__l"))))
+    whole_line = (F.size("__pair") == 2) & (F.try_variant_get(F.get("__pair", F.lit(1))[""], "$", "bigint") == F.xxhash64("__l"))
+    known = F.filter(F.map_entries(F.get("__pair", F.lit(0))), lambda e: _folded(e.key).isin(*(k.lower() for k in keys)))
+    member = lambda e: F.struct(_folded(e.key).alias("k"), F.regexp_extract(F.schema_of_variant(e.value), "^[A-Z]+", 0).alias("kind"), F.try_variant_get(e.value, "$", "string").alias("t"))
+    d = held(d, __all=F.when(whole_line, F.filter(F.transform(known, member), lambda m: m.kind != "VOID")))
+
+    def fits(m: Column) -> Column:
+        return reduce(or_, [m.k.isin(*(k.lower() for k in names)) & (m.kind.isin(*kinds) if kinds else F.lit(True)) for names, kinds in wanted if names])
+
+    def last(key: str) -> Column:
+        said = F.filter("__all", lambda m: (m.k == key.lower()) & (~trimmed(m.t).isin("", "-") if key in loose else F.lit(True)))
+        return F.try_element_at(said, F.lit(-1)).t
+
+    return held(d, __ok=F.coalesce(F.forall("__all", fits), F.lit(False)), **{f"__t_{k}": last(k) for k in keys})
 
 
-def kind(key: str) -> Column:
-    return F.col(f"`__k_{key}`")
+def is_object() -> Column:
+    return F.col("__l").startswith("{")
 
 
-def fits(key: str, *kinds: str) -> Column:
-    """The value is absent, null, or of one of the kinds."""
-    k = kind(key)
-    ok = k.isNull() | (k == "VOID")
-    for want in kinds:
-        ok = ok | k.startswith(want)
-    return ok
+def value(key: str) -> Column:
+    """A key's last value as text, with a number's digits kept; null where there is none."""
+    return F.col(f"`__t_{key}`")
 
 
-def whole(key: str) -> Column:
-    """Absent, null or a JSON integer."""
-    k = kind(key)
-    return k.isNull() | (k == "VOID") | (k == "BIGINT") | (k.startswith("DECIMAL") & k.endswith(",0)"))
+def text(key: str) -> Column:
+    """The same, empty where there is none."""
+    return F.coalesce(value(key), F.lit(""))

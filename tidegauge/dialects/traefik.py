@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.dialects.event import finish, held
-from tidegauge.dialects.json_lines import fits, is_object, opened, text, whole
+from tidegauge.dialects.json_lines import is_object, opened, text
 from tidegauge.functions.text import after_mark, before_mark, empty_null, number
 
 LATENCY_FIELD = "OriginDuration (wait for the service)"
@@ -20,10 +17,9 @@ _NUMBERS = ("Duration", "OriginDuration")
 
 
 def parse(lines: DataFrame, tz: str = "UTC", xff_capture: int = 0) -> DataFrame:
-    d = opened(lines, _TEXTS + _WHOLE + _NUMBERS)
-    typed = reduce(and_, [*(fits(k, "STRING") for k in _TEXTS), *(whole(k) for k in _WHOLE), *(fits(k, "BIGINT", "DOUBLE", "DECIMAL") for k in _NUMBERS)])
+    d = opened(lines, _TEXTS, _WHOLE, _NUMBERS)
     instant = lambda k: F.when(text(k).rlike(_RFC3339), text(k).try_cast("timestamp"))
-    d = held(d, __ok=F.col("__v").isNotNull() & typed, __ts=F.coalesce(instant("StartUTC"), instant("StartLocal")), __p=text("RequestPath"))
+    d = held(d, __ts=F.coalesce(instant("StartUTC"), instant("StartLocal")), __p=text("RequestPath"))
     idle = (F.col("__p") == "") & (text("RequestMethod") == "")
     status = F.when(~is_object(), "skipped").when(~F.col("__ok"), "malformed").when(idle, "skipped").when(F.col("__ts").isNull() | (before_mark(F.col("__p")) == ""), "malformed").otherwise("parsed")
     nanos = lambda k: F.when(number(text(k)) > 0, number(text(k)).cast("bigint"))

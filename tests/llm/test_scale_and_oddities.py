@@ -5,6 +5,7 @@ import hashlib
 import html
 import random
 import time
+import tracemalloc
 import uuid
 import zlib
 from html.parser import HTMLParser
@@ -249,3 +250,30 @@ def test_ordinal_scores_match_plain_sums(spark):
     assert len(got) == len(want)
     for r, w in zip(sorted(got, key=lambda r: (r.doc_id, r.expected_grade)), sorted(want)):
         assert r.doc_id == w[0] and np.isclose(r.expected_grade, w[1]) and np.isclose(r.tail_probability, w[2]) and r.kept == w[3]
+
+
+def test_equal_items_are_searched_once(spark):
+    """Many answers of few words beside a text that repeats them: as plain search, in the memory of one item."""
+    items = [(f"q{i:05d}", ("the", "The!", "the the", "yes the")[i % 4]) for i in range(8000)] + [("long", "the " * 12), ("q00000", "no"), (None, "the")]
+    blob = fm_index.Items([("null" if n is None else n, t.encode()) for n, t in items])
+    assert len(blob.begin) == len({tuple(fm_index.words_of(t.encode())[:10]) for _, t in items})
+    texts = ["the " * 20_000, "yes no", "yes the", "", None, "other words"]
+    tracemalloc.start()
+    n, found = fm_index.shard_hits([None if t is None else t.encode() for t in texts], blob)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100_000_000 and n == [20_000, 2, 2, 0, 0, 2]
+    want = []
+    for i, t in enumerate(texts):
+        words, hit, names = fm_index.words_of((t or "").encode()), set(), set()
+        at = {w: [k for k in range(len(words) - len(w) + 1) if tuple(words[k : k + len(w)]) == w] for w in {tuple(fm_index.words_of(x.encode())[:10]) for _, x in items}}
+        for name, x in items:
+            w = tuple(fm_index.words_of(x.encode())[:10])
+            names |= {"null" if name is None else name} if at[w] else set()
+        for w, places in at.items():
+            hit.update(k + j for k in places for j in range(len(w)))
+        want.append((i, len(words), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = fm_index.digest(fm_index.occurrences(docs, spark.createDataFrame(items, "item_id string, text string"))).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in got] == want
+    assert [list(range(*x.indices(3))) for x in fm_index._portions(found[:3], blob, names=1)] == [[0], [1], [2]]

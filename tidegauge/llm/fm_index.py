@@ -147,7 +147,11 @@ class FMIndex:
 
 
 class Items:
-    """A block of items: their words as ids of the block's vocabulary, and where each window stands."""
+    """A block of items: their words as ids of the block's vocabulary, where each distinct window stands, and whose it is.
+
+    A window is searched and located once, however many items have it. So a shard has at most one occurrence a word
+    and window length, whatever the benchmark repeats.
+    """
 
     def __init__(self, items: list[tuple[str, bytes | None]], window: int = WINDOW):
         vocabulary = IdCache()
@@ -157,9 +161,23 @@ class Items:
         self.flat = np.concatenate([*words, np.empty(0, np.int32)])
         size = np.array([len(w) for w in words], np.int64)
         count = np.where(size, np.maximum(size - window + 1, 1), 0)
-        self.owner = np.repeat(np.arange(len(items)), count)
-        self.begin = np.repeat(np.cumsum(size) - size - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        self.length = np.minimum(size, window)[self.owner]
+        owner = np.repeat(np.arange(len(items)), count)
+        begin = np.repeat(np.cumsum(size) - size - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        length = np.minimum(size, window)[owner]
+        alike = np.zeros(len(begin), np.int64)  # number of a window's first words, then of all its words
+        for j in range(int(length.max(initial=0))):
+            word = np.where(j < length, self.flat[np.minimum(begin + j, len(self.flat) - 1)] + 1, 0)
+            alike = np.unique(alike * (len(self.vocabulary) + 1) + word, return_inverse=True)[1]
+        first = np.unique(alike, return_index=True)[1]
+        self.begin, self.length = begin[first], length[first]
+        self.owner = owner[np.argsort(alike, kind="stable")].astype(np.int32)
+        self.owners = np.r_[0, np.cumsum(np.bincount(alike, minlength=len(first)))]
+
+    def owners_of(self, windows: np.ndarray) -> list[str]:
+        """Names of the items that have one of the windows, in order."""
+        lo, count = self.owners[windows], self.owners[windows + 1] - self.owners[windows]
+        at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        return sorted({self.names[x] for x in np.unique(self.owner[at]).tolist()})
 
     def phrases(self, known: dict[bytes, int], rows: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(windows, their words as ids of ``known``) for the windows that have no other word, some at a time."""
@@ -226,20 +244,20 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[byte
         yield ids, texts
 
 
-def shard_hits(texts: list[bytes | None], items: Items) -> tuple[list[int], list[tuple[list[int], list[int], list[str]]]]:
-    """Word counts, and of each text its merged spans and the items found. Equal texts are indexed once."""
+def shard_hits(texts: list[bytes | None], items: Items) -> tuple[list[int], list[tuple[list[int], list[int], np.ndarray]]]:
+    """Word counts, and of each text its merged spans and the distinct windows found. Equal texts are indexed once."""
     numbers, distinct = IdCache(), IdCache()
     numbers[b""] = 0  # ids begin with 1
     which = [distinct[t or b""] for t in texts]
     docs = [np.fromiter(map(numbers.__getitem__, w), np.int64, len(w)) for w in map(words_of, distinct)]
     doc, begin, window = hits(docs, numbers, items)
-    out: list = [([], [], [])] * len(docs)
+    out: list = [([], [], np.empty(0, np.int64))] * len(docs)
     order = np.argsort(doc, kind="stable")
     doc, begin, window = doc[order], begin[order], window[order]
     at = np.r_[np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]), len(doc)] if len(doc) else np.zeros(1, np.int64)
     for i, j in zip(at[:-1], at[1:]):
         b, e = merge_spans(begin[i:j], begin[i:j] + items.length[window[i:j]])
-        out[int(doc[i])] = (b, e, sorted({items.names[x] for x in np.unique(items.owner[window[i:j]]).tolist()}))
+        out[int(doc[i])] = (b, e, np.unique(window[i:j]))
     return [len(docs[x]) for x in which], [out[x] for x in which]
 
 
@@ -247,7 +265,22 @@ def shard_hits(texts: list[bytes | None], items: Items) -> tuple[list[int], list
 def _find(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
     for ids, texts in _shards(batches):
         n, found = shard_hits(texts, items)
-        yield table({"id": ids, "n_words": n, "begins": [f[0] for f in found], "ends": [f[1] for f in found], "items": [f[2] for f in found]}, _FOUND)
+        for rows in _portions(found, items):
+            part = found[rows]
+            yield table({"id": ids[rows], "n_words": n[rows], "begins": [f[0] for f in part], "ends": [f[1] for f in part], "items": [items.owners_of(f[2]) for f in part]}, _FOUND)
+
+
+def _portions(found: list[tuple[list[int], list[int], np.ndarray]], items: Items, names: int = 500_000) -> Iterator[slice]:
+    """Runs of rows with at most some number of item names (or one row), which are written out only then."""
+    at = total = 0
+    for i, (_, _, w) in enumerate(found):
+        n = int((items.owners[w + 1] - items.owners[w]).sum())
+        if i > at and total + n > names:
+            yield slice(at, i)
+            at, total = i, 0
+        total += n
+    if found:
+        yield slice(at, len(found))
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int, window: int) -> Iterator[Items]:

@@ -23,7 +23,7 @@ _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 def _folded(key: Column) -> Column:
     """One spelling for all that differ by case: the long s is an s in capitals, and no other case of it is lost."""
-    return F.translate(F.lower(key), "ſ", "s")
+    return F.replace(F.lower(key), F.lit("ſ"), F.lit("s"))
 
 
 def _sealed(line: Column) -> Column:
@@ -41,23 +41,24 @@ def opened(lines: DataFrame, texts: Iterable[str], wholes: Iterable[str] = (), n
     Texts are strings, wholes integers of 64 bits, numbers any numbers; loose ones are of any kind, and where they
     are empty or a dash they count as null.
     """
-    wanted = (((*texts,), ("STRING",)), ((*wholes,), ("BIGINT",)), ((*numbers,), ("BIGINT", "DOUBLE", "DECIMAL")), ((*loose,), ()))
-    keys = [k for names, _ in wanted for k in names]
+    wanted = (((*texts,), ("STRING",)), ((*wholes,), ("BIGINT",)), ((*numbers,), ("BIGINT", "DOUBLE", "DECIMAL")), ((*loose,), ("",)))
+    loose, keys = wanted[3][0], [k for names, _ in wanted for k in names]
     d = held(lines, __l=trimmed(F.coalesce("value", F.lit(""))))
     d = held(d, __pair=F.when(is_object(), _sealed(F.col("__l"))))
     whole_line = (F.size("__pair") == 2) & (F.try_variant_get(F.get("__pair", F.lit(1))[""], "$", "bigint") == F.xxhash64("__l"))
-    known = F.filter(F.map_entries(F.get("__pair", F.lit(0))), lambda e: _folded(e.key).isin(*(k.lower() for k in keys)))
-    member = lambda e: F.struct(_folded(e.key).alias("k"), F.regexp_extract(F.schema_of_variant(e.value), "^[A-Z]+", 0).alias("kind"), F.try_variant_get(e.value, "$", "string").alias("t"))
-    d = held(d, __all=F.when(whole_line, F.filter(F.transform(known, member), lambda m: m.kind != "VOID")))
+    folded = F.transform(F.map_entries(F.get("__pair", F.lit(0))), lambda e: F.struct(_folded(e.key).alias("k"), e.value.alias("v")))
+    known = F.filter(folded, lambda e: e.k.isin(*(k.lower() for k in keys)))
+    told = F.transform(known, lambda e: F.struct(e.k.alias("k"), F.schema_of_variant(e.v).alias("kind"), F.try_variant_get(e.v, "$", "string").alias("t")))
+    d = held(d, __all=F.when(whole_line, F.filter(told, lambda m: m.kind != "VOID")))
 
     def fits(m: Column) -> Column:
-        return reduce(or_, [m.k.isin(*(k.lower() for k in names)) & (m.kind.isin(*kinds) if kinds else F.lit(True)) for names, kinds in wanted if names])
+        return reduce(or_, [m.k.isin(*(k.lower() for k in names)) & reduce(or_, [m.kind.startswith(x) for x in kinds]) for names, kinds in wanted if names])
 
-    def last(key: str) -> Column:
-        said = F.filter("__all", lambda m: (m.k == key.lower()) & (~trimmed(m.t).isin("", "-") if key in loose else F.lit(True)))
-        return F.try_element_at(said, F.lit(-1)).t
-
-    return held(d, __ok=F.coalesce(F.forall("__all", fits), F.lit(False)), **{f"__t_{k}": last(k) for k in keys})
+    silent = lambda m: m.k.isin(*(k.lower() for k in loose)) & trimmed(m.t).isin("", "-")
+    last = F.reverse(F.filter("__all", lambda m: ~silent(m)) if loose else F.col("__all"))
+    d = held(d, __ok=F.coalesce(F.forall("__all", fits), F.lit(False)), __last=last)
+    d = held(d, __k=F.col("__last.k"), __t=F.col("__last.t"))
+    return held(d, **{f"__t_{k}": F.get("__t", F.array_position("__k", F.lit(k.lower())).cast("int") - 1) for k in keys})
 
 
 def is_object() -> Column:

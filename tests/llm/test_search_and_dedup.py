@@ -339,3 +339,25 @@ def test_lattice_scores(spark):
 
 def test_lattice_scores_of_no_rows(spark):
     assert lattice_lm.lattice_scores(frame(spark, []), lattice_model()).collect() == []
+
+
+def test_lattice_scores_are_plain_sums(spark):
+    """The whole score again: three plain expectation rounds over the training words, then forward sums a word."""
+    rows = [*corpus(6, 20), (None, "no key here"), (7, ""), (8, None), (9, "Ünï Zz zz"), (9, "Ünï Zz zz")]
+    trained = [lower(t or "") for d, t in rows if zlib.crc32(b"" if d is None else str(d).encode()) % 10]
+    count = Counter(w for t in trained for w in WORD.findall(t))
+    p = lattice_lm.Pieces.load(lattice_model())
+    for _ in range(3):
+        mass = [0.1] * len(p.logp)
+        for w, n in count.items():
+            lattice_lm.expected_counts("▁" + w, n, p, mass)
+        total = sum(mass) + len(trained) + 0.1
+        p = lattice_lm.Pieces(p.pieces, np.log(np.array(mass) / total))
+    want = []
+    for d, t in rows:
+        words = sum(lattice_lm.forward(p.arcs("▁" + w))[-1] for w in WORD.findall(lower(t or "")))
+        want.append((-1 if d is None else d, words / math.log(10) + math.log10((len(trained) + 0.1) / total)))
+    got = [(-1 if r.doc_id is None else r.doc_id, r.score) for r in lattice_lm.lattice_scores(frame(spark, rows), lattice_model()).collect()]
+    assert len(got) == len(want)
+    for (a, x), (b, y) in zip(sorted(got), sorted(want)):
+        assert a == b and math.isclose(x, y, rel_tol=1e-9), (a, x, y)

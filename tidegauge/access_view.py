@@ -18,7 +18,7 @@ from tidegauge import dialects
 from tidegauge.dialects.event import latency_ns
 from tidegauge.functions import text as T
 from tidegauge.operators import metrics as M
-from tidegauge.operators.classes import DEFAULT
+from tidegauge.operators.classes import DEFAULT, ClassSet, Rule
 from tidegauge.operators.detect import head_votes, votes
 from tidegauge.plans import profile as P
 from tidegauge.plans import store as cell_store
@@ -334,6 +334,43 @@ def classify_mix(spark, sf_dir):
     return s.where("cls is not null").join(F.broadcast(total), F.lit(True)).select("cls", "requests", (F.col("requests") / F.col("__n")).alias("share"), "bytes")
 
 
+_KINDS_OF_EVENT = ("click", "error", "purchase", "signup", "view")
+
+
+def many_rules() -> ClassSet:
+    """2,000 rules by arithmetic, every fifth by another kind of term; the first of a request may be any of them."""
+
+    def rule(i: int) -> Rule:
+        v, name = 399 - i // 5, f"r{i:04d}"
+        kind = _KINDS_OF_EVENT[v % 5]
+        match i % 5:
+            case 0:
+                return Rule(name, path_prefixes=(f"/API/{kind}/{v % 40}",))
+            case 1:
+                return Rule(name, path_suffixes=(f"/{v}.js",))
+            case 2:
+                return Rule(name, path_contains=(f"{kind[1:]}/{v}",))
+            case 3:
+                return Rule(name, query_params=("_rsc" if v == 20 else f"p{v}",))
+        return Rule(name, path_prefixes=(f"/{kind}/{v // 5}",), methods=("get",) if v < 100 else ("POST", "put"))
+
+    return ClassSet(tuple(rule(i) for i in range(2000)), "rest")
+
+
+_MANY_RULES = """, rules AS (SELECT i, i % 5 AS how, 399 - i // 5 AS v, ['click', 'error', 'purchase', 'signup', 'view'][CAST((399 - i // 5) % 5 + 1 AS INT)] AS kind FROM range(2000) t(i)),
+u AS (SELECT DISTINCT path, query FROM a),
+firsts AS (SELECT path, query, min(i) AS i FROM u JOIN rules ON
+  CASE how WHEN 0 THEN starts_with(path, '/api/' || kind || '/' || (v % 40)) WHEN 1 THEN suffix(path, '/' || v || '.js') WHEN 2 THEN contains(path, substr(kind, 2) || '/' || v)
+    WHEN 3 THEN starts_with(query, CASE WHEN v = 20 THEN '_rsc' ELSE 'p' || v END || '=') ELSE v < 100 AND starts_with(path, '/' || kind || '/' || (v // 5)) END GROUP BY path, query)
+SELECT ord, coalesce('r' || lpad(CAST(i AS VARCHAR), 4, '0'), 'rest') AS cls FROM a LEFT JOIN firsts USING (path, query)"""
+
+
+@query(_MANY_RULES)
+def classify_many_rules(spark, sf_dir):
+    """Every request by 2,000 rules."""
+    return access_events(spark, sf_dir).select("ord", many_rules().column().alias("cls"))
+
+
 _SECONDS = ", s AS (SELECT cls, sec, count(*) AS n, max(ord) AS last_ord FROM g GROUP BY ALL), w AS (SELECT max(sec) - min(sec) + 1 AS w FROM a) "
 
 

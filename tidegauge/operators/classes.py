@@ -1,4 +1,8 @@
-"""Request classes: ordered first-match rules compiled to one Column."""
+"""Request classes: ordered first-match rules compiled to one Column.
+
+A few terms become a chain of conditions in the plan; a set of more than ``CHAIN_TERMS`` is looked up in hash tables,
+with the same result, as such a chain costs every request a test a term and takes long to compile.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidegauge.functions.text import has_param
+from tidegauge.operators import rule_index
+
+#: Terms (of paths and queries, over all rules) that a chain of conditions may have.
+CHAIN_TERMS = 150
 
 
 @dataclass(frozen=True)
@@ -42,6 +50,11 @@ class ClassSet:
 
     def column(self) -> Column:
         """The class of a row, by its path, query and method."""
+        terms = sum(len(r.path_prefixes) + len(r.path_suffixes) + len(r.path_contains) + len(r.query_params) for r in self.rules)
+        return self.chain() if terms <= CHAIN_TERMS else rule_index.column(self)
+
+    def chain(self) -> Column:
+        """The same as conditions in the rules' order."""
         out = None
         for r in self.rules:
             out = F.when(r.condition(), F.lit(r.name)) if out is None else out.when(r.condition(), F.lit(r.name))

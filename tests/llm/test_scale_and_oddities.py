@@ -37,6 +37,31 @@ def test_crowded_group_is_split_and_read_in_rounds(spark):
     assert got == brute_components(rows)
 
 
+def test_open_keys_are_compared_once(spark, monkeypatch):
+    """One key for a set of members, a member once however many tasks sent it, and only keys that held pairs back again."""
+    rows = family(60)
+    for i in range(20):  # a little less than similar, which only whole sets tell
+        w = [f"y{j}" for j in range(250)]
+        for at in (2, 240, 10 + 10 * i, 15 + 10 * i):
+            w[at] = f"z{i}_{at}"
+        rows.append((500 + i, " ".join(w)))
+    seen, held, compare = [], [], jaccard_join._compare_open
+
+    def watched(now_open, *args):
+        seen.append([(r.k, tuple(sorted(r.m))) for r in now_open.groupBy("k").agg(F.collect_list("cls").alias("m")).collect()])
+        out = compare(now_open, *args)
+        held.append({r.a for r in out.where("b is null").collect()})
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_compare_open", watched)
+    dealt = frame(spark, rows + [(1000 + d, t) for d, t in rows] + [(2000 + d, t) for d, t in rows]).repartition(12)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(dealt, crowded=16, nearest=1).collect()}
+    assert {d % 1000: v for d, v in got.items()} == brute_components(rows) and len(got) == 3 * len(rows)
+    assert len(seen) > 1 and all(len(set(m)) == len(m) for found in seen for _, m in found)
+    assert all(len({m for _, m in found}) == len(found) for found in seen)
+    assert all({k for k, _ in later} <= back for back, later in zip(held, seen[1:]))
+
+
 def test_components_of_null_and_repeated_ids(spark):
     text = " ".join(f"a{i}" for i in range(60))
     rows = [(None, text + " z"), (None, text + " z"), (1, text), (1, text), (1, "other words of their own here"), (2, text + " y"), (None, "other words of their own here now")]

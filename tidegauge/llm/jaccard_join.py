@@ -11,9 +11,9 @@ classic token prefix, which finds every pair of two weak documents.
 
 Exact copies share a set fingerprint and are one vertex from the start. Keys shared by many documents give a
 star to their cleanest member first. After components are known, only keys that still join two components are
-compared in full, by sizes and sketches: a pair that shares many keys at one of its smallest, a crowded key by
-pairs of blocks of its members, and each member gives its nearest few candidates a round, until a round holds
-none back. So no link is lost, and a round's candidates are linear in the members.
+compared in full, one key for each set of members, by sizes and sketches: a pair that shares many keys at one of
+its smallest, a crowded key by pairs of blocks of its members, and each member gives its nearest few candidates a
+round; a further round takes the keys that held some back, until none does. So no link is lost, and a round's candidates are linear in the members.
 
 Null text, or text without words: empty set, n_shingles 0, linked with nothing, component_id is its own doc_id.
 Null doc_id: the row takes part and its own id counts for nothing in a component's smallest id. Repeated rows
@@ -192,6 +192,8 @@ def _candidates(t: pa.Table, small_group: int) -> pa.Table:
         return _PAIRS.empty_table()
     order = order[np.lexsort((docs[order], junk[order], keys[order]))]  # each key's cleanest member first
     k, d = keys[order], docs[order]
+    once = np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])]  # a set that several tasks sent is one member
+    k, d = k[once], d[once]
     start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
     size = np.diff(np.r_[start, len(k)])
     first = np.repeat(d[start], size)
@@ -321,7 +323,7 @@ def _open_pairs(batches: Iterator[pa.RecordBatch], percent: int, most: int) -> I
     """Pairs of a group's members in different components whose sizes and sketches allow the similarity.
 
     A pair is left to another key if both members carry a smaller one in common. A member gives at most ``most``
-    pairs, the nearest ones; where it has more, a row without b tells that some are still open.
+    pairs, the nearest ones; where it has more, a row (key, no b) tells that the key still holds some back.
     """
     for t in _whole_groups(batches):
         k, i, j, own, cls, comp, n = (t.column(c).to_numpy() for c in ("k", "i", "j", "own", "cls", "comp", "n"))
@@ -354,7 +356,7 @@ def _open_pairs(batches: Iterator[pa.RecordBatch], percent: int, most: int) -> I
         a, b = a[order], b[order]
         first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else a
         rank = np.arange(len(a)) - np.repeat(first, np.diff(np.r_[first, len(a)]))
-        more = np.unique(cls[a[rank >= most]])
+        more = np.unique(k[a[rank >= most]])
         a, b = cls[a[rank < most]], cls[b[rank < most]]
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
         yield table({"a": np.r_[pairs[:, 0], more], "b": pa.concat_arrays([pa.array(pairs[:, 1], pa.int64()), pa.nulls(len(more), pa.int64())])}, _EDGES)
@@ -420,15 +422,19 @@ def _components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tested, most = near_pairs.where("false"), nearest
     while not crowd.isEmpty():
         members = crowd.join(labels.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        several = members.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("k", F.ceil(F.col("size") / crowded).alias("blocks"))
+        several = members.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("cls")).alias("set")).where("lo <> hi")
+        # A passage gives many keys of the same members: one of them stands for all.
+        several = several.groupBy("lo", "hi", "size", "set").agg(F.min("k").alias("k")).select("k", F.ceil(F.col("size") / crowded).alias("blocks"))
         now_open = materialize(members.join(several, "k"), "open")
         if now_open.isEmpty():
             break
         out = materialize(_compare_open(now_open, light, tested, percent, most), "open-pairs")
         fresh = materialize(out.where("b is not null").distinct().join(pairs, ["a", "b"], "left_anti"), "fresh")
         labels = connected_components(labels.select(F.col("v").alias("a"), F.col("comp").alias("b")).union(verified(fresh)))
-        if out.where("b is null").isEmpty():
+        held = out.where("b is null").select(F.col("a").alias("k")).distinct()
+        if held.isEmpty():
             break
+        crowd = materialize(crowd.join(held, "k", "left_semi"), "held")  # the other keys have given all their pairs
         tested, most = materialize(tested.union(fresh).union(pairs), "tested"), 4 * most
     # Copies collapse before the join, so a hot group is one row of each side.
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))

@@ -346,3 +346,23 @@ def test_mix_is_alike_however_rows_are_dealt(spark, small):
     for r in rows:
         k = (r.source, r.lang, r.topic)
         assert math.isclose(r.probability, min(1.0, min(w[k], cap[k]) * budget / cells[k]) if k in cells else 0.0, rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_a_page_is_digested_once_and_rooted_links_join_alike(monkeypatch):
+    """Body, block, text and metadata have a digest each; references of all kinds go by the standard rules."""
+    from urllib.parse import urljoin
+
+    made, sha1 = [], warc.sha1
+    monkeypatch.setattr(warc, "sha1", lambda block: made.append(block) or sha1(block))
+    refs = ["/", "/a", "//h/a", "/a//b", "/a/../b", "/./a", "/a.html", "/a?q=1", "/a;p", "/a#f", "", "#f", "a/b", "?q", "/é/ñ_-~%20", "/a:b", "mailto:x@y", "http://[x", "/a b", "/a/"]
+    page = "".join(f'<a href="{r}">t</a>' for r in refs)
+    warc.derive(warc.response(1, "https://h.example/x/y", page))
+    assert len(made) == 4
+    for base in ("https://h.example/x/y", "HTTP://u@h.example:80", "ftp://h/x", "urn:unknown", "", "//h/x", "http://[bad/x", "http:///x", " https://h/x"):
+        want = []
+        for r in refs:
+            try:
+                want.append("".join(urljoin(base, r).split()))
+            except ValueError:
+                want.append("".join(r.split()))
+        assert [u for u, _ in warc.outlinks(page, base)] == want

@@ -28,7 +28,7 @@ import re
 import uuid
 from collections.abc import Iterator, Mapping
 from functools import partial
-from urllib.parse import urljoin
+from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +47,9 @@ _OPENER = re.compile(r"<(?:(!--)|(!)|(/?)([A-Za-z][^\s/>]*))")
 _END = {name: re.compile(rf"</{name}\s*>", re.I) for name in _HIDDEN} | {"title": re.compile("</title", re.I)}
 _VALUE = {name: re.compile(rf"\b{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I) for name in ("href", "lang", "charset")}
 _NAME = re.compile(r"[\w-]+")
+#: A reference that goes behind its base's host as it stands.
+_ROOTED = re.compile(r"/(?!/)[\w~%/-]*")
+_BREAK = re.compile(r"[\r\n]+")
 
 
 def sha1(block: bytes) -> str:
@@ -115,7 +118,9 @@ class Page:
                 self._link[1].append(" ")
         self._show(shown, page[written:])
         self._close()
-        self.text = "\n".join(x for x in map(_flat, "".join(shown).split("\0")) if x)
+        text = "".join(shown)
+        flat = _flat if "&" in text else lambda x: " ".join(x.split())
+        self.text = "\n".join(x for x in map(flat, text.split("\0")) if x)
 
     def _show(self, shown: list[str], text: str) -> None:
         shown.append(text)
@@ -153,12 +158,21 @@ def plain_text(page: str) -> str:
     return Page(page).text
 
 
+def _root(address: str) -> str | None:
+    """Scheme and host of a web address."""
+    try:
+        parts = urlsplit(address)
+    except ValueError:
+        return None
+    return f"{parts.scheme}://{parts.netloc}" if parts.scheme in ("http", "https") and parts.netloc else None
+
+
 def outlinks(page: str | Page, base: str) -> list[tuple[str, str]]:
     """Absolute address and text of each anchor, in order."""
-    out = []
+    out, root = [], _root(base)
     for ref, text in (page if isinstance(page, Page) else Page(page)).links:
         try:
-            url = urljoin(base, ref)
+            url = root + ref if root and _ROOTED.fullmatch(ref) else urljoin(base, ref)
         except ValueError:
             url = ref
         out.append(("".join(url.split()), text))
@@ -189,21 +203,22 @@ def derive(record: dict) -> list[dict]:
     source = of.get("WARC-Record-ID") or record_id("response", sha1(record["block"]), address)
     seen = Page(page)
     text = seen.text.encode("utf-8", "replace")
+    text_digest = sha1(text)
     meta_id, conv_id = record_id("metadata", source), record_id("conversion", source)
-    fields = [("title", seen.title or ""), ("language", seen.language or ""), ("charset", seen.charset or ""), ("text-digest", sha1(text)), ("conversion-id", conv_id), *(("outlink", f"{u} {t}".strip()) for u, t in outlinks(seen, address))]
+    fields = [("title", seen.title or ""), ("language", seen.language or ""), ("charset", seen.charset or ""), ("text-digest", text_digest), ("conversion-id", conv_id), *(("outlink", f"{u} {t}".strip()) for u, t in outlinks(seen, address))]
     meta = "".join(f"{k}: {v}\r\n" for k, v in fields).encode("utf-8", "replace")
     shared = {"WARC-Date": of["WARC-Date"], "WARC-Target-URI": address, "WARC-Refers-To": source}
-    kept = {"WARC-Refers-To-Target-URI": address, "WARC-Refers-To-Date": of["WARC-Date"], "WARC-Source-Payload-Digest": of.get("WARC-Payload-Digest", sha1(body)), "WARC-Source-Block-Digest": of.get("WARC-Block-Digest", sha1(record["block"]))} | {f"WARC-Source-HTTP-{k}": v for k, v in http}
-    tail = lambda block, kind: {"WARC-Block-Digest": sha1(block), "WARC-Payload-Digest": sha1(block), "Content-Type": kind, "Content-Length": str(len(block))}
+    kept = {"WARC-Refers-To-Target-URI": address, "WARC-Refers-To-Date": of["WARC-Date"], "WARC-Source-Payload-Digest": of["WARC-Payload-Digest"] if "WARC-Payload-Digest" in of else sha1(body), "WARC-Source-Block-Digest": of["WARC-Block-Digest"] if "WARC-Block-Digest" in of else sha1(record["block"])} | {f"WARC-Source-HTTP-{k}": v for k, v in http}
+    tail = lambda block, digest, kind: {"WARC-Block-Digest": digest, "WARC-Payload-Digest": digest, "Content-Type": kind, "Content-Length": str(len(block))}
     return [
-        {"headers": {"WARC-Type": "metadata", "WARC-Record-ID": meta_id, **shared, "WARC-Concurrent-To": source, **tail(meta, "application/warc-fields")}, "block": meta},
-        {"headers": {"WARC-Type": "conversion", "WARC-Record-ID": conv_id, **shared, **kept, **tail(text, "text/plain; charset=utf-8")}, "block": text},
+        {"headers": {"WARC-Type": "metadata", "WARC-Record-ID": meta_id, **shared, "WARC-Concurrent-To": source, **tail(meta, sha1(meta), "application/warc-fields")}, "block": meta},
+        {"headers": {"WARC-Type": "conversion", "WARC-Record-ID": conv_id, **shared, **kept, **tail(text, text_digest, "text/plain; charset=utf-8")}, "block": text},
     ]
 
 
 def to_bytes(record: dict, compressed: bool = True) -> bytes:
     """A record as WARC/1.1, as a gzip member of its own unless told otherwise."""
-    clean = lambda v: re.sub(r"[\r\n]+", " ", v)
+    clean = lambda v: _BREAK.sub(" ", v) if "\n" in v or "\r" in v else v
     raw = b"WARC/1.1\r\n" + "".join(f"{k}: {clean(v)}\r\n" for k, v in record["headers"].items()).encode("utf-8", "replace") + b"\r\n" + record["block"] + b"\r\n\r\n"
     return gzip.compress(raw, mtime=0) if compressed else raw
 

@@ -3,6 +3,7 @@
 import gzip
 import random
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,3 +73,20 @@ def test_a_hundred_thousand_headers_in_one_read(spark, tmp_path):
         took[n] = time.perf_counter() - began
         assert row["n"] == 2 * n and row["bare"] == 1
     assert took[100_000] < 3 * took[50_000] + 1
+
+
+def test_a_long_block_in_no_order_is_dealt_over_tasks(spark, monkeypatch):
+    """Lines without order whose block is the whole file: no task gets it whole, and headers still reach all lines behind."""
+    monkeypatch.setattr(cloudfront, "CUT_BITS", 5)
+    heads = {-1: "#Fields: date time", 700: "#Fields: sc-status", 701: "#fields:", 1500: "#Fields: time"}
+    rows = [(f, 0, i, heads.get(i, "a\tb") if f == 0 else "a\tb") for f in (0, 1) for i in range(-1, 2000)]
+    lines = spark.createDataFrame(rows, "file_idx int, line_block long, line_no long, value string").repartition(7, F.hash("line_no"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = cloudfront.with_heads(lines).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(Counter(r.task for r in got if r.file_idx == 0).values()) < 1500
+    want = {(f, i): None if f or i < 0 else cloudfront.places(heads[max(h for h in (-1, 700, 1500) if h < i)]) for f, _, i, _ in rows}
+    assert len(got) == len(want) and {(r.file_idx, r.line_no): r[cloudfront.AT] for r in got} == want
+    assert got[0].asDict().keys() == {"file_idx", "line_block", "line_no", "value", cloudfront.AT, "task"}

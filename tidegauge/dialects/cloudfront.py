@@ -23,6 +23,10 @@ from tidegauge.functions.text import after_mark, before_mark, empty_null, intege
 LATENCY_FIELD = "time-to-first-byte (wait for the first byte), else time-taken"
 #: Blocks whose carried headers are sent to all tasks; more of them meet their lines by a shuffle.
 FEW_BLOCKS = 50_000
+#: Lines that come in no order are brought into ranges of 2**CUT_BITS line numbers, each of which counts as a block.
+CUT_BITS = 14
+#: What tells blocks apart; the cut is 0 for lines that come in order.
+_BLOCK = ("file_idx", "line_block", "__cut")
 #: The column of a line's places: for each of NAMES its last column in the header, -1 where it isn't there; null without one.
 AT = "__at"
 NAMES = ("date", "time", "x-edge-location", "sc-bytes", "c-ip", "cs-method", "cs(host)", "cs-uri-stem", "sc-status", "cs-uri-query", "x-edge-result-type", "x-host-header", "time-taken", "time-to-first-byte", "x-forwarded-for")
@@ -41,8 +45,8 @@ def places(header: str) -> list[int] | None:
 
 def _runs(batch: pa.RecordBatch) -> tuple[np.ndarray, dict[int, list[int]]]:
     """First rows of a batch's runs of one file and block, and the places of its header rows."""
-    file, block = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-    begins = np.flatnonzero(np.r_[True, (file[1:] != file[:-1]) | (block[1:] != block[:-1])]) if batch.num_rows else np.array([], np.int64)
+    file, block, cut = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+    begins = np.flatnonzero(np.r_[True, (file[1:] != file[:-1]) | (block[1:] != block[:-1]) | (cut[1:] != cut[:-1])]) if batch.num_rows else np.array([], np.int64)
     value = batch.column(3).view(pa.binary())
     found = pc.fill_null(pc.match_substring_regex(value, _MARK), False).to_numpy(zero_copy_only=False)
     heads = {int(i): places(value[int(i)].as_py().decode("utf-8", "replace")) for i in np.flatnonzero(found)}
@@ -50,7 +54,7 @@ def _runs(batch: pa.RecordBatch) -> tuple[np.ndarray, dict[int, list[int]]]:
 
 
 def _key(batch: pa.RecordBatch, row: int) -> tuple:
-    return batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+    return tuple(batch.column(i)[row].as_py() for i in range(3))
 
 
 def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +80,7 @@ def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _last_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """file_idx, line_block, at of each block of lines in order: its last header's places, null without one."""
+    """file_idx, line_block, cut, at of each block of lines in order: its last header's places, null without one."""
     last: dict[tuple, list[int] | None] = {}
     for batch in batches:
         begins, heads = _runs(batch)
@@ -84,30 +88,34 @@ def _last_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last.setdefault(_key(batch, i))
         for i, at in heads.items():
             last[_key(batch, i)] = at
-    files, blocks = zip(*last) if last else ((), ())
-    yield pa.RecordBatch.from_arrays([pa.array(files, pa.int32()), pa.array(blocks, pa.int64()), pa.array(list(last.values()), pa.list_(pa.int32()))], names=["file_idx", "line_block", "at"])
+    files, blocks, cuts = zip(*last) if last else ((), (), ())
+    yield pa.RecordBatch.from_arrays([pa.array(files, pa.int32()), pa.array(blocks, pa.int64()), pa.array(cuts, pa.int64()), pa.array(list(last.values()), pa.list_(pa.int32()))], names=[*_BLOCK, "at"])
 
 
 def with_heads(lines: DataFrame, ordered: bool = False, one_block: bool = False) -> DataFrame:
     """Lines with the column ``AT``.
 
-    ``ordered``: the lines of a block lie in one partition and in order, as files are read; else they are brought there.
+    ``ordered``: the lines of a block lie in one partition and in order, as files are read; else they are brought there,
+    a long block in ranges of its lines.
     ``one_block``: each file is one block, so nothing is carried from one to the next, and the lines are read once.
     """
+    names = ["file_idx", "line_block", "line_no", "value", *[c for c in lines.columns if c not in ("file_idx", "line_block", "line_no", "value")]]
+    cut = F.lit(0).cast("long") if ordered or one_block else F.coalesce(F.shiftright(F.col("line_no").cast("long"), CUT_BITS), F.lit(-(2**63)))
+    lines = lines.withColumn("__cut", cut)
     if not ordered:
-        lines = lines.repartition("file_idx", "line_block").sortWithinPartitions("file_idx", "line_block", "line_no")
-    base = lines.select("file_idx", "line_block", "line_no", "value", *[c for c in lines.columns if c not in ("file_idx", "line_block", "line_no", "value")])
+        lines = lines.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK, "line_no")
+    base = lines.select(*_BLOCK, "value", *[c for c in names if c not in (*_BLOCK, "value")])
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
     own = base.mapInArrow(_carried, f"{types}, {AT} array<int>")
     if one_block:
-        return own
-    before = Window.partitionBy("file_idx").orderBy("line_block").rowsBetween(Window.unboundedPreceding, -1)
-    carry = base.select("file_idx", "line_block", "line_no", "value").mapInArrow(_last_heads, "file_idx int, line_block long, at array<int>")
-    carry = carry.select("file_idx", "line_block", F.last("at", ignorenulls=True).over(before).alias("__carry")).where("__carry is not null")
+        return own.select(*names, AT)
+    before = Window.partitionBy("file_idx").orderBy("line_block", "__cut").rowsBetween(Window.unboundedPreceding, -1)
+    carry = base.select(*_BLOCK, "value").mapInArrow(_last_heads, "file_idx int, line_block long, __cut long, at array<int>")
+    carry = carry.select(*_BLOCK, F.last("at", ignorenulls=True).over(before).alias("__carry")).where("__carry is not null")
     few = carry.limit(FEW_BLOCKS + 1).collect()  # a row a block
     if len(few) <= FEW_BLOCKS:
         carry = F.broadcast(lines.sparkSession.createDataFrame(few, carry.schema))
-    return own.join(carry, ["file_idx", "line_block"], "left").withColumn(AT, F.coalesce(AT, "__carry")).drop("__carry")
+    return own.join(carry, list(_BLOCK), "left").withColumn(AT, F.coalesce(AT, "__carry")).select(*names, AT)
 
 
 def parse(lines: DataFrame, tz: str = "UTC", xff_capture: int = 0) -> DataFrame:

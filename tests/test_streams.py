@@ -2,17 +2,21 @@
 
 import random
 import time
+import tracemalloc
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tests.test_cloudfront import log
 from tidegauge.dialects import parse
+from tidegauge.dialects.cloudfront import AT, places
 from tidegauge.operators.classes import DEFAULT
 from tidegauge.sources import read_lines
 from tidegauge.streaming import ScanCounter, parsed_stream, path_sketches_stream, read_stream
 from tidegauge.streaming import paths as P
+from tidegauge.streaming.heads import HeaderCarry
 
 
 def run(frame, out, mark):
@@ -103,3 +107,39 @@ def test_lines_and_late_requests_are_counted_on_the_way(spark, tmp_path):
 @pytest.mark.parametrize("tracked", [10, 300, 10_000, 12_288])
 def test_error_follows_the_sketch(tracked):
     assert 3.5 / (4 * tracked) < P.error_share(tracked) <= 3.5 / (tracked * 4 / 3) and DEFAULT.names()[-1] == "doc" and F is not None
+
+
+class _Head:
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_a_long_trigger_of_one_file_is_not_held():
+    """120 MB of lines of one file in one trigger, backwards: their headers reach them, and the task holds a small part."""
+    heads = {0: "#Fields: date time", 150_000: "#Fields: time date"}
+
+    def batches():
+        for n in range(239_000, -1, -1000):
+            yield pd.DataFrame({"file": "f", "line_block": 0, "line_no": range(n, n + 1000), "value": [heads.get(i, f"{i:0500d}") for i in range(n, n + 1000)]})
+
+    carry = HeaderCarry(None)
+    carry.head, seen = _Head(), Counter()
+    tracemalloc.start()
+    for lines in carry.handleInputRows(("f",), batches(), None):
+        for no, at in zip(lines["line_no"], lines[AT]):
+            seen[None if at is None else tuple(at), int(no) > 150_000] += 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    first, second = (tuple(places(h)) for h in heads.values())
+    assert seen == {(None, False): 1, (first, False): 150_000, (second, True): 89_999}
+    assert carry.head.value == (list(second),) and peak < 60_000_000
+    assert list(carry.handleInputRows(("f",), iter([]), None)) == []
